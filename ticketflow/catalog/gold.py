@@ -10,6 +10,7 @@ from ..constants import FEATURES, SOURCE_CODES, TIER_CODES
 from ..operators.dedup import latest
 from ..operators.joins import as_of_join, with_labels
 from ..operators.split import layer_summary, sample_n, split_ranges, time_split
+from ..session import spread
 from . import sqltext as q
 from .fixtures import AS_OF, fixture, table, with_views
 from .registry import query
@@ -55,7 +56,7 @@ def parsed(spark, sf):
 @query("text_features", with_views("fx_tickets") + f"SELECT doc_id, {columns(TEXT_SQL)} FROM fx_tickets")
 def text_feature_rows(spark, sf):
     cols = text_features(F.col("subject"), F.col("body"))
-    return fixture(spark, sf, "fx_tickets").select("doc_id", *[c.alias(n) for n, c in cols.items()])
+    return spread(fixture(spark, sf, "fx_tickets")).select("doc_id", *[c.alias(n) for n, c in cols.items()])
 
 
 LIVE_SQL = {
@@ -73,7 +74,7 @@ t AS (SELECT doc_id, subject, concat(subject, ' ', body) AS whole FROM fx_ticket
 SELECT doc_id, {columns(LIVE_SQL)} FROM t""")
 def live_feature_rows(spark, sf):
     cols = text_features(F.col("subject"), F.col("body"), "agent")
-    return fixture(spark, sf, "fx_tickets").select("doc_id", *[c.alias(n) for n, c in cols.items()])
+    return spread(fixture(spark, sf, "fx_tickets")).select("doc_id", *[c.alias(n) for n, c in cols.items()])
 
 
 @query("time_features", with_views("fx_tickets") + f"SELECT doc_id, {columns(TIME_SQL)} FROM fx_tickets")

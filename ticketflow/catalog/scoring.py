@@ -10,6 +10,7 @@ from ..functions.rules import risk_bucket, sla_label
 from ..operators import evaluate as ev
 from ..operators.joins import route_by_rule
 from ..operators.routing import triage_route
+from ..session import spread
 from . import sqltext as q
 from .fixtures import fixture, table, with_views
 from .registry import query
@@ -99,17 +100,17 @@ def checked(raw: str, name: str) -> str:
            FROM {name}_e)"""
 
 
-@query("extract_json", REPLIES + f"SELECT ticket_id, {FOUND.format('primary_raw')} AS found, json_valid({FOUND.format('primary_raw')}) AS valid FROM fx_replies")
+@query("extract_json", REPLIES + f"SELECT ticket_id, {FOUND.format('primary_raw')} AS found, coalesce(json_valid({FOUND.format('primary_raw')}), false) AS valid FROM fx_replies")
 def json_found(spark, sf):
     found = extract_json(F.col("primary_raw"))
-    valid = F.when(found.isNotNull(), F.try_parse_json(found).isNotNull())
-    return fixture(spark, sf, "fx_replies").select("ticket_id", found.alias("found"), valid.alias("valid"))
+    valid = F.try_parse_json(found).isNotNull()
+    return spread(fixture(spark, sf, "fx_replies")).select("ticket_id", found.alias("found"), valid.alias("valid"))
 
 
 @query("validate_reply", REPLIES + "," + checked("primary_raw", "p") +
        " SELECT ticket_id, category, priority, routing_team, confidence, reasoning, error FROM p")
 def replies_checked(spark, sf):
-    return validate_reply(fixture(spark, sf, "fx_replies"), "primary_raw", "r").select("ticket_id", "r.*")
+    return validate_reply(spread(fixture(spark, sf, "fx_replies")), "primary_raw", "r").select("ticket_id", "r.*")
 
 
 CASCADE = REPLIES + "," + checked("primary_raw", "p") + "," + checked("fallback_raw", "f") + """,
@@ -122,7 +123,7 @@ chosen AS (SELECT u.ticket_id, u.escalated, c.* EXCLUDE (ticket_id), CASE WHEN u
 
 
 def cascaded(spark, sf):
-    rows = validate_reply(fixture(spark, sf, "fx_replies"), "primary_raw", "p")
+    rows = validate_reply(spread(fixture(spark, sf, "fx_replies")), "primary_raw", "p")
     return cascade(validate_reply(rows, "fallback_raw", "f"), "p", "f", "reply")
 
 
@@ -143,7 +144,7 @@ v AS (SELECT ticket_id, CASE WHEN json_valid(judge_raw) THEN CAST(judge_raw AS J
 SELECT ticket_id, CASE WHEN j IS NULL THEN 0.0 ELSE coalesce(try_cast(json_extract_string(j, '$.score') AS DOUBLE), 0.0) END AS score,
        CASE WHEN j IS NULL THEN 'Eval failed' ELSE coalesce(json_extract_string(j, '$.reason'), '') END AS reason FROM v""")
 def judge_parse(spark, sf):
-    return fixture(spark, sf, "fx_replies").select("ticket_id", parse_judgement(F.col("judge_raw")).alias("g")).select(
+    return spread(fixture(spark, sf, "fx_replies")).select("ticket_id", parse_judgement(F.col("judge_raw")).alias("g")).select(
         "ticket_id", "g.*")
 
 

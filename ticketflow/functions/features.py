@@ -6,17 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_CREATED, FEATURES, SOURCE_CODES, TIER_CODES
-from .text import SPACE, full_text
+from ..session import spread
+from .text import SPACE, full_text, plain
 
-TOKEN = f"[^{SPACE}]"
+TOKEN = rf"[\x21-\x7e[^{SPACE}]]"
 FENCED = r"```[\s\S]*?```"
 URL = r"(?i)https?://\S+"
+# neither space nor lower nor title case; upper case
+NOT_LOWER = rf"[\x21-\x60\x7b-\x7e[^\x00-\x7f{SPACE}\p{{IsLowercase}}\p{{Lt}}]]"
+UPPER = r"[A-Z[\p{IsUppercase}]]"
 
 
-def caps_pattern(min_length: int) -> str:
-    """A word without lower- or title-case letters, with an upper-case one, of at least ``min_length``."""
-    return (rf"(?<!{TOKEN})(?={TOKEN}*\p{{IsUppercase}})"
-            rf"[^{SPACE}\p{{IsLowercase}}\p{{Lt}}]{{{min_length},}}(?!{TOKEN})")
+def word_count(c: Column) -> Column:
+    return F.when(plain(c), F.regexp_count(c, F.lit(r"\S+"))).otherwise(F.regexp_count(c, F.lit(f"{TOKEN}+")))
+
+
+def caps_count(c: Column, min_length: int) -> Column:
+    """Words in capitals: no lower- or title-case letter, an upper-case one, at least ``min_length`` long."""
+    words = F.when(plain(c), F.split(c, r"\s+")).otherwise(F.split(c, f"[{SPACE}]+"))
+    return F.size(F.filter(words, lambda w: w.rlike(rf"\A{NOT_LOWER}{{{min_length},}}\z") & w.rlike(UPPER)))
 
 
 def _count(c: Column, pattern: str) -> Column:
@@ -37,13 +45,13 @@ def text_features(subject: Column, body: Column, profile: str = "batch") -> dict
     urls = {"batch": (whole, URL), "agent": (whole, "https?://"), "api": (b, "http")}[profile]
     return {
         "text_length": F.length(base),
-        "word_count": _count(base, f"{TOKEN}+"),
+        "word_count": word_count(base),
         "subject_length": F.length(s),
         "code_block_count": _count(base, FENCED if batch else "```"),
         "url_count": _count(*urls),
         "question_mark_count": _count(base, r"\?"),
         "exclamation_count": _count(base, "!"),
-        "caps_word_count": _count(base, caps_pattern(3 if batch else 2)),
+        "caps_word_count": caps_count(base, 3 if batch else 2),
     }
 
 
@@ -84,7 +92,8 @@ def context_features(df: DataFrame, profile: str = "batch") -> dict[str, Column]
 
 
 def features(df: DataFrame, as_of: str, profile: str = "batch", keep: tuple[str, ...] = ("ticket_id",)) -> DataFrame:
-    """One row of features per ticket. No shuffle: a single projection over the scan."""
+    """One row of features per ticket: a single projection over the scan."""
+    df = spread(df)
     columns = {
         **text_features(F.col("subject"), F.col("body"), profile),
         **time_features(F.col("created_at"), as_of, profile),

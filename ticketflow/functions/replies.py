@@ -13,6 +13,8 @@ from .text import strip
 
 # Fixed value: the shortest braced run, so an object with a nested object does not parse.
 JSON_OBJECT = r"\{[\s\S]*?\}"
+# A text member that is not a string. The object is flat, so a quoted name before a colon is a member name.
+NOT_TEXT = r'"(?:category|priority|routing_team)"\s*:\s*[^\s"]'
 FIELD_ERROR = "invalid field type"
 REPLY_FIELDS = ("category", "priority", "routing_team", "confidence", "reasoning", "error")
 
@@ -22,37 +24,34 @@ def extract_json(raw: Column) -> Column:
     return F.nullif(F.regexp_extract(F.coalesce(raw, F.lit("")), JSON_OBJECT, 0), F.lit(""))
 
 
-def _kind(v: Column, path: str) -> Column:
-    """Type of a member: null where the member is absent, ``VOID`` where it is a JSON null."""
-    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+def _members(text: Column) -> Column:
+    """Members of a JSON object as strings; null where the text is not one."""
+    return F.from_json(text, "map<string,string>", {"allowSingleQuotes": "false"})
 
 
-def _word(v: Column, path: str, default: str) -> tuple[Column, Column]:
-    """A text member, cleaned, and whether its type is wrong."""
-    kind = _kind(v, path)
-    value = F.when(kind.isNull(), F.lit(default)).otherwise(
-        strip(F.lower(F.try_variant_get(v, path, "string"))))
-    return value, F.coalesce(kind != "STRING", F.lit(False))
+def _word(members: Column, name: str, default: str) -> Column:
+    return F.when(F.map_contains_key(members, name), strip(F.lower(F.try_element_at(members, F.lit(name))))).otherwise(default)
 
 
 def validate_reply(df: DataFrame, raw: str, out: str) -> DataFrame:
     """Add ``out``: a struct of the cleaned reply. A reply that cannot be used becomes the failure row."""
-    v = F.col("__v")
-    parsed = df.withColumn("__v", F.try_parse_json(extract_json(F.col(raw))))
-    category, bad_category = _word(v, "$.category", DEFAULT_CATEGORY)
-    priority, bad_priority = _word(v, "$.priority", DEFAULT_PRIORITY)
-    team, bad_team = _word(v, "$.routing_team", DEFAULT_TEAM)
-    kind = _kind(v, "$.confidence")
-    number = F.when(kind.isNull(), F.lit(0.5)).otherwise(F.try_variant_get(v, "$.confidence", "double"))
+    found, m = F.col("__o"), F.col("__m")
+    parsed = df.withColumn("__o", extract_json(F.col(raw))).withColumn("__m", _members(F.col("__o")))
+    value = F.try_element_at(m, F.lit("confidence"))
+    truth = (F.when(found.rlike(r'"confidence"\s*:\s*true'), F.lit(1.0))
+             .when(found.rlike(r'"confidence"\s*:\s*false'), F.lit(0.0)))
+    number = F.when(F.map_contains_key(m, "confidence"), F.coalesce(value.try_cast("double"), truth)).otherwise(0.5)
     fields = parsed.withColumn("__f", F.struct(
-        category.alias("category"), priority.alias("priority"), team.alias("team"), number.alias("number"),
-        F.try_variant_get(v, "$.reasoning", "string").alias("reasoning"),
-        (bad_category | bad_priority | bad_team).alias("bad"),
+        _word(m, "category", DEFAULT_CATEGORY).alias("category"),
+        _word(m, "priority", DEFAULT_PRIORITY).alias("priority"),
+        _word(m, "routing_team", DEFAULT_TEAM).alias("team"), number.alias("number"),
+        F.try_element_at(m, F.lit("reasoning")).alias("reasoning"),
+        m.isNull().alias("broken"), found.rlike(NOT_TEXT).alias("bad"),
     ))
     f = F.col("__f")
     known = f["category"].isin(*CATEGORIES)
     # an unknown category overwrites the confidence before that is read as a number
-    error = (F.when(v.isNull(), F.lit(PARSE_ERROR))
+    error = (F.when(f["broken"], F.lit(PARSE_ERROR))
              .when(f["bad"] | (known & f["number"].isNull()), F.lit(FIELD_ERROR)))
     checked = fields.withColumn("__e", error)
     failed = F.col("__e").isNotNull()
@@ -66,7 +65,7 @@ def validate_reply(df: DataFrame, raw: str, out: str) -> DataFrame:
         F.when(failed, F.lit(FAILED_REASONING)).otherwise(f["reasoning"]).alias("reasoning"),
         F.col("__e").alias("error"),
     )
-    return checked.withColumn(out, reply).drop("__v", "__f", "__e")
+    return checked.withColumn(out, reply).drop("__o", "__m", "__f", "__e")
 
 
 def uncertain(reply: Column, threshold: float = CASCADE_CONFIDENCE) -> Column:
@@ -91,13 +90,11 @@ def cascade(df: DataFrame, primary: str, fallback: str, out: str, primary_model:
 
 def parse_judgement(raw: Column) -> Column:
     """Score and reason of a grading reply. A whole-text JSON object is expected; any failure scores 0."""
-    v = F.try_parse_json(raw)
-    score = F.try_variant_get(v, "$.score", "double")
-    kind = _kind(v, "$.score")
-    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    failed = ~is_object | (kind.isNotNull() & score.isNull())
+    m = _members(raw)
+    score = F.try_element_at(m, F.lit("score")).try_cast("double")
+    failed = m.isNull() | ~raw.rlike(r"^\s*\{[\s\S]*\}\s*$") | (F.map_contains_key(m, "score") & score.isNull())
     return F.struct(
         F.when(failed, F.lit(0.0)).otherwise(F.coalesce(score, F.lit(0.0))).alias("score"),
         F.when(failed, F.lit("Eval failed")).otherwise(
-            F.coalesce(F.try_variant_get(v, "$.reason", "string"), F.lit(""))).alias("reason"),
+            F.coalesce(F.try_element_at(m, F.lit("reason")), F.lit(""))).alias("reason"),
     )

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_CREATED, EMBED_CUT, EMBED_EMPTY, EMBED_SEPARATOR
+from ..session import spread
 
 # Unicode whitespace, spelled out because a bare \s covers ASCII only.
 SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # A word character in the Unicode sense; lookarounds on it replace \b, whose meaning varies by Java version.
-WORD = r"[\p{L}\p{N}_]"
+# ASCII comes first in the class because its test is the cheap one.
+WORD = r"[A-Za-z0-9_[\p{L}\p{N}]]"
 START = rf"(?<!{WORD})"
 END = rf"(?!{WORD})"
 EDGE = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
@@ -41,6 +43,11 @@ PII = (
 PII_FLAGS = tuple(flag for flag, _, _ in PII)
 
 
+def plain(c: Column) -> Column:
+    """True where a text is ASCII and its whitespace is what a bare \\s covers: most texts, checked cheaply."""
+    return (F.octet_length(c) == F.length(c)) & ~c.rlike(r"[\x1c-\x1f]")
+
+
 def strip(c: Column) -> Column:
     """Remove leading and trailing whitespace of any kind (``trim`` removes blanks only)."""
     return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
@@ -60,6 +67,8 @@ def _may_match(flag: str, c: Column) -> Column | None:
         return F.contains(c, F.lit("@"))
     if flag in ("account_id", "phone", "ip_address"):
         return c.rlike(r"\p{Nd}")
+    if flag == "api_key":
+        return c.rlike(r"(?<![A-Za-z0-9_\-])[A-Za-z0-9_\-]{32}")
     return None
 
 
@@ -70,8 +79,8 @@ def mask_columns(df: DataFrame, columns: list[str], flags_column: str) -> DataFr
     projection: nested in one expression, a stage would be evaluated again for every later reference.
     A flag is set where a stage changed the text, so each pattern scans a text once.
     """
-    original = df.columns
-    flagged = []
+    original, flagged = df.columns, []
+    df = spread(df)
     for index, (flag, pattern, replacement) in enumerate(PII):
         stage = {}
         for c in columns:

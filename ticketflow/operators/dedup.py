@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 
 def text_key(subject: Column, body: Column) -> Column:
     """Fixed format of the duplicate key, hashed so that long texts are not shuffled twice."""
@@ -36,10 +38,17 @@ def latest(df: DataFrame, key: str, ts: str, as_of: str, ttl: str, tie: str | No
 
 
 def upsert(base: DataFrame, updates: DataFrame, key: str, order: str) -> DataFrame:
-    """``base`` with the rows of ``updates`` added or replaced, newest ``order`` first.
+    """``base``, unique by ``key``, with the rows of ``updates`` added or replaced, newest ``order`` first.
 
-    At equal ``order`` the update wins.
+    At equal ``order`` the update wins. The reduced updates are written out, so their size is known: while
+    it is small, Spark broadcasts them and ``base`` is not shuffled.
     """
-    both = (base.withColumn("__new", F.lit(0))
-            .unionByName(updates.withColumn("__new", F.lit(1)), allowMissingColumns=True))
-    return first_by(both, [F.col(key)], [order, "__new"], newest=True).drop("__new")
+    newest = stage(first_by(updates, [F.col(key)], [order], newest=True), "updates")
+    mine, theirs = F.struct(*base.columns), F.struct(*base.columns)
+    paired = base.select(F.col(key).alias("__key"), mine.alias("__old")).join(
+        newest.select(F.col(key).alias("__key"), theirs.alias("__new")), "__key", "left")
+    wins = F.col("__new").isNotNull() & ~(F.col(f"__old.{order}") > F.col(f"__new.{order}"))
+    kept = paired.select(F.when(wins, F.col("__new")).otherwise(F.col("__old")).alias("__row")).select("__row.*")
+    present = base.select(key).join(newest.select(key), key, "left_semi")
+    added = newest.join(present, key, "left_anti").select(*base.columns)
+    return kept.unionByName(added)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_TEAM, ROUTING_RULES
 from ..functions.text import SPACE
+from ..session import spread
 
 
 def with_labels(features: DataFrame, tickets: DataFrame, columns: tuple[str, ...] = ("category",),
@@ -49,7 +50,7 @@ def best_overlap(queries: DataFrame, query_id: str, query_text, keys: DataFrame,
         "__key", F.lit(1).alias("__size"), F.lit("").alias("__word"), F.lit(0).alias("__weight"))
     postings = sized.select("__key", "__size", F.explode("__words").alias("__word"),
                             F.lit(1).alias("__weight")).unionByName(first)
-    asked = queries.select(F.col(query_id).alias("__query"),
+    asked = spread(queries).select(F.col(query_id).alias("__query"),
                            F.explode(F.concat(words(query_text), F.array(F.lit("")))).alias("__word"))
     scores = (asked.join(postings, "__word").groupBy("__query", "__key")
               .agg((F.sum("__weight") / F.max("__size")).alias("__score")))

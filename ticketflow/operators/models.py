@@ -51,15 +51,12 @@ def call_model(fn: Batch, prompt: Column, wanted: Column | None = None) -> Colum
     """
     @F.pandas_udf(CALL)
     def ask(prompts: pd.Series, asked: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame({"raw": pd.Series([None] * len(prompts), dtype=object),
-                            "failure": pd.Series([None] * len(prompts), dtype=object),
-                            "latency_ms": 0.0}, index=prompts.index)
-        chosen = prompts[asked.fillna(False).astype(bool)]
-        if len(chosen):
-            out.loc[chosen.index] = pd.DataFrame(_answer(fn, chosen.tolist()), index=chosen.index,
-                                                 columns=["raw", "failure", "latency_ms"], dtype=object)
-        out["latency_ms"] = out["latency_ms"].astype(float)
-        return out
+        rows: list[tuple] = [(None, None, 0.0)] * len(prompts)
+        chosen = [i for i, send in enumerate(asked) if send is True or send == 1]
+        texts = [prompts.iloc[i] for i in chosen]
+        for i, answer in zip(chosen, _answer(fn, texts) if texts else []):
+            rows[i] = answer
+        return pd.DataFrame(rows, columns=["raw", "failure", "latency_ms"])
 
     return ask.asNondeterministic()(prompt, wanted if wanted is not None else F.lit(True))
 
@@ -73,18 +70,18 @@ def classify(df: DataFrame, primary: Batch, fallback: Batch | None = None, prima
         return checked.withColumn(reply, F.col(reply).withField(
             "error", F.coalesce(F.col(f"{call}.failure"), F.col(f"{reply}.error"))))
 
-    out = df.withColumn("__p", call_model(primary, classify_prompt(F.col("subject"), F.col("body"))))
-    out = judged(out, "__p", "__primary")
+    out = df.withColumn("__call_p", call_model(primary, classify_prompt(F.col("subject"), F.col("body"))))
+    out = judged(out, "__call_p", "__primary")
     if fallback is None:
         reply = F.col("__primary").withField("model", F.lit(primary_model)).withField("escalated", F.lit(False))
-        return (out.withColumn("reply", reply).withColumn("classify_ms", F.col("__p.latency_ms"))
-                .drop("__p", "__primary"))
-    out = out.withColumn("__f", call_model(fallback, classify_prompt(F.col("subject"), F.col("body")),
+        return (out.withColumn("reply", reply).withColumn("classify_ms", F.col("__call_p.latency_ms"))
+                .drop("__call_p", "__primary"))
+    out = out.withColumn("__call_f", call_model(fallback, classify_prompt(F.col("subject"), F.col("body")),
                                            uncertain(F.col("__primary"))))
-    out = judged(out, "__f", "__fallback")
+    out = judged(out, "__call_f", "__fallback")
     out = cascade(out, "__primary", "__fallback", "reply", primary_model, fallback_model)
-    return (out.withColumn("classify_ms", F.col("__p.latency_ms") + F.col("__f.latency_ms"))
-            .drop("__p", "__f", "__primary", "__fallback"))
+    return (out.withColumn("classify_ms", F.col("__call_p.latency_ms") + F.col("__call_f.latency_ms"))
+            .drop("__call_p", "__call_f", "__primary", "__fallback"))
 
 
 def generate(df: DataFrame, fn: Batch, prompt: str = "prompt", out: str = "response") -> DataFrame:

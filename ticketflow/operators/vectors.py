@@ -187,11 +187,14 @@ def _cells(queries: DataFrame, base: DataFrame, schema: StructType, k: int, quer
                 for c in load]
         if not plan:
             return base.sparkSession.createDataFrame([], schema)
-        parts = F.broadcast(base.sparkSession.createDataFrame(plan, "__cell int, __b int, __a int"))  # <= MAX_CELLS
-        left = (asked.join(parts, "__cell").withColumn("__i", F.pmod(F.xxhash64(query_id), F.col("__a")))
-                .withColumn("__j", F.explode(F.sequence(F.lit(0), F.col("__b") - 1)).cast("bigint")))
-        right = (rows.join(parts, "__cell").withColumn("__j", F.pmod(F.xxhash64(base_id), F.col("__b")))
-                 .withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__a") - 1)).cast("bigint")))
+
+        def parts():  # one row per cell, at most MAX_CELLS; made per side, as both meet in one cogroup
+            return F.broadcast(base.sparkSession.createDataFrame(plan, "__cell int, __b bigint, __a bigint"))
+
+        left = (asked.join(parts(), "__cell").withColumn("__i", F.pmod(F.xxhash64(query_id), F.col("__a")))
+                .withColumn("__j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__b") - 1))))
+        right = (rows.join(parts(), "__cell").withColumn("__j", F.pmod(F.xxhash64(base_id), F.col("__b")))
+                 .withColumn("__i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__a") - 1))))
         extra = ["__cell", "__far", "__i", "__j", "__a", "__b"]
 
         def pair(q, b):
