@@ -16,7 +16,7 @@ WORD = r"[A-Za-z0-9_[\p{L}\p{N}]]"
 START = rf"(?<!{WORD})"
 END = rf"(?!{WORD})"
 EDGE = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
-GAP = r"[\s\x1c-\x1f\-]"
+GAP = rf"[{SPACE}\-]"
 
 # Fixed values: (flag, pattern, replacement), in the order in which they apply.
 PII = (
