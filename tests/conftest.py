@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from ticketflow.session import build_session  # noqa: E402
+from ticketflow.session import build_session, release  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -16,6 +16,7 @@ def spark():
                             spark__ui__showConsoleProgress="false")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()
 
 

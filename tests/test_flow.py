@@ -143,6 +143,16 @@ def test_sinks(spark, tmp_path, capsys):
     assert rd.read_bronze(spark, str(tmp_path / "j")).count() == 2
 
 
+def test_index_versions(spark, tmp_path):
+    root = str(tmp_path / "index")
+    assert sinks.read_index(spark, root) is None
+    sinks.upsert_index(spark.createDataFrame([("a", 1), ("b", 1)], "ticket_id string, n int"), root, "ticket_id", "n")
+    old = sinks.read_index(spark, root)
+    sinks.upsert_index(spark.createDataFrame([("b", 2), ("c", 1)], "ticket_id string, n int"), root, "ticket_id", "n")
+    assert {tuple(r) for r in sinks.read_index(spark, root).collect()} == {("a", 1), ("b", 2), ("c", 1)}
+    assert old.count() == 2
+
+
 def test_prompts(spark):
     df = spark.createDataFrame([("s" * 600, "b" * 3000)], "s string, b string")
     text = df.select(classify_prompt(F.col("s"), F.col("b"))).first()[0]

@@ -3,12 +3,15 @@
 import json
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ticketflow.constants import FEATURES
 from ticketflow.functions.replies import cascade, extract_json, parse_judgement, validate_reply
 from ticketflow.operators import models as m
-from ticketflow.operators.evaluate import binary_metrics, class_weight, classification_report, routing_accuracy
+from ticketflow.operators.evaluate import (
+    binary_metrics, class_weight, classification_report, observe_batch, routing_accuracy,
+)
 
 
 @pytest.mark.parametrize("raw, expected", [
@@ -94,6 +97,13 @@ def test_classify_keeps_failures_per_row(spark):
     assert not got["c"]["escalated"] and got["c"]["category"] == "question"
 
 
+def test_batch_counters(spark):
+    seen = Observation("batch")
+    df = spark.createDataFrame(TICKETS, "ticket_id string, subject string, body string").coalesce(1)
+    observe_batch(m.classify(df, primary, fallback), seen).write.format("noop").mode("overwrite").save()
+    assert seen.get == {"rows": 4, "escalated": 3}
+
+
 def test_generate_keeps_failures_as_text(spark):
     def write(prompts):
         if "bad" in prompts:

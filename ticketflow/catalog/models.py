@@ -17,10 +17,11 @@ from ..operators.models import (
     classifier_replies, embed, generate, grade, grade_summary, importances, score_sla, train_sla,
     train_text_classifier,
 )
+from ..operators.log import to_log_rows
 from ..operators.split import time_split
 from ..operators.vectors import collect_hits, kb_rows, top_k
 from ..plans.evaluation import eval_classifier
-from ..plans.triage import triage
+from ..plans.triage import loggable, responses, triage
 from ..functions.replies import cascade, validate_reply
 from ..session import stage
 from .fixtures import AS_OF, fixture
@@ -152,6 +153,16 @@ def triaged(spark, sf):
                       F.size("similar_tickets").alias("similar"), "grounded_response")
 
 
+@query("triage_log")
+def triage_log(spark, sf):
+    """Requests, triaged, answered in the callers' form and turned into log rows."""
+    _, model = sla_model(spark, sf)
+    kb, asked = stage(kb_rows(embedded(spark, sf)), "kb"), tickets(spark, sf)
+    results = triage(asked, kb, model, rule_model, careful_model, AS_OF, dim=DIM)
+    return to_log_rows(loggable(responses(results, asked, model, AS_OF), AS_OF, run_rag=False)).withColumn(
+        "ts", F.col("ts").cast("timestamp_ntz"))
+
+
 def answered(spark, sf):
     """Tickets, their nearest others and a written answer."""
     rows = stage(embedded(spark, sf), "embedded")

@@ -51,6 +51,15 @@ def routing_accuracy(spark, sf):
     return scored.withColumns({**rounded, "avg_ms": F.round("avg_ms", 2)})
 
 
+@query("routing_eval", ROUTED + """
+SELECT ticket_id, routing_team, expected_team, routing_team = expected_team AS team_ok, auto_escalate, expected_escalate,
+       auto_escalate = expected_escalate AS escalation_ok FROM routed""")
+def routing_pairs(spark, sf):
+    rows = fixture(spark, sf, "fx_orders_triage")
+    result = triage_route(rows).select("ticket_id", "routing_team", "auto_escalate")
+    return ev.routing_eval(result, rows)
+
+
 @query("risk_bucket", ORDERS + """
 SELECT ticket_id, round(sla_risk, 4) AS sla_risk_score, sla_risk >= 0.5 AS breach_flag,
        CASE WHEN sla_risk >= 0.8 THEN 'critical' WHEN sla_risk >= 0.6 THEN 'high' WHEN sla_risk >= 0.4 THEN 'medium' ELSE 'low' END AS risk_level

@@ -97,7 +97,7 @@ def stream_silver(spark, sf):
     """Which of several equal tickets arrives first is open, so the columns they share are compared."""
     tickets = arriving(spark, sf, "documents", TICKETS).withColumnsRenamed(
         {"created_raw": "created_at", "priority_raw": "priority"})
-    out = intake.run_once(intake.silver_stream(tickets, "doc_id"), "silver")
+    out = intake.run_once(intake.silver_stream(tickets, "doc_id", tasks=spark.sparkContext.defaultParallelism), "silver")
     return out.select(text_key(F.col("subject"), F.col("body")).alias("key"), F.length("body").alias("chars"), "pii_flags")
 
 

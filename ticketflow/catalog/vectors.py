@@ -8,6 +8,7 @@ from ..functions.prompts import answer_prompt, format_context, judge_context
 from ..operators.dedup import upsert
 from ..operators.evaluate import hit_rate_at_k, precision_at_k
 from ..operators.joins import best_overlap
+from ..operators.log import display_hits
 from ..operators.vectors import attach_vectors, collect_hits, kb_rows, top_k
 from ..plans.evaluation import neighbours
 from . import sqltext as q
@@ -102,6 +103,14 @@ def topk_filtered(spark, sf):
     return top_k(rows, rows, K, category="security")
 
 
+@query("display_hits", best(K) + """
+SELECT query_id, ticket_id, printf('%.1f%%', similarity * 100) AS similarity, category, priority, subject
+FROM hits""")
+def hits_shown(spark, sf):
+    rows = kb(spark, sf)
+    return display_hits(top_k(rows, rows, K))
+
+
 @query("retrieval_hit_rate", best(K, "q.ticket_id <> b.ticket_id") + """,
 m AS (SELECT query_id, count(*) FILTER (WHERE category = query_category) AS matches FROM hits GROUP BY query_id)
 SELECT count(*) AS queries, count(*) FILTER (WHERE matches > 0) AS found,

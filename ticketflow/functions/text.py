@@ -61,12 +61,12 @@ def norm_label(c: Column) -> Column:
     return strip(F.lower(c))
 
 
-def _may_match(flag: str, c: Column) -> Column | None:
-    """A cheap necessary condition that spares most texts the pattern itself."""
+def _may_match(flag: str, c: Column, digits: Column) -> Column | None:
+    """A cheap necessary condition that spares most texts the pattern itself. Masking never adds digits."""
     if flag == "email":
         return F.contains(c, F.lit("@"))
     if flag in ("account_id", "phone", "ip_address"):
-        return c.rlike(r"\p{Nd}")
+        return digits
     if flag == "api_key":
         return c.rlike(r"(?<![A-Za-z0-9_\-])[A-Za-z0-9_\-]{32}")
     return None
@@ -80,13 +80,13 @@ def mask_columns(df: DataFrame, columns: list[str], flags_column: str) -> DataFr
     A flag is set where a stage changed the text, so each pattern scans a text once.
     """
     original, flagged = df.columns, []
-    df = spread(df)
+    df = spread(df).withColumns({f"__{c}_digits": F.col(c).rlike(r"\p{Nd}") for c in columns})
     for index, (flag, pattern, replacement) in enumerate(PII):
         stage = {}
         for c in columns:
             before = F.col(c) if index == 0 else F.col(f"__{c}_{index - 1}")
             masked = F.regexp_replace(before, pattern, replacement)
-            condition = _may_match(flag, before)
+            condition = _may_match(flag, before, F.col(f"__{c}_digits"))
             stage[f"__{c}_{index}"] = masked if condition is None else F.when(condition, masked).otherwise(before)
         df = df.withColumns(stage)
     last = len(PII) - 1

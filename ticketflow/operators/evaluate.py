@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_label
@@ -98,6 +98,19 @@ def precision_at_k(hits: DataFrame, k: int) -> DataFrame:
         (F.sum("matches") / (F.count(F.lit(1)) * k)).alias("precision"))
 
 
+def routing_eval(result: DataFrame, expected: DataFrame, key: str = "ticket_id") -> DataFrame:
+    """Produced next to expected routing, with whether team and escalation agree."""
+    pairs = result.join(expected.select(key, "expected_team", "expected_escalate"), key)
+    return pairs.withColumns({"team_ok": F.col("routing_team") == F.col("expected_team"),
+                              "escalation_ok": F.col("auto_escalate") == F.col("expected_escalate")})
+
+
+def observe_batch(df: DataFrame, observation: Observation, reply: str = "reply") -> DataFrame:
+    """Count rows and escalations of a batch while something else consumes it."""
+    return df.observe(observation, F.count(F.lit(1)).alias("rows"),
+                      F.count_if(F.col(reply)["escalated"]).alias("escalated"))
+
+
 def routing_accuracy(df: DataFrame, ms: str | None = None) -> DataFrame:
     """Columns ``routing_team``, ``auto_escalate`` against ``expected_team``, ``expected_escalate``."""
     team = F.col("routing_team") == F.col("expected_team")

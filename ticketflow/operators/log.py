@@ -51,6 +51,13 @@ def display_log(log: DataFrame) -> DataFrame:
     return log.select(*[c.alias(name) for name, c in shown.items() if name in log.columns])
 
 
+def display_hits(hits: DataFrame) -> DataFrame:
+    """Similar tickets as shown to people, with one decimal of percent."""
+    shown = F.concat(F.format_number(F.bround(F.col("similarity") * 100, 1), 1), F.lit("%"))
+    columns = [c for c in ("query_id", "ticket_id", "similarity", "category", "priority", "subject") if c in hits.columns]
+    return hits.select(*[shown.alias(c) if c == "similarity" else F.col(c) for c in columns])
+
+
 def explode_timings(df: DataFrame, key: str, timings: str = "timings") -> DataFrame:
     """One row per stage, with a readable name."""
     step = F.initcap(F.replace(F.regexp_replace("stage", "_ms", ""), F.lit("_"), F.lit(" ")))

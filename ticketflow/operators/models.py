@@ -20,6 +20,7 @@ from ..functions.prompts import classify_prompt, faithfulness_prompt, relevance_
 from ..functions.replies import cascade, parse_judgement, uncertain, validate_reply
 from ..functions.rules import risk_bucket
 from ..functions.text import not_blank
+from ..session import spread
 
 Batch = Callable[[list[str]], list[str]]
 EMBED_BATCH = 128
@@ -70,7 +71,7 @@ def classify(df: DataFrame, primary: Batch, fallback: Batch | None = None, prima
         return checked.withColumn(reply, F.col(reply).withField(
             "error", F.coalesce(F.col(f"{call}.failure"), F.col(f"{reply}.error"))))
 
-    out = df.withColumn("__call_p", call_model(primary, classify_prompt(F.col("subject"), F.col("body"))))
+    out = spread(df).withColumn("__call_p", call_model(primary, classify_prompt(F.col("subject"), F.col("body"))))
     out = judged(out, "__call_p", "__primary")
     if fallback is None:
         reply = F.col("__primary").withField("model", F.lit(primary_model)).withField("escalated", F.lit(False))
@@ -119,6 +120,7 @@ def embed(df: DataFrame, text: str, fn: Callable[[list[str]], list[list[float]]]
 
     Without ``fn`` a hashed bag of words stands in, computed by Spark itself.
     """
+    df = spread(df)
     if fn is None:
         tokens = RegexTokenizer(inputCol="__text", outputCol="__tokens", pattern=r"\W+")
         hashed = HashingTF(inputCol="__tokens", outputCol="__counts", numFeatures=dim)

@@ -59,3 +59,34 @@ def triage(df: DataFrame, kb: DataFrame, sla: PipelineModel, primary: Batch, fal
             .select("ticket_id", "subject", "category", "priority", "classification_confidence",
                     "classification_model", "sla_breach_risk", "sla_escalated", "routing_team", "auto_escalate",
                     "escalation_reason", "similar_tickets", "grounded_response", "timings", "total_ms"))
+
+
+def responses(results: DataFrame, requests: DataFrame, sla: PipelineModel, as_of: str) -> DataFrame:
+    """Triage results in the nested form callers get.
+
+    The reported risk is scored from the caller's own features; the risk that decided the escalation stays
+    in the reason.
+    """
+    live = features(requests.select("ticket_id", "subject", "body", F.lit(as_of).cast("timestamp").alias("created_at")),
+                    as_of, "api")
+    risk = score_sla(live, sla).select("ticket_id", F.struct("sla_risk_score", "breach_flag", "risk_level")
+                                       .alias("sla_prediction"))
+    hit = "array<struct<ticket_id:string,similarity:double,category:string,priority:string,subject:string>>"
+    similar = F.transform("similar_tickets", lambda h: F.struct(
+        h["ticket_id"], h["similarity"], h["category"], h["priority"], h["subject"])).cast(hit)
+    return results.join(risk, "ticket_id", "left").select(
+        "ticket_id", "subject",
+        F.struct("category", "priority", "routing_team", F.col("classification_confidence").alias("confidence"),
+                 F.col("classification_model").alias("model"), F.col("auto_escalate").alias("escalated"))
+         .alias("classification"),
+        "sla_prediction", "routing_team", "auto_escalate", "escalation_reason", similar.alias("similar_tickets"),
+        F.nullif("grounded_response", F.lit("")).alias("grounded_response"),
+        F.col("timings").alias("timings_ms"), "total_ms")
+
+
+def loggable(replies: DataFrame, ts: str, run_rag: bool) -> DataFrame:
+    """Responses in the form the log takes."""
+    return replies.select(
+        F.lit(ts).cast("timestamp").alias("ts"), "ticket_id", "subject", "classification.category",
+        "classification.priority", "routing_team", "auto_escalate", F.col("sla_prediction.sla_risk_score").alias("sla_risk"),
+        "classification.confidence", F.col("timings_ms").alias("timings"), F.lit(run_rag).alias("run_rag"))

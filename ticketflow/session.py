@@ -57,7 +57,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for one written table or one streaming checkpoint."""
-    return f"{shared_dir(spark)}/ticketflow/{name}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/ticketflow/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> bool:
+    """Delete the work tables of this application, once none of its results is needed any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def stage(df, name: str):

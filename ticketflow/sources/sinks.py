@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.dedup import upsert
 from ..operators.ranking import row_index
 from ..schemas import METRICS, TRIAGE_LOG
 
@@ -61,6 +62,30 @@ def build_if_missing(spark: SparkSession, path: str, make: Callable[[], DataFram
     return True
 
 
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    """Finished versions of a table: one small folder listing."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(f"{root}/v*/_SUCCESS")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(int(f.getPath().getParent().getName()[1:]) for f in fs.globStatus(target))
+
+
+def read_index(spark: SparkSession, root: str) -> DataFrame | None:
+    """The newest finished version of the vector index."""
+    versions = _versions(spark, root)
+    return spark.read.parquet(f"{root}/v{versions[-1]:06d}") if versions else None
+
+
+def upsert_index(updates: DataFrame, root: str, key: str, order: str) -> str:
+    """Write the index with ``updates`` applied as a new version, so that readers of the old one are safe."""
+    spark = updates.sparkSession
+    current, versions = read_index(spark, root), _versions(spark, root)
+    path = f"{root}/v{(versions[-1] if versions else 0) + 1:06d}"
+    base = current if current is not None else updates.limit(0)
+    upsert(base, updates, key, order).write.parquet(path)
+    return path
+
+
 def metrics_df(spark: SparkSession, run_id: str, params: dict, metrics: dict) -> DataFrame:
     rows = [(run_id, "param", k, str(v)) for k, v in params.items()]
     rows += [(run_id, "metric", k, str(v)) for k, v in metrics.items()]
