@@ -61,3 +61,12 @@ def test_masking_runs_once_per_pattern(spark, sf):
 def test_dedup_reduces_before_the_shuffle(spark, sf):
     text = plan(spark, sf, "silver")
     assert "partial_min_by" in text and "Window" not in text
+
+
+def test_ranks_are_cut_before_the_shuffle(spark, sf):
+    assert "WindowGroupLimit" in plan(spark, sf, "topk_cosine")
+
+
+def test_wide_rows_are_not_shuffled_by_the_split(spark, sf):
+    text = plan(spark, sf, "time_split")
+    assert "Exchange" not in text and "Window" not in text

@@ -103,9 +103,10 @@ def topk_filtered(spark, sf):
     return top_k(rows, rows, K, category="security")
 
 
-@query("display_hits", best(K) + """
-SELECT query_id, ticket_id, printf('%.1f%%', similarity * 100) AS similarity, category, priority, subject
-FROM hits""")
+@query("display_hits", best(K) + """,
+m AS (SELECT *, CAST(round(similarity * 10000) AS BIGINT) AS m FROM hits)
+SELECT query_id, ticket_id, printf('%.1f%%', (m // 10 + CASE WHEN m % 10 > 5 OR (m % 10 = 5 AND (m // 10) % 2 = 1) THEN 1 ELSE 0 END) / 10)
+       AS similarity, category, priority, subject FROM m""")
 def hits_shown(spark, sf):
     rows = kb(spark, sf)
     return display_hits(top_k(rows, rows, K))

@@ -10,6 +10,8 @@ from ..session import spread
 
 # Unicode whitespace, spelled out because a bare \s covers ASCII only.
 SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITE = (" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+         "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 # A word character in the Unicode sense; lookarounds on it replace \b, whose meaning varies by Java version.
 # ASCII comes first in the class because its test is the cheap one.
 WORD = r"[A-Za-z0-9_[\p{L}\p{N}]]"
@@ -50,7 +52,7 @@ def plain(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Remove leading and trailing whitespace of any kind (``trim`` removes blanks only)."""
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def not_blank(c: Column) -> Column:

@@ -52,8 +52,9 @@ def display_log(log: DataFrame) -> DataFrame:
 
 
 def display_hits(hits: DataFrame) -> DataFrame:
-    """Similar tickets as shown to people, with one decimal of percent."""
-    shown = F.concat(F.format_number(F.bround(F.col("similarity") * 100, 1), 1), F.lit("%"))
+    """Similar tickets as shown to people: one decimal of percent, half-even on the four stored digits."""
+    tenths = F.bround(F.col("similarity").cast("decimal(10,4)") * 100, 1)
+    shown = F.concat(tenths.cast("decimal(10,1)").cast("string"), F.lit("%"))
     columns = [c for c in ("query_id", "ticket_id", "similarity", "category", "priority", "subject") if c in hits.columns]
     return hits.select(*[shown.alias(c) if c == "similarity" else F.col(c) for c in columns])
 

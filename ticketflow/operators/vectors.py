@@ -113,7 +113,7 @@ def _local(queries: pd.DataFrame, base: DataFrame, schema: StructType, k: int, q
 
 
 def _cells(queries: DataFrame, base: DataFrame, schema: StructType, k: int, query_id: str, base_id: str,
-           exclude_self: bool, block_rows: int) -> DataFrame:
+           block_rows: int) -> DataFrame:
     """Both sides large: vectors are grouped around pivots, and a query visits only cells that can matter.
 
     Round one visits the nearest cells that hold k rows and yields a k-th similarity per query. The
@@ -147,7 +147,6 @@ def _cells(queries: DataFrame, base: DataFrame, schema: StructType, k: int, quer
     cells = np.array(sorted(facts))
     sizes = np.array([facts[c][0] for c in cells])
     radii = np.array([facts[c][1] for c in cells])
-    need = k + 1 if exclude_self else k
 
     def far_from(unit):
         return np.sqrt(np.maximum(0.0, 2 - 2 * unit @ pivots.value[cells].T))
@@ -158,7 +157,7 @@ def _cells(queries: DataFrame, base: DataFrame, schema: StructType, k: int, quer
         order = far.argsort(axis=1, kind="stable")
         ahead = np.cumsum(sizes[order], axis=1) - sizes[order]
         chosen = np.zeros(far.shape, dtype=bool)
-        np.put_along_axis(chosen, order, ahead < need, axis=1)
+        np.put_along_axis(chosen, order, ahead < k, axis=1)
         return chosen
 
     def visits(batches, first):
@@ -181,8 +180,9 @@ def _cells(queries: DataFrame, base: DataFrame, schema: StructType, k: int, quer
 
     def meet(asked):
         """Blocks of the base against blocks of the queries that visit their cell."""
-        asked = stage(asked.select(query_id, "embedding", F.explode("__cells").alias("__cell")), "visits")
-        load = {r["__cell"]: r["n"] for r in asked.groupBy("__cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+        asked = stage(asked, "visits")
+        load = {r["__cell"]: r["n"] for r in asked.select(F.explode("__cells").alias("__cell")).groupBy("__cell").agg(
+            F.count(F.lit(1)).alias("n")).collect()}  # one row per cell
         plan = [(int(c), max(1, math.ceil(facts[c][0] / block_rows)), max(1, math.ceil(load[c] / block_rows)))
                 for c in load]
         if not plan:
@@ -191,7 +191,8 @@ def _cells(queries: DataFrame, base: DataFrame, schema: StructType, k: int, quer
         def parts():  # one row per cell, at most MAX_CELLS; made per side, as both meet in one cogroup
             return F.broadcast(base.sparkSession.createDataFrame(plan, "__cell int, __b bigint, __a bigint"))
 
-        left = (asked.join(parts(), "__cell").withColumn("__i", F.pmod(F.xxhash64(query_id), F.col("__a")))
+        left = (asked.select(query_id, "embedding", F.explode("__cells").alias("__cell")).join(parts(), "__cell")
+                .withColumn("__i", F.pmod(F.xxhash64(query_id), F.col("__a")))
                 .withColumn("__j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__b") - 1))))
         right = (rows.join(parts(), "__cell").withColumn("__j", F.pmod(F.xxhash64(base_id), F.col("__b")))
                  .withColumn("__i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__a") - 1))))
@@ -201,8 +202,7 @@ def _cells(queries: DataFrame, base: DataFrame, schema: StructType, k: int, quer
             if len(q) == 0 or len(b) == 0:
                 return pd.DataFrame(columns=schema.fieldNames())
             unit, _ = _unit(q["embedding"])
-            return _best(q[query_id].to_numpy(), unit, b.drop(columns=extra), k, base_id,
-                         exclude_self)[schema.fieldNames()]
+            return _best(q[query_id].to_numpy(), unit, b.drop(columns=extra), k, base_id, False)[schema.fieldNames()]
 
         key = ["__cell", "__i", "__j"]
         return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(pair, schema)
@@ -216,6 +216,32 @@ def _cells(queries: DataFrame, base: DataFrame, schema: StructType, k: int, quer
     return one.drop("rank").unionByName(two)
 
 
+def _by_copies(queries: DataFrame, base: DataFrame, schema: StructType, k: int, query_id: str, base_id: str,
+               payload: tuple[str, ...], exclude_self: bool, block_rows: int) -> DataFrame:
+    """Cells over distinct vectors. Equal queries have equal neighbours, so one of them asks for all.
+
+    Of equal base vectors only the lowest ids can be among the k, because ties go by id; the rest is cut,
+    per task first. One neighbour more is asked where a query's own row is to be left out.
+    """
+    wanted = k + 1 if exclude_self else k
+    same = Window.partitionBy(F.xxhash64("embedding"), "embedding").orderBy(base_id)
+    lowest = base.withColumn("__n", F.row_number().over(same)).where(F.col("__n") <= wanted).drop("__n")
+    keyed = queries.select(F.col(query_id).alias("__member"), F.xxhash64("embedding").alias("__h"), "embedding")
+    asking = stage(keyed.groupBy("__h", "embedding").agg(F.min("__member").alias("__rep")), "asking")
+    found = _rank(_cells(asking.select(F.col("__rep").alias(query_id), "embedding"), lowest, schema, wanted, query_id,
+                         base_id, block_rows), wanted, base_id)
+    hit = F.struct("rank", F.col(base_id).alias("id"), "similarity", *payload)
+    lists = found.groupBy(F.col("__q").alias("__rep")).agg(F.array_sort(F.collect_list(hit)).alias("__hits"))
+    members = keyed.join(asking, ["__h", "embedding"]).select("__member", "__rep")
+    hits = F.col("__hits")
+    if exclude_self:
+        hits = F.filter(hits, lambda h: h["id"] != F.col("__member"))
+    each = members.join(lists, "__rep").select("__member", F.posexplode(F.slice(hits, 1, k)).alias("__at", "__hit"))
+    return each.select(F.col("__member").alias("query_id"), (F.col("__at") + 1).alias("rank"),
+                       F.col("__hit.id").alias(base_id), F.round("__hit.similarity", 4).alias("similarity"),
+                       *[F.col(f"__hit.{c}").alias(c) for c in payload])
+
+
 def top_k(queries: DataFrame, base: DataFrame, k: int, query_id: str = "ticket_id", base_id: str = "ticket_id",
           payload: tuple[str, ...] = ("category", "priority", "subject"), exclude_self: bool = False,
           category: str | None = None, strategy: str = "auto", block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -233,11 +259,9 @@ def top_k(queries: DataFrame, base: DataFrame, k: int, query_id: str = "ticket_i
             F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).first()
         small = size["n"] <= MAX_LOCAL_QUERIES and size["n"] * (size["d"] or 0) * 8 <= MAX_LOCAL_BYTES
         strategy = "local" if small else "cells"
-    if strategy == "local":
-        found = _local(queries.select(query_id, "embedding").toPandas(), base, schema, k, query_id, base_id,
-                       exclude_self)
-    else:
-        found = _cells(queries, base, schema, k, query_id, base_id, exclude_self, block_rows)
+    if strategy == "cells":
+        return _by_copies(queries, base, schema, k, query_id, base_id, payload, exclude_self, block_rows)
+    found = _local(queries.select(query_id, "embedding").toPandas(), base, schema, k, query_id, base_id, exclude_self)
     return _rank(found, k, base_id).select(
         F.col("__q").alias("query_id"), "rank", base_id, F.round("similarity", 4).alias("similarity"), *payload)
 
