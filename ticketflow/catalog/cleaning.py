@@ -60,7 +60,12 @@ def scan_parquet(spark, sf):
 
 @query("columns_to_rows", "SELECT conv_id, turn, role, text FROM conversations")
 def columns_rows(spark, sf):
-    return columns_to_rows(fixture(spark, sf, "fx_chats"), ["turn", "role", "text"], ("conv_id",))
+    """Records of parallel arrays, at most 64 turns each, back to rows."""
+    part = F.floor(F.col("turn") / 64)
+    records = table(spark, sf, "conversations").groupBy("conv_id", part).agg(
+        F.collect_list(F.struct("turn", "role", "text")).alias("r"))
+    arrays = records.select("conv_id", *[F.col(f"r.{c}").alias(c) for c in ("turn", "role", "text")])
+    return columns_to_rows(arrays, ["turn", "role", "text"], ("conv_id",))
 
 
 @query("adapt_sources", SOURCES_SQL + """

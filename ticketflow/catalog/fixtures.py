@@ -115,11 +115,6 @@ SELECT d.doc_id, concat('DOC-', CAST(d.doc_id AS STRING)) AS ticket_id, d.n_char
 FROM labels l JOIN documents d ON l.doc_id = d.doc_id
 """
 
-CHATS = """
-SELECT conv_id, array_agg(turn) AS turn, array_agg(role) AS role, array_agg(text) AS text
-FROM conversations GROUP BY conv_id
-"""
-
 # view -> (tables or views it reads, text)
 VIEWS = {
     "fx_tickets": (("documents",), TICKETS),
@@ -128,7 +123,6 @@ VIEWS = {
     "fx_orders_triage": (("orders",), ORDERS),
     "fx_replies": (("orders",), REPLIES),
     "fx_labelled": (("documents", "labels"), LABELLED),
-    "fx_chats": (("conversations",), CHATS),
     "fx_raw_github": (("fx_tickets",), RAW_GITHUB),
     "fx_raw_a": (("fx_tickets",), RAW_A),
     "fx_raw_b": (("fx_tickets",), RAW_B),

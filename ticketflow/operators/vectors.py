@@ -247,21 +247,24 @@ def top_k(queries: DataFrame, base: DataFrame, k: int, query_id: str = "ticket_i
           category: str | None = None, strategy: str = "auto", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(query_id, rank, <base id>, similarity, payload)`` of the k most similar rows per query.
 
-    ``category`` restricts the base before ranking. ``auto`` counts the queries: a set small enough to
-    travel whole takes one scan of the base, a larger one goes through cells. Zero vectors match nothing.
+    ``category`` restricts the base before ranking. ``auto`` reads at most as many queries as may
+    travel whole: a set that ends before takes one scan of the base, a larger one goes through cells. Zero vectors match nothing.
     """
     if category is not None:
         base = base.where(F.col("category") == category)
     base = base.select(base_id, "embedding", *payload)
     schema = _hit_schema(queries, base, query_id)
-    if strategy == "auto":
-        size = queries.select(F.size("embedding").alias("d")).limit(MAX_LOCAL_QUERIES + 1).agg(
-            F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).first()
-        small = size["n"] <= MAX_LOCAL_QUERIES and size["n"] * (size["d"] or 0) * 8 <= MAX_LOCAL_BYTES
-        strategy = "local" if small else "cells"
+    slim = queries.select(query_id, "embedding")
+    if strategy == "local":
+        known = slim.toPandas()
+    elif strategy == "auto":
+        head = slim.select(F.size("embedding").alias("d")).first()
+        most = min(MAX_LOCAL_QUERIES, MAX_LOCAL_BYTES // (8 * max(1, head["d"] if head else 1)))
+        known = slim.limit(most + 1).toPandas()
+        strategy = "local" if len(known) <= most else "cells"
     if strategy == "cells":
         return _by_copies(queries, base, schema, k, query_id, base_id, payload, exclude_self, block_rows)
-    found = _local(queries.select(query_id, "embedding").toPandas(), base, schema, k, query_id, base_id, exclude_self)
+    found = _local(known, base, schema, k, query_id, base_id, exclude_self)
     return _rank(found, k, base_id).select(
         F.col("__q").alias("query_id"), "rank", base_id, F.round("similarity", 4).alias("similarity"), *payload)
 
