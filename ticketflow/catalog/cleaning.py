@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import SILVER_COLUMNS
+from ..constants import CATEGORIES, PRIORITIES, SILVER_COLUMNS, SOURCES
 from ..functions.labels import label_map_df, normalise_labels, route_by_category
 from ..functions.prompts import CLASSIFY_HEAD, CLASSIFY_TAIL, classify_prompt
 from ..functions.rules import default_priority
@@ -13,8 +13,8 @@ from ..operators.dedup import dedup
 from ..operators.quality import (
     expectations, in_set, min_length as length_rule, not_null, row_count, validate_requests, validate_tickets,
 )
-from ..constants import CATEGORIES, PRIORITIES, SOURCES
 from ..plans import silver as plan
+from ..session import work_path
 from ..sources.adapters import (
     adapt_github, adapt_passthrough, adapt_support_a, adapt_support_b, admit, combine, distinct_values, provenance,
     source_counts,
@@ -22,7 +22,6 @@ from ..sources.adapters import (
 from ..sources.augment import augment_from_templates
 from ..sources.readers import columns_to_rows, read_layer
 from ..sources.sinks import partition_counts, write_silver
-from ..session import work_path
 from . import sqltext as q
 from .fixtures import AS_OF, bronze, fixture, table, with_views
 from .registry import query

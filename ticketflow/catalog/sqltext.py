@@ -10,7 +10,7 @@ NOT_BLANK = f"[^{SPACE}]"
 # Letters of the tables' languages beyond ASCII. Wrapped in underscores they count as word characters.
 LATIN = r"[\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]"
 
-# (flag or None, pattern, replacement, options)
+# Fixed values: (flag or None, pattern, replacement, options). Rows without a flag wrap and unwrap letters.
 MASKING = (
     ("email", r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", "[EMAIL_REDACTED]", "gi"),
     (None, f"({LATIN})", r"_\1_", "g"),

@@ -30,7 +30,8 @@ def _members(text: Column) -> Column:
 
 
 def _word(members: Column, name: str, default: str) -> Column:
-    return F.when(F.map_contains_key(members, name), strip(F.lower(F.try_element_at(members, F.lit(name))))).otherwise(default)
+    given = strip(F.lower(F.try_element_at(members, F.lit(name))))
+    return F.when(F.map_contains_key(members, name), given).otherwise(default)
 
 
 def validate_reply(df: DataFrame, raw: str, out: str) -> DataFrame:

@@ -72,48 +72,31 @@ def rows_at(df: DataFrame, lead: Column, ties: list[str], fractions: list[float]
     places = [position(n, f) for f in fractions]
     if n == 0:
         return 0, [None] * len(fractions)
-    brackets = [(quantiles[2 * i], quantiles[2 * i + 1]) if quantiles else (None, None)
-                for i in range(len(fractions))]
-    known = [(lo, hi) for lo, hi in brackets if lo is not None]
-    counted = keys.agg(*[F.count_if(F.col("_lead") < lo).alias(f"below_{i}") for i, (lo, _) in enumerate(known)],
-                       *[F.count_if(F.col("_lead") <= hi).alias(f"upto_{i}") for i, (_, hi) in enumerate(known)],
-                       F.count(F.lit(1)).alias("n")).first() if known else None
-    proven = known and all(counted[f"below_{i}"] <= places[i] < counted[f"upto_{i}"] or places[i] >= n
-                           for i in range(len(known)))
-    if proven:
+    candidates, skipped = keys, [0] * len(places)
+    if quantiles:
+        brackets = [(quantiles[2 * i], quantiles[2 * i + 1]) for i in range(len(fractions))]
         inside = F.lit(False)
-        for lo, hi in known:
+        for lo, hi in brackets:
             inside = inside | F.col("_lead").between(lo, hi)
-        # rows below a bracket and in no other bracket are skipped, so shift positions by their number
-        candidates = keys.where(inside)
-        skipped = _skipped(keys, known)
-    else:
-        candidates, skipped = keys, [0] * len(places)
+        counts = keys.agg(*[c for i, (lo, hi) in enumerate(brackets) for c in (
+            F.count_if(F.col("_lead") < lo).alias(f"below_{i}"),
+            F.count_if(F.col("_lead") <= hi).alias(f"upto_{i}"),
+            F.count_if(~inside & (F.col("_lead") < lo)).alias(f"skipped_{i}"))]).first()
+        if all(place >= n or counts[f"below_{i}"] <= place < counts[f"upto_{i}"] for i, place in enumerate(places)):
+            # rows ahead of a bracket and in none are left out, so positions shift by their number
+            candidates = keys.where(inside)
+            skipped = [counts[f"skipped_{i}"] for i in range(len(places))]
     blocks = sorted_blocks(candidates, ["_lead", *ties])
-    offsets = [tuple(r) for r in _offsets(blocks, {"_base": F.count(F.lit(1))}).collect()]
-    offsets.sort()
+    offsets = sorted(tuple(r) for r in _offsets(blocks, {"_base": F.count(F.lit(1))}).collect())  # a row per block
     picks = []
     for place, skip in zip(places, skipped):
         if place >= n:
             picks.append(None)
             continue
-        block, base = max((o for o in offsets if o[1] <= place - skip), key=lambda o: (o[1], o[0]))
+        block, base = max((o for o in offsets if o[1] <= place - skip), key=lambda o: o[1])
         picks.append((block, place - skip - base))
-    asked = [p for p in picks if p is not None]
-    found = {}
-    if asked:
-        condition = F.lit(False)
-        for block, pos in asked:
-            condition = condition | ((F.col("_block") == block) & (F.col("_pos") == pos))
-        found = {(r["_block"], r["_pos"]): r for r in blocks.where(condition).collect()}
-    return n, [found.get(p) if p is not None else None for p in picks]
-
-
-def _skipped(keys: DataFrame, brackets: list[tuple]) -> list[int]:
-    """Per bracket, the number of rows ahead of it that belong to no bracket."""
-    outside = F.lit(True)
-    for lo, hi in brackets:
-        outside = outside & ~F.col("_lead").between(lo, hi)
-    row = keys.agg(*[F.count_if(outside & (F.col("_lead") < lo)).alias(f"s{i}")
-                     for i, (lo, _) in enumerate(brackets)]).first()
-    return [row[i] for i in range(len(brackets))]
+    wanted_rows = F.lit(False)
+    for block, pos in filter(None, picks):
+        wanted_rows = wanted_rows | ((F.col("_block") == block) & (F.col("_pos") == pos))
+    found = {(r["_block"], r["_pos"]): r for r in blocks.where(wanted_rows).collect()}  # a row per fraction
+    return n, [found.get(p) if p else None for p in picks]

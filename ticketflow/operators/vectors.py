@@ -248,7 +248,8 @@ def top_k(queries: DataFrame, base: DataFrame, k: int, query_id: str = "ticket_i
     """``(query_id, rank, <base id>, similarity, payload)`` of the k most similar rows per query.
 
     ``category`` restricts the base before ranking. ``auto`` reads at most as many queries as may
-    travel whole: a set that ends before takes one scan of the base, a larger one goes through cells. Zero vectors match nothing.
+    travel whole: a set that ends before takes one scan of the base, a larger one goes through cells. Zero
+    vectors match nothing.
     """
     if category is not None:
         base = base.where(F.col("category") == category)

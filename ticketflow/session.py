@@ -91,7 +91,7 @@ def spread(df):
     Text expressions are bound by CPU, and a small file often is a single split. From one full split per
     core on, and on streams, the table is left as it is, so large inputs are never shuffled for this.
     """
-    if df.isStreaming:
+    if df.isStreaming or not hasattr(df, "_jdf"):
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
