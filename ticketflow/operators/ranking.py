@@ -59,9 +59,9 @@ def rows_at(df: DataFrame, lead: Column, ties: list[str], fractions: list[float]
             position: Callable[[int, float], int]) -> tuple[int, list]:
     """Row count, and the keys found at ``position(n, fraction)`` of the sorted table (None past its end).
 
-    The order is ``lead``, a number, then ``ties``; a key row holds ``_lead`` and the ties. Approximate quantiles bracket each position, two
-    counts prove the bracket, and only the rows inside are sorted. A bracket that fails the proof is
-    widened to the whole table, so results are exact.
+    The order is ``lead``, a number, then ``ties``; a key row holds ``_lead`` and the ties. Approximate
+    quantiles bracket each position, two counts prove the bracket, and only the rows inside are sorted. A
+    bracket that fails the proof is widened to the whole table, so results are exact.
     """
     keys = df.select(lead.alias("_lead"), *ties)
     slack = 0.001
