@@ -5,7 +5,7 @@ Nothing outside this folder imports it. ``load`` returns its registered queries
 
 from importlib import import_module
 
-MODULES = ("bestfit", "simhash", "binpack")
+MODULES = ("pieces", "bestfit", "simhash", "binpack")
 
 
 def load():
