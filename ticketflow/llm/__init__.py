@@ -5,7 +5,7 @@ Nothing outside this folder imports it. ``load`` returns its registered queries
 
 from importlib import import_module
 
-MODULES = ("pieces", "bestfit", "chat", "privacy", "simhash", "embeddings", "binpack")
+MODULES = ("pieces", "quality", "bestfit", "chat", "privacy", "simhash", "embeddings", "binpack")
 
 
 def load():
