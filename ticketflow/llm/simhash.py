@@ -142,12 +142,19 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def candidates(classes: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
-    """Distinct ``fp`` that come within the threshold of another one in some partition."""
-    probes = []
+def candidates(classes: DataFrame, plan: list[tuple[list[int], int]], radius: int = RADIUS) -> DataFrame:
+    """Distinct ``fp`` that come within the threshold of another one in some partition.
+
+    The bits outside the partition differ by ``radius`` at most, so they are cut into ``radius + 1`` groups of which one
+    must agree; only fingerprints that agree there too stay. Few that met by chance do.
+    """
+    probes, inner = [], []
     for i, (bits, t) in enumerate(plan):
         mask = _signed(sum(1 << b for b in bits))
         flips = [_signed(sum(1 << b for b in c)) for k in range(t + 1) for c in combinations(bits, k)]
+        rest = [b for b in range(BITS) if b not in bits]
+        inner.append(F.when(F.col("part") == i, F.array(*[F.lit(_signed(sum(1 << b for b in rest[g::radius + 1])))
+                                                          for g in range(radius + 1)])))
         own = F.col("fp").bitwiseAND(F.lit(mask))
         probes.append(classes.select(F.lit(i).alias("part"), F.explode(F.array(*[F.lit(f) for f in flips])).alias("flip"),
                                      own.alias("own"), "fp")
@@ -156,9 +163,14 @@ def candidates(classes: DataFrame, plan: list[tuple[list[int], int]]) -> DataFra
     keys = probes[0]
     for more in probes[1:]:
         keys = keys.union(more)
-    met = (keys.groupBy("part", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.max("indexed").alias("hit"))
-           .where("lo <> hi and hit").select("part", "key"))
-    return keys.join(met, ["part", "key"]).select("fp").distinct()
+
+    def met(rows, by):
+        return (rows.groupBy(*by).agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.max("indexed").alias("hit"))
+                .where("lo <> hi and hit").select(*by))
+    close = keys.join(met(keys, ["part", "key"]), ["part", "key"])
+    finer = close.select("*", F.explode(F.coalesce(*inner)).alias("mask")).withColumn("rest", F.col("fp").bitwiseAND(F.col("mask")))
+    by = ["part", "key", "mask", "rest"]
+    return finer.join(met(finer, by), by).select("fp").distinct()
 
 
 def links(fps: DataFrame) -> DataFrame:
