@@ -5,7 +5,8 @@ Nothing outside this folder imports it. ``load`` returns its registered queries
 
 from importlib import import_module
 
-MODULES = ("pieces", "quality", "fingerprints", "bestfit", "chat", "privacy", "simhash", "embeddings", "binpack")
+MODULES = ("suffixes", "pieces", "quality", "fingerprints", "bestfit", "chat", "privacy", "simhash", "embeddings",
+           "binpack")
 
 
 def load():
