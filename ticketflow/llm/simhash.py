@@ -43,13 +43,16 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
 
 
-def with_fingerprint(docs: DataFrame, words: int = 3) -> DataFrame:
-    """``(doc_id, fp)``, ``fp`` as a signed long; one row per row of ``docs``."""
+def with_fingerprint(docs: DataFrame, words: int = 3, row: str | None = None) -> DataFrame:
+    """``(doc_id, fp)``, ``fp`` as a signed long, and the long column ``row`` if named; one row per row of ``docs``."""
+    names = ["doc_id", *([row] if row else [])]
+
     def run(batches):
         for pdf in batches:
             prints = np.array([fingerprint(t, words) for t in pdf["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": prints})
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, fp long")
+            yield pdf[names].assign(fp=prints)
+    return docs.select(*[F.col(c).cast("long") for c in names], F.col("text").cast("string")).mapInPandas(
+        run, ", ".join(f"{c} long" for c in [*names, "fp"]))
 
 
 def bit_statistics(classes: DataFrame) -> tuple[int, np.ndarray]:
@@ -181,23 +184,32 @@ def links(fps: DataFrame) -> DataFrame:
     return (groups.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b").distinct())
 
 
-def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
-    """``(doc_id, fp, component_id)`` for every row: documents whose fingerprints differ in at most two bits
+def near_duplicates(docs: DataFrame, words: int = 3, row: str | None = None) -> DataFrame:
+    """``(doc_id, fp, component_id)`` for every row, and ``component`` (a name of the group), and the long column ``row`` if named: documents whose fingerprints differ in at most two bits
     are linked, and ``component_id`` is the smallest doc_id that links reach.
 
     Null text counts as empty; texts without words have fingerprint zero and are linked like any other.
     Rows with the same doc_id stay rows of their own; a null doc_id is never the smallest one unless all of
     its component are null. An empty table gives an empty result. Other columns are ignored.
     """
-    prints = cut(with_fingerprint(docs, words))
+    prints = cut(with_fingerprint(docs, words, row))
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     n, both = bit_statistics(classes)
     roots = components(links(cut(candidates(classes, allocate(n, both)))))
     grouped = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root"))
     low = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = cut(grouped.join(low, "root").select("fp", "component_id"))
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    labels = cut(grouped.join(low, "root").select("fp", "component_id", F.col("root").alias("component")))
+    return prints.join(labels, "fp").select("doc_id", "fp", "component_id", "component", *([row] if row else []))
+
+
+def first_of_groups(docs: DataFrame, words: int = 3) -> DataFrame:
+    """``docs`` (all columns) with one row of each group: that with the smallest doc_id, null ids last; of several, the first one."""
+    marked = cut(docs.withColumn("_group_row", F.monotonically_increasing_id()))
+    found = cut(near_duplicates(marked, words, "_group_row"))
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_group_row")
+    low = found.groupBy("component").agg(F.min(order).alias("low")).select(F.col("low._group_row").alias("_group_row"))
+    return marked.join(low, "_group_row", "left_semi").select(*docs.columns)
 
 
 @query("op8_simhash_near_dedup")
