@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -13,7 +14,7 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     session = build_session("tests", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="6g",
-                            spark__ui__showConsoleProgress="false")
+                            spark__ui__showConsoleProgress="false", spark__checkpoint__dir=tempfile.mkdtemp(prefix="ticketflow-tests-"))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     release(session)

@@ -1,6 +1,7 @@
 """Sources, sinks, the batch chain and streams, end to end."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from ticketflow.session import shared_dir, work_path
 from ticketflow.sources import adapters as ad
 from ticketflow.sources import readers as rd
 from ticketflow.sources import sinks
-from ticketflow.sources.augment import TEMPLATES, augment_from_templates
+from ticketflow.sources.augment import augment, missing_rows
 from ticketflow.streaming import intake, metrics
 
 LONG = "a body that is long enough to pass"
@@ -46,7 +47,7 @@ def test_issue_pages(spark, tmp_path):
     got = ad.adapt_github(flat).collect()
     assert [(r["ticket_id"], r["source"]) for r in got] == [("GH-org/app-7", "github")]
     missing = ad.adapt_github(flat.withColumn("issue_number", F.lit(None).cast("long")))
-    assert missing.first()["ticket_id"] == missing.first()["ticket_id"] and len(missing.first()["ticket_id"]) == len("GH-org/app-") + 6
+    assert missing.first()["ticket_id"] == missing.first()["ticket_id"] and len(missing.first()["ticket_id"]) == len("GH-org/app-") + 40
 
 
 def test_support_b_and_lines(spark, tmp_path):
@@ -65,15 +66,21 @@ def test_extra_columns_survive_the_union(spark):
 
 
 def test_augment_repeats(spark):
-    ids = spark.range(400).withColumnRenamed("id", "k")
-    category = F.element_at(F.array(*[F.lit(c) for c in TEMPLATES]), (F.col("k") % 4 + 1).cast("int"))
-    first = augment_from_templates(ids, "k", category, "2025-01-01 00:00:00")
-    again = augment_from_templates(ids.repartition(3), "k", category, "2025-01-01 00:00:00")
-    assert sorted(map(str, first.collect())) == sorted(map(str, again.collect()))
-    assert first.where(F.col("body").rlike(r"\{[a-z_]+\}") | F.col("body").isNull()).count() == 0
-    assert first.count() == 400 and ad.admit(first).count() == 400
-    other = augment_from_templates(ids, "k", category, "2025-01-01 00:00:00", seed=7)
-    assert sorted(r["body"] for r in other.collect()) != sorted(r["body"] for r in first.collect())
+    wordings = spark.createDataFrame([(1, "bug", "It {verb} and {gone} again, says the door"), (2, "bug", "Nothing to fill in, just a text"), (3, "docs", "x" * 30)],
+                                     "template_id int, category string, body string")
+    counts = spark.createDataFrame([("bug", 400), ("docs", 0), ("ui", 5)], "category string, n long")
+    fills = {"verb": ("rings", "sticks", "falls")}
+
+    def made(w=wordings, **more):
+        return augment(w, counts, "2025-01-01 00:00:00", fills, **more)
+    first = sorted(map(str, made().collect()))
+    assert first == sorted(map(str, made(wordings.repartition(3)).collect()))
+    assert made().count() == 400 and ad.admit(made()).count() == 400 and made().select("ticket_id").distinct().count() == 400
+    assert made().where(F.col("body").rlike(r"[{}]") | F.col("body").isNull()).count() == 0
+    assert {r[0].split()[1] for r in made().where("body like 'It%'").select("body").collect()} == {"rings", "sticks", "falls"}
+    assert sorted(map(str, made(seed=7).collect())) != first
+    lacking = missing_rows(spark.createDataFrame([("a",), ("a",), ("b",)], "category string"), 2)
+    assert [tuple(r) for r in lacking.collect()] == [("b", 1)]
 
 
 def test_silver_options(spark):
@@ -185,20 +192,29 @@ def files(spark, tmp_path, df, parts=3):
 
 
 def test_stream_equals_table(spark, sf, tmp_path):
+    """Several batches, in any order: every window, open ones too, as in the batch twin."""
     log = fixture(spark, sf, "fx_log").select("ts", "status", "duration", "handler").withColumn("ts", F.col("ts").cast("timestamp"))
     stream = files(spark, tmp_path, log)
-    # files come in any order here, so lateness is set beyond the range of the data
-    streamed = intake.run_once(metrics.request_count(metrics.with_watermark(stream, late="60 days")), "t")
-    assert streamed.count() == 0
-    ordered = log.orderBy("ts").coalesce(1)
-    path = str(tmp_path / "one")
-    ordered.write.parquet(path)
-    one = spark.readStream.schema(log.schema).parquet(path)
-    got = intake.run_once(metrics.request_count(metrics.with_watermark(one)), "u")
-    batch = metrics.request_count(log)
-    last = log.agg(F.max("ts")).first()[0]
-    closed = batch.where(F.col("window_end") <= F.lit(last) - F.expr("INTERVAL 10 MINUTES"))
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, closed.collect()))
+    keys = ["window_start", "window_end"]
+    got, late = intake.windows_once(metrics.request_count(metrics.with_watermark(stream, late="60 days")), "t", keys)
+    assert late == 0
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, metrics.request_count(log).collect()))
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    """A watermark drops rows from the batch after next on."""
+    from datetime import datetime, timedelta
+    start = datetime(2024, 1, 1)
+    path, seen = str(tmp_path / "in"), set()
+    for n, hours in enumerate([(5, 6, 7), (8,), (0,)]):
+        rows = spark.createDataFrame([(start + timedelta(hours=h), 200) for h in hours], "ts timestamp, status int")
+        rows.coalesce(1).write.mode("append").parquet(path)
+        for file in set((tmp_path / "in").glob("*.parquet")) - seen:
+            os.utime(file, (n + 1, n + 1))  # files are read in this order
+            seen.add(file)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got, late = intake.windows_once(metrics.request_count(metrics.with_watermark(stream), "1 hour", None), "late", ["window_start", "window_end"])
+    assert late == 1 and got.count() == 4
 
 
 def test_streamed_log_is_the_batch_log(spark, tmp_path):

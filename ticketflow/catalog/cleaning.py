@@ -19,7 +19,7 @@ from ..sources.adapters import (
     adapt_github, adapt_passthrough, adapt_support_a, adapt_support_b, admit, combine, distinct_values, provenance,
     source_counts,
 )
-from ..sources.augment import augment_from_templates
+from ..sources.augment import augment as augmented, missing_rows
 from ..sources.readers import columns_to_rows, read_layer
 from ..sources.sinks import partition_counts, write_silver
 from . import sqltext as q
@@ -32,10 +32,10 @@ adapted AS (
   SELECT concat('GH-', coalesce(repo, 'unknown'), '-', CAST(issue_number AS VARCHAR)) AS ticket_id, 'github' AS source,
          created_at, title AS subject, body, labels AS labels_raw FROM fx_raw_github
   UNION ALL
-  SELECT concat('HF-A-', substr(sha1(concat(subject, chr(31), body)), 1, 8)), 'hf_customer_support', NULL, subject, body,
+  SELECT concat('HF-A-', sha1(concat(subject, chr(31), body))), 'hf_customer_support', NULL, subject, body,
          [coalesce(queue, ''), coalesce(type, '')] FROM fx_raw_a
   UNION ALL
-  SELECT concat('HF-B-', substr(sha1(concat(Ticket_Subject, chr(31), Combined_Text)), 1, 8)), 'hf_customer_support', NULL,
+  SELECT concat('HF-B-', sha1(concat(Ticket_Subject, chr(31), Combined_Text))), 'hf_customer_support', NULL,
          Ticket_Subject, Combined_Text, [coalesce(Ticket_Type, '')] FROM fx_raw_b
   UNION ALL
   SELECT ticket_id, source, created_at, subject, body, labels_raw FROM fx_raw_synthetic),
@@ -307,9 +307,46 @@ def expectation_rows(spark, sf):
         in_set("category", CATEGORIES), in_set("priority", PRIORITIES), length_rule("body")])
 
 
-@query("augment")
+FILLS = {"component": ("door", "lift", "gate"), "amount": ("5 EUR", "70 EUR")}
+SEEDED = "concat('42:', category, ':', k{})"
+
+
+def _drawn(name: str, size: str) -> str:
+    return f"CAST('0x' || substr(sha1({SEEDED.format(f", ':{name}'")}), 1, 12) AS BIGINT) % {size}"
+
+
+def _filled(body: str) -> str:
+    for name, values in FILLS.items():
+        listed = ", ".join(f"'{v}'" for v in values)
+        body = f"replace({body}, '{{{name}}}', ([{listed}])[{_drawn(name, str(len(values)))} + 1])"
+    return f"regexp_replace({body}, '\\{{[a-z_0-9]+\\}}', '', 'g')"
+
+
+@query("augment", with_views("fx_tickets") + f""",
+rows AS (SELECT {q.CATEGORY} AS category FROM fx_tickets),
+have AS (SELECT category, count(*) AS n FROM rows GROUP BY category),
+wanted AS (SELECT category, (SELECT max(n) FROM have) - n AS n FROM have),
+templates AS (SELECT category, list(concat('About {{component}} for {{amount}} {{unknown}}: ', text) ORDER BY item_id) AS options
+              FROM benchmark, (SELECT category, row_number() OVER (ORDER BY category) AS c FROM have) h
+              WHERE item_id % (SELECT count(*) FROM have) + 1 = h.c GROUP BY category),
+made AS (SELECT category, unnest(range(n)) AS k FROM wanted),
+filled AS (SELECT category, k, options[{_drawn('template', 'len(options)')} + 1] AS raw FROM made JOIN templates USING (category)),
+bodies AS (SELECT category, k, {_filled('raw')} AS body FROM filled)
+SELECT concat('SYN-', sha1({SEEDED.format('')})) AS ticket_id, 'synthetic' AS source,
+       strftime(TIMESTAMP '{AS_OF}' - to_days(CAST({_drawn('age', '366')} AS INTEGER)), '%Y-%m-%dT%H:%M:%S') AS created_at,
+       concat(upper(substr(category, 1, 1)), substr(category, 2), ' Issue - ', substr(body, 1, 30), '...') AS subject, body, category,
+       CASE WHEN category IN ('security', 'incident') THEN 'high' ELSE 'medium' END AS priority,
+       CASE category WHEN 'security' THEN 'security' WHEN 'billing' THEN 'billing' ELSE 'support' END AS routing_team,
+       (['free', 'pro', 'enterprise'])[{_drawn('tier', '3')} + 1] AS customer_tier
+FROM bodies""")
 def augment(spark, sf):
-    """One made-up ticket per ticket of a frequent category, spread over the rare ones."""
-    wanted = F.element_at(F.array(*[F.lit(c) for c in ("security", "billing", "sla_breach", "incident")]),
-                          (F.pmod(F.xxhash64("doc_id"), F.lit(4)) + 1).cast("int"))
-    return augment_from_templates(table(spark, sf, "documents").select("doc_id"), "doc_id", wanted, AS_OF)
+    """Rare categories are filled up to the size of the largest one, with the wordings of the benchmark table."""
+    rows = normalised(spark, sf)
+    names = rows.select("category").distinct().orderBy("category").toPandas()["category"]  # the fixed categories
+    have = rows.groupBy("category").count()
+    wordings = table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("template_id"), F.get(F.array(*[F.lit(n) for n in names]), F.pmod("item_id", F.lit(len(names))).cast("int")).alias("category"),
+        F.concat(F.lit("About {component} for {amount} {unknown}: "), "text").alias("body"))
+    most = have.agg(F.max("count")).first()[0] or 0
+    made = augmented(wordings, missing_rows(rows, most), AS_OF, FILLS)
+    return made.drop("comments", "labels_raw")

@@ -131,7 +131,10 @@ VIEWS = {
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf}/{name}.parquet")
+    """A given table, in as many partitions as the session asks for in ``ticketflow.readPartitions`` (unset: as read)."""
+    rows = prepare(spark).read.parquet(f"{sf}/{name}.parquet")
+    parts = spark.conf.get("ticketflow.readPartitions", None)
+    return rows.repartition(int(parts)) if parts else rows
 
 
 def fixture(spark: SparkSession, sf: str, name: str) -> DataFrame:

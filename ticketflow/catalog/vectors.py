@@ -9,8 +9,8 @@ from ..operators.dedup import upsert
 from ..operators.evaluate import hit_rate_at_k, precision_at_k
 from ..operators.joins import best_overlap
 from ..operators.log import display_hits
-from ..operators.vectors import attach_vectors, collect_hits, kb_rows, top_k
-from ..plans.evaluation import neighbours
+from ..operators.vectors import approximate_top_k, attach_vectors, collect_hits, kb_rows, top_k
+from ..plans.evaluation import eval_retrieval, neighbours
 from . import sqltext as q
 from .fixtures import fixture, table, with_views
 from .registry import query
@@ -69,19 +69,22 @@ def vectors_attached(spark, sf):
 
 @query("vector_upsert", KB + """,
 both_sides AS (
-  SELECT ticket_id, split, category, subject, vec_id % 3 AS version, 0 AS new FROM fx_kb
-  UNION ALL SELECT ticket_id, 'val', category, 'updated', 1, 1 FROM fx_kb WHERE split = 'test'
-  UNION ALL SELECT concat(ticket_id, '-N'), split, category, 'added', 1, 1 FROM fx_kb WHERE split = 'val')
-SELECT ticket_id, split, category, subject, version FROM (
+  SELECT ticket_id, embedding, split, category, subject, vec_id % 3 AS version, 0 AS new FROM fx_kb
+  UNION ALL SELECT ticket_id, list_transform(embedding, lambda x: x * 2), 'val', category, 'updated', 1, 1 FROM fx_kb WHERE split = 'test'
+  UNION ALL SELECT concat(ticket_id, '-N'), embedding, split, category, 'added', 1, 1 FROM fx_kb WHERE split = 'val')
+SELECT ticket_id, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total, split, category, subject, version FROM (
   SELECT *, row_number() OVER (PARTITION BY ticket_id ORDER BY version DESC, new DESC) AS rn FROM both_sides) WHERE rn = 1""")
 def vector_upsert(spark, sf):
-    base = fixture(spark, sf, "fx_kb").select("ticket_id", "split", "category", "subject",
+    base = fixture(spark, sf, "fx_kb").select("ticket_id", "embedding", "split", "category", "subject",
                                               (F.col("vec_id") % 3).cast("int").alias("version"))
-    changed = base.where("split = 'test'").select("ticket_id", F.lit("val").alias("split"), "category",
+    doubled = F.transform("embedding", lambda x: (x * 2).cast("float")).alias("embedding")
+    changed = base.where("split = 'test'").select("ticket_id", doubled, F.lit("val").alias("split"), "category",
                                                   F.lit("updated").alias("subject"), F.lit(1).alias("version"))
-    added = base.where("split = 'val'").select(F.concat("ticket_id", F.lit("-N")).alias("ticket_id"), "split", "category",
+    added = base.where("split = 'val'").select(F.concat("ticket_id", F.lit("-N")).alias("ticket_id"), "embedding", "split", "category",
                                                F.lit("added").alias("subject"), F.lit(1).alias("version"))
-    return upsert(base, changed.unionByName(added), "ticket_id", "version")
+    total = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+    out = upsert(base, changed.unionByName(added), "ticket_id", "version")
+    return out.select("ticket_id", F.round(total, 4).alias("total"), "split", "category", "subject", "version")
 
 
 @query("topk_cosine", best(K) + HITS)
@@ -92,9 +95,16 @@ def topk_cosine(spark, sf):
 
 @query("topk_blocked", best(K, "q.ticket_id <> b.ticket_id") + HITS)
 def topk_blocked(spark, sf):
-    """The way taken when neither side can travel whole."""
+    """Many blocks on both sides."""
+    rows = kb(spark, sf)
+    return top_k(rows, rows, K, exclude_self=True, block_rows=512)
+
+
+@query("topk_local", best(K) + HITS)
+def topk_local(spark, sf):
+    """Few queries, sent to each task that scans the base."""
     rows = kb(spark, sf)
-    return top_k(rows, rows, K, exclude_self=True, strategy="cells", block_rows=256)
+    return top_k(rows, rows, K, strategy="local")
 
 
 @query("topk_filtered", best(K, "b.category = 'security'") + HITS)
@@ -112,22 +122,55 @@ def hits_shown(spark, sf):
     return display_hits(top_k(rows, rows, K))
 
 
-@query("retrieval_hit_rate", best(K, "q.ticket_id <> b.ticket_id") + """,
-m AS (SELECT query_id, count(*) FILTER (WHERE category = query_category) AS matches FROM hits GROUP BY query_id)
+def asked(spark, sf):
+    """All rows, and some with a zero vector, which find nothing."""
+    rows = fixture(spark, sf, "fx_kb").select("vec_id", "ticket_id", "category", "embedding")
+    zero = rows.where("vec_id % 50 = 0").withColumns({
+        "ticket_id": F.concat(F.lit("Z-"), "ticket_id"), "embedding": F.transform("embedding", lambda x: x * 0)})
+    return rows.unionByName(zero).drop("vec_id")
+
+
+MATCHES = """
+asked AS (SELECT ticket_id AS query_id, category AS query_category FROM fx_kb
+          UNION ALL SELECT concat('Z-', ticket_id), category FROM fx_kb WHERE vec_id % 50 = 0),
+m AS (SELECT a.query_id, a.query_category, count(*) FILTER (WHERE h.category = a.query_category) AS matches
+      FROM asked a LEFT JOIN hits h ON h.query_id = a.query_id GROUP BY ALL)"""
+
+
+@query("retrieval_hit_rate", best(K, "q.ticket_id <> b.ticket_id") + "," + MATCHES + """
 SELECT count(*) AS queries, count(*) FILTER (WHERE matches > 0) AS found,
        round(avg(CASE WHEN matches > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate FROM m""")
 def retrieval_hit_rate(spark, sf):
     rows = kb(spark, sf)
-    return hit_rate_at_k(neighbours(rows, rows, K, exclude_self=True)).withColumn("hit_rate", F.round("hit_rate", 6))
+    return hit_rate_at_k(neighbours(asked(spark, sf), rows, K, exclude_self=True)).withColumn("hit_rate", F.round("hit_rate", 6))
 
 
-@query("retrieval_precision", best(K) + f"""
-SELECT query_category, count(DISTINCT query_id) AS queries,
-       round(count(*) FILTER (WHERE category = query_category) / ({K} * count(DISTINCT query_id)), 6) AS precision
-FROM hits GROUP BY query_category""")
+@query("retrieval_precision", best(K) + "," + MATCHES + f"""
+SELECT query_category, count(*) AS queries, round(sum(matches) / ({K} * count(*)), 6) AS precision
+FROM m GROUP BY query_category""")
 def retrieval_precision(spark, sf):
+    return precision_at_k(neighbours(asked(spark, sf), kb(spark, sf), K), K).withColumn("precision", F.round("precision", 6))
+
+
+@query("eval_retrieval", best(K) + "," + MATCHES + f"""
+SELECT query_category, count(*) AS queries, round(sum(matches) / ({K} * count(*)), 6) AS precision, NULL AS hit_rate
+FROM m GROUP BY query_category
+UNION ALL SELECT 'all', count(*), NULL, round(avg(CASE WHEN matches > 0 THEN 1.0 ELSE 0.0 END), 6) FROM m""")
+def retrieval_evaluated(spark, sf):
+    rate, precision = eval_retrieval(asked(spark, sf), kb(spark, sf), K, sample=None)
+    none = F.lit(None).cast("double")
+    return precision.select("query_category", "queries", F.round("precision", 6).alias("precision"), none.alias("hit_rate")).union(
+        rate.select(F.lit("all"), "queries", none, F.round("hit_rate", 6)))
+
+
+@query("approximate_recall")
+def approximate_recall(spark, sf):
+    """Share of the k nearest rows that the approximate search finds, over all rows."""
     rows = kb(spark, sf)
-    return precision_at_k(neighbours(rows, rows, K), K).withColumn("precision", F.round("precision", 6))
+    exact = top_k(rows, rows, K).select("query_id", "ticket_id")
+    found = approximate_top_k(rows, rows, K).select("query_id", "ticket_id", F.lit(1).alias("hit"))
+    return exact.join(found, ["query_id", "ticket_id"], "left").agg(
+        F.count(F.lit(1)).alias("wanted"), F.sum(F.coalesce("hit", F.lit(0))).alias("found"))
 
 
 CONTEXT = best(3, "q.ticket_id <> b.ticket_id") + """,
@@ -151,14 +194,14 @@ def rag_context(spark, sf):
 
 
 @query("rag_prompt", CONTEXT + """
-SELECT c.query_id, concat('HISTORICAL SIMILAR TICKETS:', chr(10), c.context, chr(10), chr(10), '---', chr(10), 'NEW TICKET:', chr(10),
-  'Category: ', k.category, chr(10), 'Priority: ', k.priority, chr(10), 'Subject: ', substr(k.subject, 1, 300), chr(10),
-  'Description: ', substr(k.subject, 1, 500), chr(10), chr(10),
+SELECT c.query_id, concat('A ticket of category <', k.category, '> and priority <', k.priority, '> says: ', substr(k.subject, 1, 300),
+  ' -- ', substr(concat('body of ', k.subject), 1, 500), chr(10), chr(10), 'Tickets found for it:', chr(10), c.context, chr(10), chr(10),
   'Using the earlier tickets, state the first action, the likely cause, the steps to resolve it, and whether and to which team to escalate.') AS prompt
 FROM context c JOIN fx_kb k ON c.query_id = k.ticket_id""")
 def rag_prompt(spark, sf):
     rows = kb(spark, sf).drop("embedding").withColumnRenamed("ticket_id", "query_id")
-    prompt = answer_prompt(F.col("subject"), F.col("subject"), F.col("category"), F.col("priority"), F.col("context"))
+    body = F.concat(F.lit("body of "), "subject")
+    prompt = answer_prompt(F.col("subject"), body, F.col("category"), F.col("priority"), F.col("context"))
     return contexts(spark, sf).join(rows, "query_id").select("query_id", prompt.alias("prompt"))
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_CREATED, FEATURES, SOURCE_CODES, TIER_CODES
-from ..session import spread
 from .text import SPACE, full_text, plain
 
 TOKEN = rf"[\x21-\x7e[^{SPACE}]]"
@@ -93,7 +92,6 @@ def context_features(df: DataFrame, profile: str = "batch") -> dict[str, Column]
 
 def features(df: DataFrame, as_of: str, profile: str = "batch", keep: tuple[str, ...] = ("ticket_id",)) -> DataFrame:
     """One row of features per ticket: a single projection over the scan."""
-    df = spread(df)
     columns = {
         **text_features(F.col("subject"), F.col("body"), profile),
         **time_features(F.col("created_at"), as_of, profile),

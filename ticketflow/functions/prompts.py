@@ -59,13 +59,11 @@ def format_context(hits: Column) -> Column:
 
 
 def answer_prompt(subject: Column, body: Column, category: Column, priority: Column, context: Column) -> Column:
+    """The request in one sentence, its text, and then what was found. Subject and body are cut at fixed lengths."""
     return F.concat(
-        F.lit("HISTORICAL SIMILAR TICKETS:\n"), context,
-        F.lit("\n\n---\nNEW TICKET:\nCategory: "), category,
-        F.lit("\nPriority: "), priority,
-        F.lit("\nSubject: "), F.substring(_text(subject), 1, 300),
-        F.lit("\nDescription: "), F.substring(_text(body), 1, 500),
-        F.lit(ANSWER_TAIL),
+        F.lit("A ticket of category <"), category, F.lit("> and priority <"), priority, F.lit("> says: "),
+        F.substring(_text(subject), 1, 300), F.lit(" -- "), F.substring(_text(body), 1, 500),
+        F.lit("\n\nTickets found for it:\n"), context, F.lit(ANSWER_TAIL),
     )
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_CREATED, EMBED_CUT, EMBED_EMPTY, EMBED_SEPARATOR
-from ..session import spread
 
 # Unicode whitespace, spelled out because a bare \s covers ASCII only.
 SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -82,7 +81,7 @@ def mask_columns(df: DataFrame, columns: list[str], flags_column: str) -> DataFr
     A flag is set where a stage changed the text, so each pattern scans a text once.
     """
     original, flagged = df.columns, []
-    df = spread(df).withColumns({f"__{c}_digits": F.col(c).rlike(r"\p{Nd}") for c in columns})
+    df = df.withColumns({f"__{c}_digits": F.col(c).rlike(r"\p{Nd}") for c in columns})
     for index, (flag, pattern, replacement) in enumerate(PII):
         stage = {}
         for c in columns:

@@ -10,14 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from ..session import stage
-
 MAX_LOCAL_QUERIES = 10_000
-MAX_LOCAL_BYTES = 64 << 20
 BLOCK_ROWS = 4096
-MAX_CELLS = 1024
 DIGITS = 10  # similarities are compared at this many digits, so that equal vectors tie
-SLACK = 1e-6
 
 
 def kb_rows(df: DataFrame) -> DataFrame:
@@ -112,164 +107,96 @@ def _local(queries: pd.DataFrame, base: DataFrame, schema: StructType, k: int, q
     return base.mapInPandas(scan, schema)
 
 
-def _cells(queries: DataFrame, base: DataFrame, schema: StructType, k: int, query_id: str, base_id: str,
-           block_rows: int) -> DataFrame:
-    """Both sides large: vectors are grouped around pivots, and a query visits only cells that can matter.
+def _grid(queries: DataFrame, base: DataFrame, schema: StructType, k: int, query_id: str, base_id: str,
+          exclude_self: bool, block_rows: int) -> DataFrame:
+    """Blocks of about ``block_rows`` queries against blocks of about as many base rows, a task for each pair.
 
-    Round one visits the nearest cells that hold k rows and yields a k-th similarity per query. The
-    triangle inequality then bounds what any other cell can offer; round two visits those whose bound
-    reaches that similarity. Cells are cut into blocks of about ``block_rows`` on both sides, so a cell
-    that holds a third of the table is many tasks. Nothing is skipped that could be among the k.
+    Blocks are drawn by id, so copies of one vector spread over all of them. A row is copied once per block of the other
+    side, that is, with the square root of the number of tasks; only ids and vectors travel.
     """
-    sc = base.sparkSession.sparkContext
-    n = base.count()
-    wanted = max(1, min(MAX_CELLS, math.ceil(n / block_rows)))
-    nonzero = F.exists("embedding", lambda x: x != 0)
-    drawn = (base.where(nonzero).orderBy(F.xxhash64(base_id)).limit(wanted)
-             .select("embedding").toPandas())  # at most MAX_CELLS vectors
-    if len(drawn) == 0:
-        return base.sparkSession.createDataFrame([], schema)
-    pivots = sc.broadcast(_unit(drawn["embedding"])[0])
-
-    def assign(batches):
-        for pdf in batches:
-            unit, keep = _unit(pdf["embedding"]) if len(pdf) else (np.empty((0, 1)), np.array([], dtype=bool))
-            if not keep.any():
-                continue
-            far = np.sqrt(np.maximum(0.0, 2 - 2 * unit @ pivots.value.T))
-            cell = far.argmin(axis=1)
-            yield pdf[keep].assign(__cell=cell.astype(np.int32), __far=far[np.arange(len(cell)), cell])
-
-    celled = StructType([*base.schema, StructField("__cell", IntegerType()), StructField("__far", DoubleType())])
-    rows = stage(base.mapInPandas(assign, celled), "cells")
-    facts = {r["__cell"]: (r["n"], r["radius"]) for r in rows.groupBy("__cell").agg(
-        F.count(F.lit(1)).alias("n"), F.max("__far").alias("radius")).collect()}  # one row per cell
-    cells = np.array(sorted(facts))
-    sizes = np.array([facts[c][0] for c in cells])
-    radii = np.array([facts[c][1] for c in cells])
-
-    def far_from(unit):
-        return np.sqrt(np.maximum(0.0, 2 - 2 * unit @ pivots.value[cells].T))
-
-    def nearest(unit):
-        """True for the nearest cells that together hold enough rows."""
-        far = far_from(unit)
-        order = far.argsort(axis=1, kind="stable")
-        ahead = np.cumsum(sizes[order], axis=1) - sizes[order]
-        chosen = np.zeros(far.shape, dtype=bool)
-        np.put_along_axis(chosen, order, ahead < k, axis=1)
-        return chosen
-
-    def visits(batches, first):
-        for pdf in batches:
-            unit, keep = _unit(pdf["embedding"]) if len(pdf) else (np.empty((0, 1)), np.array([], dtype=bool))
-            if not keep.any():
-                continue
-            pdf = pdf[keep]
-            chosen = nearest(unit)
-            if not first:
-                gap = np.maximum(0.0, far_from(unit) - radii)
-                reach = 1 - gap ** 2 / 2
-                chosen = (reach + SLACK >= pdf["__floor"].to_numpy()[:, None]) & ~chosen
-            yield pd.DataFrame({query_id: pdf[query_id].to_numpy(), "embedding": pdf["embedding"].to_numpy(),
-                                "__cells": [cells[c].astype(np.int32) for c in chosen]})
-
-    asked_schema = StructType([queries.schema[query_id], queries.schema["embedding"],
-                               StructField("__cells", ArrayType(IntegerType()))])
-    slim = queries.select(query_id, "embedding")
+    sides = [max(1, math.ceil(df.count() / block_rows)) for df in (queries, base)]
 
-    def meet(asked):
-        """Blocks of the base against blocks of the queries that visit their cell."""
-        asked = stage(asked, "visits")
-        load = {r["__cell"]: r["n"] for r in asked.select(F.explode("__cells").alias("__cell")).groupBy("__cell").agg(
-            F.count(F.lit(1)).alias("n")).collect()}  # one row per cell
-        plan = [(int(c), max(1, math.ceil(facts[c][0] / block_rows)), max(1, math.ceil(load[c] / block_rows)))
-                for c in load]
-        if not plan:
-            return base.sparkSession.createDataFrame([], schema)
-
-        def parts():  # one row per cell, at most MAX_CELLS; made per side, as both meet in one cogroup
-            return F.broadcast(base.sparkSession.createDataFrame(plan, "__cell int, __b bigint, __a bigint"))
-
-        left = (asked.select(query_id, "embedding", F.explode("__cells").alias("__cell")).join(parts(), "__cell")
-                .withColumn("__i", F.pmod(F.xxhash64(query_id), F.col("__a")))
-                .withColumn("__j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__b") - 1))))
-        right = (rows.join(parts(), "__cell").withColumn("__j", F.pmod(F.xxhash64(base_id), F.col("__b")))
-                 .withColumn("__i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__a") - 1))))
-        extra = ["__cell", "__far", "__i", "__j", "__a", "__b"]
-
-        def pair(q, b):
-            if len(q) == 0 or len(b) == 0:
-                return pd.DataFrame(columns=schema.fieldNames())
-            unit, _ = _unit(q["embedding"])
-            return _best(q[query_id].to_numpy(), unit, b.drop(columns=extra), k, base_id, False)[schema.fieldNames()]
-
-        key = ["__cell", "__i", "__j"]
-        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(pair, schema)
-
-    one = stage(_rank(meet(slim.mapInPandas(lambda b: visits(b, True), asked_schema)), k, base_id), "nearest")
-    floor = one.groupBy("__q").agg(
-        F.when(F.count(F.lit(1)) >= k, F.min("similarity")).otherwise(-2.0).alias("__floor"))
-    bounded = (slim.join(floor, F.col(query_id) == F.col("__q"), "left").drop("__q")
-               .withColumn("__floor", F.coalesce("__floor", F.lit(-2.0))))
-    two = meet(bounded.mapInPandas(lambda b: visits(b, False), asked_schema))
-    return one.drop("rank").unionByName(two)
-
-
-def _by_copies(queries: DataFrame, base: DataFrame, schema: StructType, k: int, query_id: str, base_id: str,
-               payload: tuple[str, ...], exclude_self: bool, block_rows: int) -> DataFrame:
-    """Cells over distinct vectors. Equal queries have equal neighbours, so one of them asks for all.
-
-    Of equal base vectors only the lowest ids can be among the k, because ties go by id; the rest is cut,
-    per task first. One neighbour more is asked where a query's own row is to be left out.
-    """
-    wanted = k + 1 if exclude_self else k
-    same = Window.partitionBy(F.xxhash64("embedding"), "embedding").orderBy(base_id)
-    lowest = base.withColumn("__n", F.row_number().over(same)).where(F.col("__n") <= wanted).drop("__n")
-    keyed = queries.select(F.col(query_id).alias("__member"), F.xxhash64("embedding").alias("__h"), "embedding")
-    asking = stage(keyed.groupBy("__h", "embedding").agg(F.min("__member").alias("__rep")), "asking")
-    found = _rank(_cells(asking.select(F.col("__rep").alias(query_id), "embedding"), lowest, schema, wanted, query_id,
-                         base_id, block_rows), wanted, base_id)
-    hit = F.struct("rank", F.col(base_id).alias("id"), "similarity", *payload)
-    lists = found.groupBy(F.col("__q").alias("__rep")).agg(F.array_sort(F.collect_list(hit)).alias("__hits"))
-    members = keyed.join(asking, ["__h", "embedding"]).select("__member", "__rep")
-    hits = F.col("__hits")
-    if exclude_self:
-        hits = F.filter(hits, lambda h: h["id"] != F.col("__member"))
-    each = members.join(lists, "__rep").select("__member", F.posexplode(F.slice(hits, 1, k)).alias("__at", "__hit"))
-    return each.select(F.col("__member").alias("query_id"), (F.col("__at") + 1).alias("rank"),
-                       F.col("__hit.id").alias(base_id), F.round("__hit.similarity", 4).alias("similarity"),
-                       *[F.col(f"__hit.{c}").alias(c) for c in payload])
+    def cells(df: DataFrame, key: str, own: str, other: str, n: int, others: int) -> DataFrame:
+        spread = F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
+        return (df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, spread))
+
+    left = cells(queries, query_id, "__i", "__j", sides[0], sides[1])
+    right = cells(base, base_id, "__j", "__i", sides[1], sides[0])
+
+    def pair(q, b):
+        unit, keep = _unit(q["embedding"]) if len(q) else (np.empty((0, 1)), np.zeros(0, dtype=bool))
+        if not keep.any() or len(b) == 0:
+            return pd.DataFrame(columns=schema.fieldNames())
+        found = _best(q[query_id].to_numpy()[keep], unit, b[[base_id, "embedding"]], k, base_id, exclude_self)
+        return found[schema.fieldNames()] if len(found) else pd.DataFrame(columns=schema.fieldNames())
+
+    return left.groupBy("__i", "__j").cogroup(right.groupBy("__i", "__j")).applyInPandas(pair, schema)
 
 
 def top_k(queries: DataFrame, base: DataFrame, k: int, query_id: str = "ticket_id", base_id: str = "ticket_id",
           payload: tuple[str, ...] = ("category", "priority", "subject"), exclude_self: bool = False,
-          category: str | None = None, strategy: str = "auto", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``(query_id, rank, <base id>, similarity, payload)`` of the k most similar rows per query.
+          category: str | None = None, strategy: str = "grid", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``(query_id, rank, <base id>, similarity, payload)`` of the k most similar rows per query, exactly.
 
-    ``category`` restricts the base before ranking. ``auto`` reads at most as many queries as may
-    travel whole: a set that ends before takes one scan of the base, a larger one goes through cells. Zero
-    vectors match nothing.
+    ``category`` restricts the base before ranking. ``grid`` holds on both sides at any size. ``local``, for callers who
+    know that their queries are few, sends all of them to each task that scans the base; it raises beyond
+    ``MAX_LOCAL_QUERIES``. Zero vectors match nothing.
     """
     if category is not None:
         base = base.where(F.col("category") == category)
-    base = base.select(base_id, "embedding", *payload)
-    schema = _hit_schema(queries, base, query_id)
+    narrow = base.select(base_id, "embedding")
+    schema = _hit_schema(queries, narrow, query_id)
     slim = queries.select(query_id, "embedding")
     if strategy == "local":
-        known = slim.toPandas()
-    elif strategy == "auto":
-        head = slim.select(F.size("embedding").alias("d")).first()
-        most = min(MAX_LOCAL_QUERIES, MAX_LOCAL_BYTES // (8 * max(1, head["d"] if head else 1)))
-        known = slim.limit(most + 1).toPandas()
-        strategy = "local" if len(known) <= most else "cells"
-    if strategy == "cells":
-        return _by_copies(queries, base, schema, k, query_id, base_id, payload, exclude_self, block_rows)
-    found = _local(known, base, schema, k, query_id, base_id, exclude_self)
-    return _rank(found, k, base_id).select(
+        known = slim.limit(MAX_LOCAL_QUERIES + 1).toPandas()
+        if len(known) > MAX_LOCAL_QUERIES:
+            raise ValueError(f"more than {MAX_LOCAL_QUERIES} queries; use the grid")
+        found = _local(known, narrow, schema, k, query_id, base_id, exclude_self)
+    elif strategy == "grid":
+        found = _grid(slim, narrow, schema, k, query_id, base_id, exclude_self, block_rows)
+    else:
+        raise ValueError(f"no such strategy: {strategy}")
+    best = _rank(found, k, base_id)
+    return best.join(base.select(base_id, *payload), base_id).select(
         F.col("__q").alias("query_id"), "rank", base_id, F.round("similarity", 4).alias("similarity"), *payload)
 
 
+def approximate_top_k(queries: DataFrame, base: DataFrame, k: int, query_id: str = "ticket_id", base_id: str = "ticket_id",
+                      tables: int = 16, bits: int = 7, seed: int = 7) -> DataFrame:
+    """``(query_id, rank, <base id>, similarity)`` among rows that share a bucket with the query, ranked exactly.
+
+    Each of ``tables`` tables keys a vector by the signs of ``bits`` random projections; more tables find more, more bits
+    read less. Buckets are cut by id, so that a full one is many tasks. Zero vectors match nothing.
+    """
+    def signs(df: DataFrame, key: str) -> DataFrame:
+        schema = StructType([df.schema[key], df.schema["embedding"], StructField("__buckets", ArrayType(IntegerType()))])
+
+        def run(batches):
+            for pdf in batches:
+                unit, keep = _unit(pdf["embedding"]) if len(pdf) else (np.empty((0, 1)), np.zeros(0, dtype=bool))
+                if not keep.any():
+                    continue
+                planes = np.random.default_rng(seed).normal(size=(unit.shape[1], tables * bits))
+                codes = (unit @ planes > 0).reshape(len(unit), tables, bits) @ (1 << np.arange(bits))
+                yield pdf[keep].assign(__buckets=list(codes + (np.arange(tables) << bits)))
+        return df.select(key, "embedding").mapInPandas(run, schema).select(
+            key, "embedding", F.explode("__buckets").alias("__bucket"))
+
+    left, right = signs(queries, query_id), signs(base, base_id)
+    sizes = right.groupBy("__bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("__parts"))
+    left = left.join(sizes, "__bucket").withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+    right = right.join(sizes, "__bucket").withColumn("__part", F.pmod(F.xxhash64(base_id), F.col("__parts")).cast("int")).drop("__parts")
+    schema = _hit_schema(queries, base.select(base_id, "embedding"), query_id)
+
+    def pair(q, b):
+        if len(q) == 0 or len(b) == 0:
+            return pd.DataFrame(columns=schema.fieldNames())
+        return _best(q[query_id].to_numpy(), _unit(q["embedding"])[0], b[[base_id, "embedding"]], k, base_id, False)[schema.fieldNames()]
+    found = left.groupBy("__bucket", "__part").cogroup(right.groupBy("__bucket", "__part")).applyInPandas(pair, schema)
+    return _rank(found.distinct(), k, base_id).select(
+        F.col("__q").alias("query_id"), "rank", base_id, F.round("similarity", 4).alias("similarity"))
+
+
 def collect_hits(hits: DataFrame) -> DataFrame:
     """One row per query with its hits as an array of at most k structs."""
     hit = F.struct("rank", "ticket_id", "similarity", "category", "priority", "subject")

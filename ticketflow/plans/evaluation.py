@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.evaluate import (
-    cascade_stats, classification_report, hit_rate_at_k, pair_predictions, precision_at_k,
+    cascade_stats, classification_report, hit_rate_at_k, precision_at_k,
 )
+from ..functions.text import norm_label
 from ..operators.models import Batch, classify
 from ..operators.split import sample_n
 from ..operators.vectors import top_k
@@ -15,10 +16,10 @@ from ..session import stage
 
 
 def neighbours(queries: DataFrame, kb: DataFrame, k: int, exclude_self: bool = False, **options) -> DataFrame:
-    """Hits with the category of the query next to that of the hit."""
+    """Hits with the category of the query next to that of the hit; a query without a hit has one row without one."""
     hits = top_k(queries, kb, k, exclude_self=exclude_self, **options)
-    return hits.join(queries.select(F.col("ticket_id").alias("query_id"), F.col("category").alias("query_category")),
-                     "query_id")
+    asked = queries.select(F.col("ticket_id").alias("query_id"), F.col("category").alias("query_category"))
+    return asked.join(hits, "query_id", "left")
 
 
 def eval_retrieval(queries: DataFrame, kb: DataFrame, k: int = 5, sample: int | None = 200,
@@ -34,6 +35,7 @@ def eval_classifier(tickets: DataFrame, primary: Batch, fallback: Batch | None =
     """Report per class, and escalation figures, on a seeded sample of labelled tickets."""
     chosen = sample_n(tickets, sample, "ticket_id") if sample else tickets
     replies = stage(classify(chosen.select("ticket_id", "subject", "body", "category"), primary, fallback), "replies")
-    predicted = replies.select("ticket_id", F.col("reply.category").alias("category"))
-    return (classification_report(pair_predictions(predicted, replies.select("ticket_id", "category"))),
+    pairs = replies.select("ticket_id", norm_label(F.col("category")).alias("y_true"),
+                           norm_label(F.coalesce("reply.category", F.lit("question"))).alias("y_pred"))
+    return (classification_report(pairs),
             cascade_stats(replies, ms="classify_ms"))

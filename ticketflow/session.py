@@ -80,19 +80,3 @@ def stage(df, name: str):
     path = work_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-SPLIT_BYTES = 128 << 20
-
-
-def spread(df):
-    """Rows over all cores, where the input is too small to fill them by itself.
-
-    Text expressions are bound by CPU, and a small file often is a single split. From one full split per
-    core on, and on streams, the table is left as it is, so large inputs are never shuffled for this.
-    """
-    if df.isStreaming or not hasattr(df, "_jdf"):
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores) if int(str(estimate)) < cores * SPLIT_BYTES else df

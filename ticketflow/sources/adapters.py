@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..constants import MIN_BODY
 
 
-def _hash(n: int, *columns: Column) -> Column:
+def _hash(*columns: Column) -> Column:
+    """40 hex digits: ids key everything later, and must not collide on any number of rows."""
     parts = [F.coalesce(c.cast("string"), F.lit("")) for c in columns]
-    return F.substring(F.sha1(F.concat_ws("\x1f", *parts)), 1, n)
+    return F.sha1(F.concat_ws("\x1f", *parts))
 
 
 def admit(df: DataFrame) -> DataFrame:
@@ -21,7 +22,7 @@ def admit(df: DataFrame) -> DataFrame:
 
 
 def adapt_github(df: DataFrame) -> DataFrame:
-    number = F.coalesce(F.col("issue_number").cast("string"), _hash(6, F.col("title"), F.col("body")))
+    number = F.coalesce(F.col("issue_number").cast("string"), _hash(F.col("title"), F.col("body")))
     return admit(df.select(
         F.concat(F.lit("GH-"), F.coalesce("repo", F.lit("unknown")), F.lit("-"), number).alias("ticket_id"),
         F.lit("github").alias("source"), "created_at", F.col("title").alias("subject"), "body",
@@ -30,7 +31,7 @@ def adapt_github(df: DataFrame) -> DataFrame:
 
 def adapt_support_a(df: DataFrame) -> DataFrame:
     return admit(df.select(
-        F.concat(F.lit("HF-A-"), _hash(8, F.col("subject"), F.col("body"))).alias("ticket_id"),
+        F.concat(F.lit("HF-A-"), _hash(F.col("subject"), F.col("body"))).alias("ticket_id"),
         F.lit("hf_customer_support").alias("source"), F.lit(None).cast("string").alias("created_at"),
         "subject", "body",
         F.array(F.coalesce("queue", F.lit("")), F.coalesce("type", F.lit(""))).alias("labels_raw")))
@@ -41,7 +42,7 @@ def adapt_support_b(df: DataFrame, subject: str = "Ticket Subject", body: str =
     def named(c):
         return F.col(f"`{c}`")
     return admit(df.select(
-        F.concat(F.lit("HF-B-"), _hash(8, named(subject), named(body))).alias("ticket_id"),
+        F.concat(F.lit("HF-B-"), _hash(named(subject), named(body))).alias("ticket_id"),
         F.lit("hf_customer_support").alias("source"), F.lit(None).cast("string").alias("created_at"),
         named(subject).alias("subject"), named(body).alias("body"),
         F.array(F.coalesce(named(kind), F.lit(""))).alias("labels_raw")))

@@ -1,92 +1,60 @@
-"""Rows for rare categories, made from templates."""
+"""Rows for rare categories, made from a table of templates."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..constants import TIERS
 from ..functions.labels import literal_map
 
-# category -> bodies; wording is ours
-TEMPLATES = {
-    "security": (
-        "The {component} module seems open to script injection: the input {script} is run by the browser.",
-        "Somebody from {ip_address} signed in to account {account_id} without permission. Please lock it.",
-        "Anyone can read personal data through the {component} endpoint without signing in.",
-    ),
-    "billing": (
-        "The card ending in {cc_last4} was charged {amount} two times. Please return one payment.",
-        "The invoice of account {account_id} says {wrong_amount} where it should say {amount}.",
-        "A payment with the card ending in {cc_last4} was refused with code {error_code}.",
-    ),
-    "sla_breach": (
-        "Nobody has answered this ticket for five days.",
-        "Our system has been down for a day and account {account_id} still has no reply.",
-        "Ticket {ticket_id} about {component} is past the response time we agreed on.",
-    ),
-    "incident": (
-        "The whole application is down, and {component} answers with error 502.",
-        "No user can sign in because the {component} service fails.",
-        "Requests to {component} take more than ten seconds since the last release.",
-    ),
-}
-# Fixed values that fill the placeholders.
-COMPONENTS = ("auth", "checkout", "dashboard", "api", "database", "ui")
-ERROR_CODES = ("ERR_502", "ERR_INSUFFICIENT_FUNDS", "ERR_DECLINED")
-TIERS = ("free", "pro", "enterprise")
-SCRIPT = "<script>alert(1)</script>"
+CHUNK = 100_000  # rows that one task makes
+LEFT_OVER = r"\{[a-z_0-9]+\}"
 
 
-def augment_from_templates(ids: DataFrame, key: str, category: Column, as_of: str, seed: int = 42,
-                           templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """One ticket per row of ``ids``, in the category that the row asks for.
+def draw(seed: int, name: str, size: Column) -> Column:
+    """A whole number below ``size``, from a hash of seed, category, row number and the name of the choice."""
+    digits = F.substring(F.sha1(F.concat_ws(":", F.lit(str(seed)), "category", F.col("k").cast("string"), F.lit(name))), 1, 12)
+    return F.pmod(F.conv(digits, 16, 10).cast("bigint"), size)
 
-    Every choice is a hash of the key, the seed and the name of the choice, so a rerun makes the same rows
-    whatever the partitioning.
-    """
-    bodies = templates or TEMPLATES
-
-    def draw(name: str, low: int, high: int) -> Column:
-        return F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(name)), F.lit(high - low + 1)) + F.lit(low)
-
-    def choose(name: str, options: tuple[str, ...]) -> Column:
-        return F.get(F.array(*[F.lit(o) for o in options]), draw(name, 0, len(options) - 1).cast("int"))
 
-    def number(name: str, low: int, high: int) -> Column:
-        return draw(name, low, high).cast("string")
+def augment(templates: DataFrame, counts: DataFrame, as_of: str, fills: dict[str, tuple[str, ...]] | None = None,
+            seed: int = 42) -> DataFrame:
+    """``n`` tickets for each category of ``counts(category, n)``, from ``templates(template_id, category, body)``.
 
-    fill = {
-        "component": choose("component", COMPONENTS),
-        "script": F.lit(SCRIPT),
-        "account_id": F.concat(F.lit("ACC-"), number("account", 10_000, 99_999)),
-        "ip_address": F.concat_ws(".", *[number(f"ip{i}", 1, 255) for i in range(4)]),
-        "amount": F.concat(F.lit("$"), number("amount", 10, 500), F.lit(".00")),
-        "wrong_amount": F.concat(F.lit("$"), number("wrong", 501, 1000), F.lit(".00")),
-        "cc_last4": number("card", 1000, 9999),
-        "error_code": choose("code", ERROR_CODES),
-        "ticket_id": F.concat(F.lit("TKT-"), number("ticket", 100_000, 999_999)),
-    }
-    lists = F.create_map(*[x for name, texts in bodies.items()
-                           for x in (F.lit(name), F.array(*[F.lit(t) for t in texts]))])
-    options = lists[F.col("category")]
-    made = ids.select(F.col(key), category.alias("category")).where(F.col("category").isin(*bodies))
-    body = F.get(options, F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit("template")),
-                                 F.size(options)).cast("int"))
-    made = made.withColumn("body", body)
-    for name, value in fill.items():
-        made = made.withColumn("body", F.replace("body", F.lit("{" + name + "}"), value))
+    ``fills`` has the values of each ``{placeholder}``; a placeholder without values is left empty. The template table and the
+    counts are small by nature: a list of wordings, and a row per category. Every choice is a hash, so a rerun makes the same
+    rows whatever the partitioning. A category without templates, or with a count below one, gets none.
+    """
+    listed = templates.where("category is not null and body is not null").groupBy("category").agg(
+        F.array_sort(F.collect_list(F.struct("template_id", "body"))).alias("options"))
+    chunks = counts.where("n > 0").select("category", "n", F.explode(F.sequence(
+        F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / CHUNK))).alias("chunk")).repartition("category", "chunk")
+    last = F.least(F.col("n"), (F.col("chunk") + 1) * CHUNK) - 1
+    made = chunks.select("category", F.explode(F.sequence(F.col("chunk") * CHUNK, last)).alias("k")).join(listed, "category")
+
+    def choose(name: str, values: tuple[str, ...]) -> Column:
+        return F.get(F.array(*[F.lit(v) for v in values]), draw(seed, name, F.lit(len(values))).cast("int"))
+
+    body = F.get("options", draw(seed, "template", F.size("options")).cast("int"))["body"]
+    for name, values in (fills or {}).items():
+        body = F.replace(body, F.lit("{" + name + "}"), choose(name, values))
+    made = made.withColumn("body", F.regexp_replace(body, LEFT_OVER, ""))
+    number = F.sha1(F.concat_ws(":", F.lit(str(seed)), "category", F.col("k").cast("string")))
     urgent = F.col("category").isin("security", "incident")
-    team = F.coalesce(literal_map({"security": "security", "billing": "billing"})[F.col("category")],
-                      F.lit("support"))
-    day = F.lit(as_of).cast("timestamp") - F.make_dt_interval(days=draw("age", 0, 365).cast("int"))
+    team = F.coalesce(literal_map({"security": "security", "billing": "billing"})[F.col("category")], F.lit("support"))
+    day = F.lit(as_of).cast("timestamp") - F.make_dt_interval(days=draw(seed, "age", F.lit(366)).cast("int"))
     title = F.concat(F.upper(F.substring("category", 1, 1)), F.substring("category", 2, 100))
     return made.select(
-        F.concat(F.lit("SYN-"), F.substring(F.sha1(F.concat_ws(":", F.col(key), F.lit(seed))), 1, 8))
-         .alias("ticket_id"),
-        F.lit("synthetic").alias("source"),
+        F.concat(F.lit("SYN-"), number).alias("ticket_id"), F.lit("synthetic").alias("source"),
         F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"),
         F.concat(title, F.lit(" Issue - "), F.substring("body", 1, 30), F.lit("...")).alias("subject"),
         "body", F.array().cast("array<string>").alias("comments"), F.array("category").alias("labels_raw"),
         "category", F.when(urgent, "high").otherwise("medium").alias("priority"), team.alias("routing_team"),
-        choose("tier", TIERS).alias("customer_tier"),
-    )
+        choose("tier", TIERS).alias("customer_tier"))
+
+
+def missing_rows(rows: DataFrame, least: int, category: str = "category") -> DataFrame:
+    """``(category, n)``: how many rows each category of the table lacks to have ``least``."""
+    return (rows.groupBy(F.col(category).alias("category")).agg(F.count(F.lit(1)).alias("have"))
+            .select("category", (F.lit(least) - F.col("have")).alias("n")).where("n > 0"))

@@ -10,6 +10,7 @@ from ..operators.drift import drift_of_counts
 from ..operators.log import to_log_rows
 from ..plans.silver import clean, ensure_columns, order_columns
 from ..session import work_path
+from ..sources.sinks import path_exists
 from .metrics import daily_counts, with_watermark
 
 
@@ -28,6 +29,27 @@ def run_once(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def windows_once(df: DataFrame, name: str, keys: list[str]) -> tuple[DataFrame, int]:
+    """Process the rows at hand and return every window as it last was, open ones included, and the number of late rows.
+
+    Each batch writes the windows it changed to a folder of its own, which a repeated batch replaces; of a window's rows that of
+    the last batch counts.
+    """
+    spark = df.sparkSession
+    path = work_path(spark, name)
+    stream = (df.writeStream.outputMode("update").option("checkpointLocation", work_path(spark, f"{name}-checkpoint"))
+              .foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{path}/batch={n}"))
+              .trigger(availableNow=True).start())
+    stream.awaitTermination()
+    late = sum(s["numRowsDroppedByWatermark"] for p in stream.recentProgress for s in p["stateOperators"])
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], df.schema), late
+    values = [c for c in df.columns if c not in keys]
+    rows = spark.read.parquet(path)
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("__last"))
+    return last.select(*keys, *[F.col(f"__last.{c}").alias(c) for c in values]), late
+
+
 def log_stream(results: DataFrame) -> DataFrame:
     """Triage results as log rows; the batch job that numbers rows adds the id."""
     return to_log_rows(results)
@@ -56,6 +78,6 @@ def drift_stream(log: DataFrame, column: str = "category") -> DataFrame:
 
 
 def drift_of_days(train: DataFrame, counts: DataFrame, column: str = "category") -> DataFrame:
-    """Drift of each finished day against the training table."""
+    """Drift of each day against the training table."""
     days = counts.select(F.to_date("window_start").cast("string").alias("day"), column, "n")
     return drift_of_counts(train, days, "day", column)
