@@ -1,34 +1,33 @@
-"""Queries that train or call models. Without a model service, stand-ins computed by Spark or by rule answer."""
+"""Queries that train models, and queries over recorded replies of models."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
-from ..constants import LABEL_MAP, ROUTING_RULES
+from ..constants import EMBED_DIM
 from ..functions.features import features
 from ..functions.labels import normalise_labels
-from ..functions.prompts import answer_prompt, format_context, judge_context
+from ..functions.prompts import answer_prompt, format_context
 from ..functions.replies import cascade, validate_reply
 from ..functions.rules import sla_label
 from ..functions.text import embed_text, parse_created
 from ..operators import evaluate as ev
 from ..operators.models import (
-    classifier_replies, embed, generate, grade, grade_summary, importances, score_sla, train_sla,
+    classifier_replies, embed, generate, grade, grade_summary, importances, load_model, save_model, score_sla, train_sla,
     train_text_classifier,
 )
 from ..operators.log import to_log_rows
 from ..operators.split import time_split
 from ..operators.vectors import collect_hits, kb_rows, top_k
-from ..plans.evaluation import eval_classifier
 from ..plans.triage import loggable, responses, triage
-from ..session import stage
-from .fixtures import AS_OF, fixture
+from ..session import stage, work_path
+from . import sqltext as q
+from .fixtures import AS_OF, fixture, with_views
 from .registry import query
+from .scoring import CASCADE, REPORT, cascaded
+from .vectors import CONTEXT, best
 
-DIM = 64
-TREES = 10
+_fitted: dict[tuple[str, str], tuple] = {}
 
 
 def tickets(spark, sf):
@@ -37,43 +36,6 @@ def tickets(spark, sf):
                             "category": normalise_labels(F.col("labels_raw"))})
 
 
-def rule_model(prompts: list[str]) -> list[str]:
-    """A reply by keyword: stands in for the fast model."""
-    out = []
-    for text in prompts:
-        body = text.split("Ticket Subject: ", 1)[-1].rsplit("\n\nAnswer with", 1)[0].lower().split()
-        found = next((c for label, c in LABEL_MAP.items() if label.lower() in body), None)
-        out.append(json.dumps({"category": found or "question", "priority": "high" if found else "low",
-                               "routing_team": "support", "confidence": 0.9 if found else 0.6}))
-    return out
-
-
-def careful_model(prompts: list[str]) -> list[str]:
-    """Stands in for the larger model: the length of the ticket picks a rule."""
-    rules = [r[:3] for r in ROUTING_RULES]
-    out = []
-    for text in prompts:
-        category, priority, team = rules[len(text) % len(rules)]
-        out.append("Reply: " + json.dumps({"category": category, "priority": priority, "routing_team": team,
-                                           "confidence": 0.8}))
-    return out
-
-
-def first_hit(prompts: list[str]) -> list[str]:
-    """Stands in for the writer: names the nearest earlier ticket."""
-    return ["See: " + p.split("\nSubject: ", 1)[-1].split("\n", 1)[0] for p in prompts]
-
-
-def judge(prompts: list[str]) -> list[str]:
-    """Stands in for the judge: the share of answer words that the rest of the prompt has."""
-    out = []
-    for p in prompts:
-        head, _, tail = p.partition("\nAnswer: ")
-        said = set(tail.split("\n\nAnswer with", 1)[0].split())
-        out.append(json.dumps({"score": round(len(said & set(head.split())) / max(1, len(said)), 4), "reason": "overlap"}))
-    return out
-
-
 def sla_sets(spark, sf):
     rows = features(tickets(spark, sf), AS_OF, keep=("ticket_id", "created_at", "category"))
     labelled = rows.withColumn("label", sla_label(F.col("category")))
@@ -81,8 +43,14 @@ def sla_sets(spark, sf):
 
 
 def sla_model(spark, sf):
-    rows = sla_sets(spark, sf)
-    return rows, train_sla(rows.where("split = 'train'"), rows.where("split = 'val'"), trees=TREES)
+    """Labelled rows and the model of 500 trees at most, fitted once per session and table, then saved and loaded."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _fitted:
+        rows, path = sla_sets(spark, sf), work_path(spark, "sla-model")
+        save_model(train_sla(rows.where("split = 'train'"), rows.where("split = 'val'")), path)
+        _fitted[key] = (rows, path)
+    rows, path = _fitted[key]
+    return rows, load_model(path)
 
 
 @query("sla_train")
@@ -111,76 +79,110 @@ def sla_importance(spark, sf):
     return importances(spark, model)
 
 
-def embedded(spark, sf):
-    text = tickets(spark, sf).select("ticket_id", "category", "subject", "body", F.lit("high").alias("priority"),
-                                     F.lit("train").alias("split"),
-                                     embed_text(F.col("subject"), F.col("body")).alias("text"))
-    return embed(text, "text", dim=DIM)
-
-
-@query("embed")
+@query("embed", with_views("fx_tickets") + f"""
+SELECT ticket_id, {EMBED_DIM} AS dim, CASE WHEN regexp_matches(concat(subject, ' ', body), '[A-Za-z0-9_]') THEN 1.0 ELSE 0.0 END AS norm
+FROM fx_tickets""")
 def embeddings(spark, sf):
-    return embedded(spark, sf).select("ticket_id", F.size("embedding").alias("dim"),
-                                      F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm"))
+    rows = fixture(spark, sf, "fx_tickets").select("ticket_id", embed_text(F.col("subject"), F.col("body")).alias("text"))
+    made = embed(rows, "text")
+    return made.select("ticket_id", F.size("embedding").alias("dim"),
+                       F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm"))
 
 
 @query("classify")
 def classified(spark, sf):
-    """A trained text classifier as primary, the rule of thumb as fallback, both as JSON replies."""
-    rows = tickets(spark, sf).select("ticket_id", "subject", "body", "category")
-    model = train_text_classifier(rows, "body", "category")
+    """A text classifier, trained on the older tickets, as primary, and a fixed reply as fallback, for all tickets."""
+    rows = time_split(tickets(spark, sf).select("ticket_id", "created_at", "category", F.concat_ws(" ", "subject", "body").alias("text")),
+                      "created_at", "ticket_id")
+    model = train_text_classifier(rows.where("split = 'train'"), "text", "category")
     replies = classifier_replies(rows, model, "primary_raw", F.lit("medium"), F.lit("support"))
     replies = replies.withColumn("fallback_raw", F.to_json(F.struct(
         F.lit("question").alias("category"), F.lit("low").alias("priority"), F.lit("support").alias("routing_team"),
         F.lit(0.8).alias("confidence"))))
     checked = validate_reply(validate_reply(replies, "primary_raw", "p"), "fallback_raw", "f")
-    return cascade(checked, "p", "f", "reply", "trained", "rule").select("ticket_id", "reply.*")
+    return cascade(checked, "p", "f", "reply", "trained", "fixed").select("ticket_id", "split", "reply.*")
 
 
-@query("eval_classifier")
+@query("eval_classifier", CASCADE + "," + with_views("fx_orders_triage").removeprefix("WITH ") + """,
+pairs AS (SELECT o.category AS t, c.category AS p FROM chosen c JOIN fx_orders_triage o ON c.ticket_id = o.ticket_id),""" + REPORT)
 def classifier_evaluation(spark, sf):
-    report, _ = eval_classifier(tickets(spark, sf), rule_model, careful_model, sample=None)
-    return report
+    """Recorded replies, checked and cascaded, against the true categories."""
+    predicted = cascaded(spark, sf).select("ticket_id", F.col("reply.category").alias("category"))
+    report = ev.classification_report(ev.pair_predictions(predicted, fixture(spark, sf, "fx_orders_triage").select("ticket_id", "category")))
+    return report.withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1", "accuracy")})
+
+
+def asked(spark, sf):
+    """Requests with recorded replies, each with one of the given vectors; every second one wants an answer, and none has an id."""
+    vectors = fixture(spark, sf, "fx_kb").select(F.col("vec_id").alias("v"), "embedding")
+    n = vectors.count()
+    return (fixture(spark, sf, "fx_replies").withColumn("v", F.col("o_orderkey") % n).join(vectors, "v")
+            .select(F.lit(None).cast("string").alias("ticket_id"), F.concat(F.lit("Order "), "o_orderkey").alias("subject"), F.lit("Where is it?").alias("body"),
+                    (F.col("o_orderkey") % 2 == 0).alias("run_rag"), "primary_raw", "fallback_raw", "embedding"))
+
+
+def echo(prompts: list[str]) -> list[str]:
+    """Sends back what a model would be sent, so that the comparison sees it."""
+    return list(prompts)
 
 
-@query("triage")
+TRIAGE = best(3).rstrip() + "," + CASCADE.removeprefix("WITH ") + """,
+kb_size AS (SELECT count(*) AS n FROM fx_kb),
+near AS (SELECT query_id, ticket_id AS nearest FROM hits WHERE rank = 1),
+asked AS (SELECT r.ticket_id AS reply_id, concat('Order ', r.o_orderkey) AS subject, r.o_orderkey % 2 = 0 AS run_rag,
+                 concat('V-', lpad(CAST(r.o_orderkey % (SELECT n FROM kb_size) AS VARCHAR), 12, '0')) AS vector FROM fx_replies r)
+"""
+
+
+@query("triage", TRIAGE + """
+SELECT a.subject, '' AS ticket_id, c.category, c.priority, c.confidence AS classification_confidence, c.model AS classification_model,
+       n.nearest, (SELECT least(3, n) FROM kb_size) AS similar,
+       CASE WHEN a.run_rag THEN concat('A ticket of category <', c.category, '> and priority <', c.priority, '> says: ', a.subject) ELSE '' END AS answer_head
+FROM asked a JOIN chosen c ON a.reply_id = c.ticket_id JOIN near n ON n.query_id = a.vector""")
 def triaged(spark, sf):
     _, model = sla_model(spark, sf)
-    kb = stage(kb_rows(embedded(spark, sf)), "kb")
-    out = triage(tickets(spark, sf), kb, model, rule_model, careful_model, AS_OF, generator=first_hit, dim=DIM)
-    return out.select("ticket_id", "category", "priority", "classification_confidence", "classification_model",
-                      "sla_breach_risk", "sla_escalated", "routing_team", "auto_escalate", "escalation_reason",
-                      F.size("similar_tickets").alias("similar"), "grounded_response")
+    out = triage(asked(spark, sf), kb_rows(fixture(spark, sf, "fx_kb")), model, None, None, AS_OF, generator=echo)
+    return out.select("subject", "ticket_id", "category", "priority", "classification_confidence", "classification_model",
+                      F.get("similar_tickets", F.lit(0))["ticket_id"].alias("nearest"), F.size("similar_tickets").cast("long").alias("similar"),
+                      F.substring_index("grounded_response", " -- ", 1).alias("answer_head"))
 
 
-@query("triage_log")
+@query("triage_log", TRIAGE + f"""
+SELECT TIMESTAMP '{AS_OF}' AS ts, '' AS ticket_id, a.subject, c.category, c.priority, round(c.confidence, 4) AS confidence,
+       CAST(a.run_rag AS INT) AS run_rag
+FROM asked a JOIN chosen c ON a.reply_id = c.ticket_id""")
 def triage_log(spark, sf):
     """Requests, triaged, answered in the callers' form and turned into log rows."""
     _, model = sla_model(spark, sf)
-    kb, asked = stage(kb_rows(embedded(spark, sf)), "kb"), tickets(spark, sf)
-    results = triage(asked, kb, model, rule_model, careful_model, AS_OF, dim=DIM)
-    return to_log_rows(loggable(responses(results, asked, model, AS_OF), AS_OF, run_rag=False)).withColumn(
-        "ts", F.col("ts").cast("timestamp_ntz"))
+    results = triage(asked(spark, sf), kb_rows(fixture(spark, sf, "fx_kb")), model, None, None, AS_OF)
+    rows = to_log_rows(loggable(responses(results), AS_OF))
+    return rows.select(F.col("ts").cast("timestamp_ntz").alias("ts"), "ticket_id", "subject", "category", "priority", "confidence", "run_rag")
 
 
-def answered(spark, sf):
-    """Tickets, their nearest others and a written answer."""
-    rows = stage(embedded(spark, sf), "embedded")
-    hits = collect_hits(top_k(rows, kb_rows(rows), 3, exclude_self=True)).withColumnRenamed("query_id", "ticket_id")
-    joined = rows.select("ticket_id", "subject", "body", "category", "priority").join(hits, "ticket_id", "left")
-    prompt = answer_prompt(F.col("subject"), F.col("body"), F.col("category"), F.col("priority"),
-                           format_context(F.col("hits")))
-    return generate(joined.withColumn("prompt", prompt), first_hit)
+@query("generate", CONTEXT + """
+SELECT c.query_id, concat('A ticket of category <', k.category, '> and priority <', k.priority, '> says: ', k.subject,
+  ' -- body', chr(10), chr(10), 'Tickets found for it:', chr(10), c.context) AS response_head
+FROM context c JOIN fx_kb k ON c.query_id = k.ticket_id""")
+def generated(spark, sf):
+    """What a writer is sent for each row: the row itself, and its nearest others."""
+    rows = kb_rows(fixture(spark, sf, "fx_kb"))
+    hits = collect_hits(top_k(rows, rows, 3, exclude_self=True))
+    joined = rows.drop("embedding").withColumnRenamed("ticket_id", "query_id").join(hits, "query_id")
+    prompt = answer_prompt(F.col("subject"), F.lit("body"), F.col("category"), F.col("priority"), format_context(F.col("hits")))
+    out = generate(joined.withColumn("prompt", prompt), echo)
+    return out.select("query_id", F.substring_index("response", "\n\nUsing the earlier tickets", 1).alias("response_head"))
 
 
-@query("generate")
-def generated(spark, sf):
-    return answered(spark, sf).select("ticket_id", "response")
+def recorded(prompts: list[str]) -> list[str]:
+    """The recorded reply of a judge, which the query passes as the answer to be graded."""
+    return [p.split("\nAnswer: ", 1)[1].split("\n\nAnswer with", 1)[0] for p in prompts]
 
 
-@query("grade")
+@query("grade", with_views("fx_replies") + """,
+v AS (SELECT CASE WHEN json_valid(judge_raw) THEN CAST(judge_raw AS JSON) END AS j FROM fx_replies),
+s AS (SELECT CASE WHEN j IS NULL THEN 0.0 ELSE coalesce(try_cast(json_extract_string(j, '$.score') AS DOUBLE), 0.0) END AS score FROM v)
+SELECT count(*) AS n, round(avg(score), 6) AS faithfulness, round(avg(score), 6) AS relevance FROM s""")
 def graded(spark, sf):
-    asked = answered(spark, sf).select(
-        "ticket_id", F.concat("subject", F.lit("\n"), "body").alias("question"),
-        F.coalesce(judge_context(F.col("hits")), F.lit("")).alias("context"), F.col("response").alias("answer"))
-    return grade_summary(grade(asked, judge))
+    rows = fixture(spark, sf, "fx_replies").select(F.col("ticket_id").alias("question"), F.lit("").alias("context"), F.col("judge_raw").alias("answer"))
+    return grade_summary(grade(rows, recorded)).select(
+        "n", F.round("faithfulness", 6).alias("faithfulness"), F.round("relevance", 6).alias("relevance"))

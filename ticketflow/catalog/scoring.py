@@ -198,17 +198,20 @@ def binary_metrics(spark, sf):
     return figures.withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1")})
 
 
-@query("classification_report", LABELLED + """,
-p AS (SELECT lower(trim(y_true)) AS t, lower(trim(y_pred)) AS p FROM fx_labelled),
-names AS (SELECT t AS label FROM p UNION SELECT p FROM p),
-c AS (SELECT label, (SELECT count(*) FROM p WHERE p.t = label) AS support, (SELECT count(*) FROM p WHERE p.p = label) AS predicted,
-             (SELECT count(*) FROM p WHERE p.t = label AND p.p = label) AS tp FROM names),
-m AS (SELECT label, coalesce(tp / nullif(predicted, 0), 0) AS precision, coalesce(tp / nullif(support, 0), 0) AS recall,
-             coalesce(2 * tp / nullif(support + predicted, 0), 0) AS f1, support, tp FROM c)
+#: Report from a view ``pairs(t, p)`` of true and predicted labels.
+REPORT = """
+names AS (SELECT t AS label FROM pairs UNION SELECT p FROM pairs),
+counted AS (SELECT label, (SELECT count(*) FROM pairs x WHERE x.t = label) AS support, (SELECT count(*) FROM pairs x WHERE x.p = label) AS predicted,
+             (SELECT count(*) FROM pairs x WHERE x.t = label AND x.p = label) AS tp FROM names),
+scored AS (SELECT label, coalesce(tp / nullif(predicted, 0), 0) AS precision, coalesce(tp / nullif(support, 0), 0) AS recall,
+             coalesce(2 * tp / nullif(support + predicted, 0), 0) AS f1, support, tp FROM counted)
 SELECT label, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, support,
-       round(coalesce(tp / nullif(support, 0), 0), 9) AS accuracy FROM m
+       round(coalesce(tp / nullif(support, 0), 0), 9) AS accuracy FROM scored
 UNION ALL SELECT 'macro avg', round(avg(precision), 9), round(avg(recall), 9), round(avg(f1), 9), CAST(sum(support) AS BIGINT),
-       round(sum(tp) / sum(support), 9) FROM m""")
+       round(sum(tp) / sum(support), 9) FROM scored"""
+
+
+@query("classification_report", LABELLED + ",\npairs AS (SELECT lower(trim(y_true)) AS t, lower(trim(y_pred)) AS p FROM fx_labelled)," + REPORT)
 def classification_report(spark, sf):
     rows = fixture(spark, sf, "fx_labelled")
     pairs = ev.pair_predictions(rows.select("ticket_id", F.col("y_pred").alias("category")),

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import percent
-from .ranking import rows_at
+from ..session import stage
+from .ranking import running_sums
 from .split import numeric
 
 TIMINGS = ("total_ms", "classify_ms", "retrieve_ms", "rag_ms")
@@ -74,9 +75,13 @@ def total_ms(timings: Column) -> Column:
 def latency_stats(df: DataFrame, column: str, fraction: float = 0.99) -> DataFrame:
     """Mean, and the element at index floor(fraction * n) of the ascending values.
 
-    The element is found by bracketing (see ``rows_at``), not by a global sort or a value map in memory.
+    Rows collapse to a count per value before anything is sorted, so a value that most rows have is one row. The table is read once.
     """
-    n, found = rows_at(df.where(F.col(column).isNotNull()), numeric(df, column), [], [fraction],
-                       lambda n, f: int(f * n))
-    at = F.lit(found[0]["_lead"] if found[0] is not None else None).cast("double")
-    return df.agg(F.count(column).alias("n"), F.avg(column).alias("avg_ms")).withColumn("p99_ms", at)
+    known = df.where(F.col(column).isNotNull()).select(numeric(df, column).alias("value"))
+    counts = stage(known.groupBy("value").agg(F.count(F.lit(1)).alias("n")), "values")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("avg_ms")).first()
+    at = int(fraction * total["n"])
+    ranked = running_sums(counts, ["value"], ["n"])
+    found = ranked.where((F.col("before_n") <= at) & (F.col("before_n") + F.col("n") > at))
+    return found.agg(F.lit(total["n"]).cast("bigint").alias("n"), F.lit(total["avg_ms"]).cast("double").alias("avg_ms"),
+                     F.max("value").cast("double").alias("p99_ms"))

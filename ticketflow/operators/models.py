@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import time
 from collections.abc import Callable, Iterator
 
@@ -16,49 +17,66 @@ from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from ..constants import EMBED_DIM, FEATURES
 from ..functions.features import fill_features
-from ..functions.prompts import classify_prompt, faithfulness_prompt, relevance_prompt
+from ..functions.prompts import ANSWER_SYSTEM, CLASSIFY_SYSTEM, classify_prompt, faithfulness_prompt, relevance_prompt
 from ..functions.replies import cascade, parse_judgement, uncertain, validate_reply
 from ..functions.rules import risk_bucket
 from ..functions.text import not_blank
 
 Batch = Callable[[list[str]], list[str]]
 EMBED_BATCH = 128
+CALL_ROWS = 64  # prompts per call
 CALL = "struct<raw:string,failure:string,latency_ms:double>"
 
 
-def _answer(fn: Batch, texts: list[str]) -> list[tuple]:
-    """Replies of one batch. A batch that fails is asked again row by row, so failures stay per row."""
-    start = time.perf_counter()
+def _replies(fn: Batch, texts: list[str]) -> list[tuple]:
+    """Replies of one call. A call that fails is repeated on its halves, so failures stay per row."""
     try:
-        replies = [(reply, None) for reply in fn(texts)]
+        replies = list(fn(texts))
         if len(replies) != len(texts):
             raise ValueError("one reply per prompt expected")
-    except Exception:
-        replies = []
-        for text in texts:
-            try:
-                replies.append((fn([text])[0], None))
-            except Exception as error:
-                replies.append((None, str(error)))
+        return [(reply, None) for reply in replies]
+    except Exception as error:
+        if len(texts) == 1:
+            return [(None, str(error))]
+        half = len(texts) // 2
+        return _replies(fn, texts[:half]) + _replies(fn, texts[half:])
+
+
+def _answer(fn: Batch, texts: list[str]) -> list[tuple]:
+    start = time.perf_counter()
+    replies = _replies(fn, texts)
     ms = (time.perf_counter() - start) * 1000 / max(1, len(texts))
     return [(reply, failure, round(ms, 1)) for reply, failure in replies]
 
 
-def call_model(fn: Batch, prompt: Column, wanted: Column | None = None) -> Column:
-    """Replies to a column of prompts; rows that are not wanted are not sent.
+def with_system(fn: Batch, system: str | None) -> Batch:
+    """A hook that takes a second argument is given the system prompt."""
+    try:
+        two = len(inspect.signature(fn).parameters) > 1
+    except (TypeError, ValueError):
+        two = False
+    return (lambda texts: fn(texts, system)) if two and system is not None else fn
+
+
+def call_model(fn: Batch, prompt: Column, wanted: Column | None = None, system: str | None = None) -> Column:
+    """Replies to a column of prompts, ``CALL_ROWS`` per call at most; prompts that are not wanted are not even sent to Python.
 
     Marked non-deterministic, so that Spark neither repeats nor reorders a call.
     """
+    hook = with_system(fn, system)
+
     @F.pandas_udf(CALL)
-    def ask(prompts: pd.Series, asked: pd.Series) -> pd.DataFrame:
+    def ask(prompts: pd.Series) -> pd.DataFrame:
         rows: list[tuple] = [(None, None, 0.0)] * len(prompts)
-        chosen = [i for i, send in enumerate(asked) if send is True or send == 1]
-        texts = [prompts.iloc[i] for i in chosen]
-        for i, answer in zip(chosen, _answer(fn, texts) if texts else []):
-            rows[i] = answer
+        chosen = [i for i, text in enumerate(prompts) if text is not None]
+        for at in range(0, len(chosen), CALL_ROWS):
+            some = chosen[at:at + CALL_ROWS]
+            for i, answer in zip(some, _answer(hook, [prompts.iloc[i] for i in some])):
+                rows[i] = answer
         return pd.DataFrame(rows, columns=["raw", "failure", "latency_ms"])
 
-    return ask.asNondeterministic()(prompt, wanted if wanted is not None else F.lit(True))
+    asked = F.coalesce(prompt, F.lit(""))
+    return ask.asNondeterministic()(asked if wanted is None else F.when(wanted, asked))
 
 
 def classify(df: DataFrame, primary: Batch, fallback: Batch | None = None, primary_model: str = "primary",
@@ -70,23 +88,24 @@ def classify(df: DataFrame, primary: Batch, fallback: Batch | None = None, prima
         return checked.withColumn(reply, F.col(reply).withField(
             "error", F.coalesce(F.col(f"{call}.failure"), F.col(f"{reply}.error"))))
 
-    out = df.withColumn("__call_p", call_model(primary, classify_prompt(F.col("subject"), F.col("body"))))
+    out = df.withColumn("__call_p", call_model(
+        primary, classify_prompt(F.col("subject"), F.col("body")), system=CLASSIFY_SYSTEM))
     out = judged(out, "__call_p", "__primary")
     if fallback is None:
         reply = F.col("__primary").withField("model", F.lit(primary_model)).withField("escalated", F.lit(False))
         return (out.withColumn("reply", reply).withColumn("classify_ms", F.col("__call_p.latency_ms"))
                 .drop("__call_p", "__primary"))
     out = out.withColumn("__call_f", call_model(fallback, classify_prompt(F.col("subject"), F.col("body")),
-                                           uncertain(F.col("__primary"))))
+                                           uncertain(F.col("__primary")), CLASSIFY_SYSTEM))
     out = judged(out, "__call_f", "__fallback")
     out = cascade(out, "__primary", "__fallback", "reply", primary_model, fallback_model)
     return (out.withColumn("classify_ms", F.col("__call_p.latency_ms") + F.col("__call_f.latency_ms"))
             .drop("__call_p", "__call_f", "__primary", "__fallback"))
 
 
-def generate(df: DataFrame, fn: Batch, prompt: str = "prompt", out: str = "response") -> DataFrame:
-    """Answers to prompts; a failure is kept as text."""
-    called = df.withColumn("__c", call_model(fn, F.col(prompt)))
+def generate(df: DataFrame, fn: Batch, prompt: str = "prompt", out: str = "response", wanted: Column | None = None) -> DataFrame:
+    """Answers to prompts; a failure is kept as text, and rows that are not wanted have none."""
+    called = df.withColumn("__c", call_model(fn, F.col(prompt), wanted, ANSWER_SYSTEM))
     text = F.when(F.col("__c.failure").isNotNull(),
                   F.concat(F.lit("[Generation failed: "), F.col("__c.failure"), F.lit("]"))).otherwise(F.col("__c.raw"))
     return called.withColumn(out, text).withColumn("generate_ms", F.col("__c.latency_ms")).drop("__c")

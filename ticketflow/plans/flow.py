@@ -17,6 +17,9 @@ from .gold import build_gold
 from .silver import to_silver
 
 
+RAW_ID = "__raw_id"
+
+
 @dataclass
 class Config:
     """Folders and parameters of one run. ``ingest`` yields Bronze rows; it runs only where Bronze is absent."""
@@ -35,6 +38,14 @@ class Config:
         return f"{self.root.rstrip('/')}/{name}"
 
 
+def with_raw_id(bronze: DataFrame) -> DataFrame:
+    """A hash of the whole row: the id that tickets with a blank or null id are numbered by.
+
+    Rows that are equal throughout share it; they are copies of one ticket, of which one stays anyway.
+    """
+    return bronze.withColumn(RAW_ID, F.sha2(F.to_json(F.struct(*sorted(bronze.columns))), 256))
+
+
 def ingest(spark: SparkSession, cfg: Config) -> bool:
     if cfg.skip_ingest or path_exists(spark, cfg.at("bronze")) or cfg.ingest is None:
         return False
@@ -48,7 +59,7 @@ def run_flow(spark: SparkSession, cfg: Config) -> DataFrame:
     bronze = read_bronze(spark, cfg.at("bronze"))
     gate(bronze, bronze_gate(cfg.min_rows), "bronze")
     mapping = read_label_map(spark, cfg.label_map) if cfg.label_map else None
-    write_silver(to_silver(bronze, "ticket_id", mapping), cfg.at("silver"))
+    write_silver(to_silver(with_raw_id(bronze), RAW_ID, mapping), cfg.at("silver"))
     silver = read_layer(spark, cfg.at("silver"))
     gate(silver, silver_gate(cfg.min_rows), "silver")
     write_silver(silver, cfg.at("silver_by_source"), by="source")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -19,6 +21,7 @@ DEFAULTS = {
 }
 
 _local_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def build_session(app: str = "ticketflow", master: str | None = None, **conf: str) -> SparkSession:
@@ -34,11 +37,28 @@ def build_session(app: str = "ticketflow", master: str | None = None, **conf: st
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the clock of a session built elsewhere: every timestamp here is UTC."""
+    """Pin the clock of a session built elsewhere, as every timestamp here is UTC, and ship this package to its workers."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Give Python workers this package, wherever they start: once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        path = os.path.join(tempfile.mkdtemp(prefix="ticketflow-package-"), "ticketflow.zip")
+        with zipfile.ZipFile(path, "w") as archive:
+            for folder, _, names in os.walk(package):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        archive.write(full, os.path.relpath(full, os.path.dirname(package)))
+        sc.addPyFile(path)
+        _shipped.add(sc.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, ``spark.checkpoint.dir``.
 
