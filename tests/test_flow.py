@@ -227,6 +227,17 @@ def test_streamed_log_is_the_batch_log(spark, tmp_path):
     assert set(got.columns) | {"id"} == set(TRIAGE_LOG.fieldNames())
 
 
+def test_streamed_log_rows_are_numbered(spark, tmp_path):
+    from tests.test_monitoring import results
+    from ticketflow.operators.log import recent
+    path = str(tmp_path / "log")
+    got = intake.log_once(files(spark, tmp_path, results(spark, 30)), path, str(tmp_path / "checkpoint"))
+    assert sorted(r["id"] for r in got.collect()) == list(range(1, 31)) and recent(got, 3).first()["id"] == 30
+    # a repeated batch replaces itself
+    intake.number_log(got.drop("id").limit(4), path, 2)
+    assert spark.read.schema(TRIAGE_LOG).parquet(path).groupBy("id").count().where("count > 1").count() == 0
+
+
 def test_streamed_dedup_over_batches(spark, tmp_path):
     schema = "ts timestamp, n long, ticket_id string, source string, created_at string, subject string, body string, labels_raw array<string>"
     from datetime import datetime, timedelta

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import log as ops
-from ..operators.drift import align, drift_by, drift_report, kl, psi, shares
-from ..operators.split import time_split
+from ..operators.drift import align, counted_splits, drift_of_counts, drift_report, kl, psi, shares
 from .fixtures import fixture, with_views
 from .registry import query
 
@@ -22,7 +21,8 @@ smooth AS (SELECT *, (e + 1e-4) / sum(e + 1e-4) OVER () AS es, (a + 1e-4) / sum(
 
 
 def halves(spark, sf):
-    rows = time_split(fixture(spark, sf, "fx_log").select("id", "ts", "category"), "ts", "id")
+    """Counts of the older part of the log and of the rest, by day and category."""
+    rows = counted_splits(fixture(spark, sf, "fx_log"), "ts", "id")
     return rows.where(F.col("split") == "train"), rows.where(F.col("split") != "train")
 
 
@@ -108,7 +108,7 @@ def distribution(spark, sf):
 @query("drift_align", HALVES + "SELECT category, round(e, 9) AS p_expected, round(a, 9) AS p_actual FROM both_sides")
 def drift_align(spark, sf):
     train, live = halves(spark, sf)
-    return align(shares(train), shares(live)).select(
+    return align(shares(train, weight="n"), shares(live, weight="n")).select(
         "category", F.round("p_expected", 9).alias("p_expected"), F.round("p_actual", 9).alias("p_actual"))
 
 
@@ -118,14 +118,14 @@ SELECT round(psi, 8) AS psi, round(kl, 8) AS kl, train_categories, live_categori
 FROM (SELECT sum((acs - es) * ln(acs / es)) AS psi, sum(acs * ln(acs / es)) AS kl, count(tc) AS train_categories,
              count(lc) AS live_categories, CAST(sum(n) AS BIGINT) AS live_rows FROM smooth)""")
 def drift_psi(spark, sf):
-    report = drift_report(*halves(spark, sf))
+    report = drift_report(*halves(spark, sf), weight="n")
     return report.withColumns({"psi": F.round("psi", 8), "kl": F.round("kl", 8)})
 
 
 @query("drift_kl", HALVES + "SELECT round(sum(acs * ln(acs / es)), 8) AS kl, round(sum((acs - es) * ln(acs / es)), 8) AS psi FROM smooth")
 def drift_kl(spark, sf):
     train, live = halves(spark, sf)
-    return align(shares(train), shares(live)).agg(F.round(kl(), 8).alias("kl"), F.round(psi(), 8).alias("psi"))
+    return align(shares(train, weight="n"), shares(live, weight="n")).agg(F.round(kl(), 8).alias("kl"), F.round(psi(), 8).alias("psi"))
 
 
 DAILY = HALVES + """,
@@ -147,5 +147,4 @@ SELECT CAST(day AS VARCHAR) AS day, n, round(psi, 8) AS psi, CASE WHEN psi < 0.1
 @query("drift_daily", DAILY.replace("{live}", "rn >= floor(total * 0.7)"))
 def drift_daily(spark, sf):
     train, live = halves(spark, sf)
-    days = live.withColumn("day", F.to_date("ts").cast("string"))
-    return drift_by(train, days, "day").withColumn("psi", F.round("psi", 8))
+    return drift_of_counts(train, live.groupBy("day", "category").agg(F.sum("n").alias("n")), "day", weight="n").withColumn("psi", F.round("psi", 8))

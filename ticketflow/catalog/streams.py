@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedup import text_key
+from ..session import work_path
 from ..streaming import intake, metrics
 from . import sqltext as q
 from .fixtures import LOG as LOG_TEXT, TICKETS, table, with_views
@@ -80,10 +81,11 @@ def stream_rate_status(spark, sf):
     return out.withColumn("per_second", F.round("per_second", 9))
 
 
-@query("stream_log", LOG + LOG_ROWS)
+@query("stream_log", LOG + LOG_ROWS.replace("SELECT ts,", "SELECT row_number() OVER (ORDER BY ts, ticket_id) AS id, ts,"))
 def stream_log(spark, sf):
     results = as_results(arriving(spark, sf, "events", LOG_TEXT))
-    return intake.run_once(intake.log_stream(results), "log")
+    out = intake.log_once(results, work_path(spark, "log"), work_path(spark, "log-checkpoint"))
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 TICKETS_KEPT = with_views("fx_tickets") + f",\nkept AS (SELECT * FROM fx_tickets WHERE {q.KEPT}),\n" + q.masked("kept", "doc_id")
@@ -104,4 +106,4 @@ def stream_drift(spark, sf):
     train, _ = halves(spark, sf)
     counts, _ = intake.windows_once(intake.drift_stream(arriving(spark, sf, "events", LOG_TEXT)), "days",
                                     ["window_start", "window_end", "category"])
-    return intake.drift_of_days(train, counts).withColumn("psi", F.round("psi", 8))
+    return intake.drift_of_days(train, counts, weight="n").withColumn("psi", F.round("psi", 8))

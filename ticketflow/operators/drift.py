@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from ..constants import DRIFT_EPSILON, DRIFT_MIN_LIVE
 from ..functions.rules import drift_band
+from ..session import stage
+from .split import time_split
 
 
-def shares(df: DataFrame, column: str = "category") -> DataFrame:
-    """Count and share of each value, nulls excluded.
+def shares(df: DataFrame, column: str = "category", weight: str | None = None) -> DataFrame:
+    """Count and share of each value, nulls excluded. ``weight`` names the counts of a table that is counted already.
 
     The total is a scalar subquery over the counts, not a window over the rows.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    rows = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(rows.alias("n"))
     total = counts.agg(F.sum("n")).scalar()
     return counts.select(column, "n", (F.col("n") / total).alias("p"))
 
@@ -49,9 +52,9 @@ def kl() -> Column:
     return F.sum(a * ratio) / F.sum(a) + F.log(F.sum(e) / F.sum(a))
 
 
-def drift_report(train: DataFrame, live: DataFrame, column: str = "category") -> DataFrame:
+def drift_report(train: DataFrame, live: DataFrame, column: str = "category", weight: str | None = None) -> DataFrame:
     """One row of drift figures, or none while there are no live rows."""
-    expected, actual = shares(train, column), shares(live, column)
+    expected, actual = shares(train, column, weight), shares(live, column, weight)
     both = (expected.select(column, F.col("p").alias("p_expected"), F.lit(0).cast("bigint").alias("n_live"))
             .unionByName(actual.select(column, F.col("p").alias("p_actual"), F.col("n").alias("n_live")),
                          allowMissingColumns=True)
@@ -75,7 +78,14 @@ def drift_by(train: DataFrame, live: DataFrame, by: str, column: str = "category
     return drift_of_counts(train, counts, by, column)
 
 
-def drift_of_counts(train: DataFrame, counts: DataFrame, by: str, column: str = "category") -> DataFrame:
+def counted_splits(df: DataFrame, ts: str, tie: str, column: str = "category") -> DataFrame:
+    """``(split, day, column, n)``: all that the drift figures need. The table is read once, for the three columns."""
+    rows = time_split(stage(df.select(ts, tie, column), "drift-rows"), ts, tie)
+    day = F.to_date(ts).cast("string").alias("day")
+    return stage(rows.groupBy("split", day, column).agg(F.count(F.lit(1)).alias("n")), "drift-counts")
+
+
+def drift_of_counts(train: DataFrame, counts: DataFrame, by: str, column: str = "category", weight: str | None = None) -> DataFrame:
     """PSI per period from counts ``(by, column, n)``.
 
     Terms split in two: values present in the period, and training values the period lacks. The latter
@@ -83,7 +93,7 @@ def drift_of_counts(train: DataFrame, counts: DataFrame, by: str, column: str =
     product of periods and values.
     """
     eps = DRIFT_EPSILON
-    expected = shares(train, column)
+    expected = shares(train, column, weight)
     totals = expected.agg(F.sum(F.col("p") + eps).alias("e"), F.count(F.lit(1)).alias("m"),
                           F.sum(F.log(eps / (F.col("p") + eps))).alias("l"),
                           F.sum((F.col("p") + eps) * F.log(eps / (F.col("p") + eps))).alias("el"))

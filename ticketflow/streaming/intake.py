@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from ..operators.dedup import text_key
 from ..operators.drift import drift_of_counts
 from ..operators.log import to_log_rows
+from ..operators.ranking import row_index
 from ..plans.silver import clean, ensure_columns, order_columns
+from ..schemas import TRIAGE_LOG
 from ..session import work_path
 from ..sources.sinks import path_exists
 from .metrics import daily_counts, with_watermark
 
+BATCH = "log_batch"
+
 
 def start(df: DataFrame, path: str, checkpoint: str, once: bool = True):
     """Append a stream to Parquet, exactly once per row. ``once`` stops after the rows at hand."""
@@ -51,10 +55,32 @@ def windows_once(df: DataFrame, name: str, keys: list[str]) -> tuple[DataFrame,
 
 
 def log_stream(results: DataFrame) -> DataFrame:
-    """Triage results as log rows; the batch job that numbers rows adds the id."""
+    """Triage results as log rows, without ids."""
     return to_log_rows(results)
 
 
+def number_log(rows: DataFrame, path: str, batch: int) -> None:
+    """Write one batch of log rows below ``path``, with ids that go on from the other batches, in the order of time and ticket.
+
+    A batch owns its folder, so a repeated one replaces itself. One stream writes to a path.
+    """
+    spark, last = rows.sparkSession, 0
+    if path_exists(spark, path):
+        others = spark.read.schema(f"id long, {BATCH} long").parquet(path).where(F.col(BATCH) < batch)
+        last = others.agg(F.max("id")).first()[0] or 0
+    numbered = row_index(rows, ["ts", "ticket_id"], "id", start=last + 1)
+    kinds = {f.name: f.dataType for f in TRIAGE_LOG}
+    (numbered.select(*[F.col(c).cast(kinds[c]).alias(c) for c in TRIAGE_LOG.fieldNames()])
+     .write.mode("overwrite").parquet(f"{path}/{BATCH}={batch}"))
+
+
+def log_once(results: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Log the results at hand, numbered, and return the whole log."""
+    (log_stream(results).writeStream.option("checkpointLocation", checkpoint)
+     .foreachBatch(lambda rows, n: number_log(rows, path, n)).trigger(availableNow=True).start().awaitTermination())
+    return results.sparkSession.read.schema(TRIAGE_LOG).parquet(path).select(*TRIAGE_LOG.fieldNames())
+
+
 def silver_stream(tickets: DataFrame, raw_id: str, late: str = "1 day", salts: int = 16,
                   tasks: int | None = None) -> DataFrame:
     """Silver cleaning with duplicates dropped within ``late`` of arrival.
@@ -77,7 +103,7 @@ def drift_stream(log: DataFrame, column: str = "category") -> DataFrame:
     return daily_counts(with_watermark(log), column)
 
 
-def drift_of_days(train: DataFrame, counts: DataFrame, column: str = "category") -> DataFrame:
+def drift_of_days(train: DataFrame, counts: DataFrame, column: str = "category", weight: str | None = None) -> DataFrame:
     """Drift of each day against the training table."""
     days = counts.select(F.to_date("window_start").cast("string").alias("day"), column, "n")
-    return drift_of_counts(train, days, "day", column)
+    return drift_of_counts(train, days, "day", column, weight)
