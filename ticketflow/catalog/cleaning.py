@@ -14,7 +14,7 @@ from ..operators.quality import (
     expectations, in_set, min_length as length_rule, not_null, row_count, validate_requests, validate_tickets,
 )
 from ..plans import silver as plan
-from ..session import work_path
+from ..session import prepare, work_path
 from ..sources.adapters import (
     adapt_github, adapt_passthrough, adapt_support_a, adapt_support_b, admit, combine, distinct_values, provenance,
     source_counts,
@@ -54,7 +54,7 @@ def sources(spark, sf):
 
 @query("scan_parquet", "SELECT doc_id, lang, source, n_chars FROM documents")
 def scan_parquet(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    return read_layer(prepare(spark), f"{sf}/documents.parquet", ["doc_id", "lang", "source", "n_chars"])
 
 
 @query("columns_to_rows", "SELECT conv_id, turn, role, text FROM conversations")

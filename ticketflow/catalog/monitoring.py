@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import log as ops
 from ..operators.drift import align, counted_splits, drift_of_counts, drift_report, kl, psi, shares
+from ..session import work_path
+from ..sources.readers import read_triage_log
+from ..sources.sinks import append_log
 from .fixtures import fixture, with_views
 from .registry import query
 
@@ -26,9 +29,12 @@ def halves(spark, sf):
     return rows.where(F.col("split") == "train"), rows.where(F.col("split") != "train")
 
 
-@query("scan_log", LOG + "SELECT id, category FROM fx_log")
+@query("scan_log", LOG + "SELECT row_number() OVER (ORDER BY ts, ticket_id) AS id, category FROM fx_log")
 def scan_log(spark, sf):
-    return fixture(spark, sf, "fx_log").select("id", "category")
+    """The log appended to a table, and two columns of it read back."""
+    path = work_path(spark, "log")
+    append_log(ops.to_log_rows(as_results(fixture(spark, sf, "fx_log"))), path)
+    return read_triage_log(spark, path, ["id", "category"])
 
 
 def as_results(log):

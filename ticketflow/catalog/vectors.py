@@ -11,6 +11,9 @@ from ..operators.joins import best_overlap
 from ..operators.log import display_hits
 from ..operators.vectors import approximate_top_k, attach_vectors, collect_hits, kb_rows, top_k
 from ..plans.evaluation import eval_retrieval, neighbours
+from ..session import work_path
+from ..sources.readers import read_vectors
+from ..sources.sinks import write_vectors
 from . import sqltext as q
 from .fixtures import fixture, table, with_views
 from .registry import query
@@ -38,12 +41,15 @@ def kb(spark, sf):
     return kb_rows(fixture(spark, sf, "fx_kb"))
 
 
-@query("scan_vectors", """SELECT vec_id, label, len(embedding) AS dim, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total
-FROM embeddings""")
+@query("scan_vectors", KB + """
+SELECT ticket_id, split, len(embedding) AS dim, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total FROM fx_kb WHERE split <> 'val'""")
 def scan_vectors(spark, sf):
+    """Vectors written by split, and two of the splits read back."""
+    path = work_path(spark, "vectors")
+    write_vectors(kb(spark, sf), path)
     total = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
-    return table(spark, sf, "embeddings").select("vec_id", "label", F.size("embedding").alias("dim"),
-                                                 F.round(total, 4).alias("total"))
+    return read_vectors(spark, path, ("train", "test")).select(
+        "ticket_id", "split", F.size("embedding").alias("dim"), F.round(total, 4).alias("total"))
 
 
 @query("kb_rows", KB + "SELECT ticket_id, split, category, priority, substr(subject, 1, 200) AS subject, len(embedding) AS dim FROM fx_kb")

@@ -1,7 +1,7 @@
 """One explicit schema per layer."""
 
 from pyspark.sql.types import (
-    ArrayType, BooleanType, DoubleType, FloatType, IntegerType, LongType, MapType, StringType, StructField,
+    ArrayType, BooleanType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField,
     StructType, TimestampType,
 )
 
@@ -57,17 +57,4 @@ TRIAGE_LOG = _schema(
 HITS = ArrayType(_schema(rank=IntegerType(), ticket_id=_str, similarity=DoubleType(), category=_str,
                          priority=_str, subject=_str))
 
-TRIAGE_RESULT = _schema(
-    ticket_id=_str, subject=_str, category=_str, priority=_str, classification_confidence=DoubleType(),
-    classification_model=_str, sla_breach_risk=DoubleType(), sla_escalated=BooleanType(), routing_team=_str,
-    auto_escalate=BooleanType(), escalation_reason=_str, similar_tickets=HITS, grounded_response=_str,
-    timings=MapType(_str, DoubleType()), total_ms=DoubleType(),
-)
-
-KB_ARTICLE = StructType([
-    StructField("article_id", _str, False), StructField("text", _str, False),
-    StructField("source_url", _str, False), StructField("team_tag", _str, False),
-    StructField("created_at", TimestampType(), False), StructField("confidence_level", _str, False),
-])
-
 METRICS = _schema(run_id=_str, kind=_str, name=_str, value=_str)
