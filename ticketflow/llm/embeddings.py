@@ -197,6 +197,22 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int =
                       component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 
 
-@query("op9_embedding_near_dedup")
+#: All pairs, for tables small enough for them.
+SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+          ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
+reached(n, r) AS (SELECT vec_id, vec_id FROM v UNION SELECT pairs.b, reached.r FROM reached JOIN pairs ON reached.n = pairs.a),
+roots AS (SELECT n, min(r) AS r FROM reached GROUP BY n),
+links AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT e.vec_id, coalesce(l.n, 0) AS n_links, coalesce(c.r, e.vec_id) AS component_id, coalesce(c.r, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN links l ON l.a = e.vec_id LEFT JOIN roots c ON c.n = e.vec_id
+"""
+
+
+@query("op9_embedding_near_dedup", SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
