@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranking import row_index
-from .common import cut, table
+from .common import cut, give_back, table
 from .registry import query
 
 SAMPLES, WORDS = 32, 5
@@ -81,15 +81,16 @@ def likeness(one: str | Column, two: str | Column, samples: int = SAMPLES) -> Co
 
 
 def with_next(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows as ``(id, h, text, n)``, and for each distinct document its successor: ``(id, h, n, next_id, next_h)``.
+    """Rows as ``(id, h, text)``, and for each distinct document its successor: ``(id, h, n, next_id, next_h)``.
 
     ``h`` hashes the text, so rows that share an id but differ in text are documents of their own. The order falls by id, nulls
     first; the last one's successor is the first.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("text")).select(
-        "id", F.xxhash64("text").alias("h"), "text", F.length("text").cast("long").alias("n"))
-    ids = row_index(base.groupBy("id", "h").agg(F.max("n").alias("n")), ["id", "h"], "r")
+        "id", F.xxhash64("text").alias("h"), "text")
+    narrow = base.select("id", "h", F.length("text").cast("long").alias("n"))
+    ids = row_index(narrow.groupBy("id", "h").agg(F.max("n").alias("n")), ["id", "h"], "r")
     ids = cut(ids)
     total = ids.count()
     after = ids.select(F.col("r").alias("next_r"), F.col("id").alias("next_id"), F.col("h").alias("next_h"))
@@ -98,15 +99,18 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def edited_texts(base: DataFrame, follows: DataFrame) -> DataFrame:
-    """``(id, h, n, text, edited)``: the last third of each text replaced by the beginning of the next document."""
-    third = F.expr("cast(n div 3 as int)")
+    """``(id, h, n, text, edited)``: the last third of each text replaced by the beginning of the next document.
+
+    Both joins shuffle ``base`` by the same columns and with the same ones, so Spark does it once.
+    """
     wanted = follows.select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("n").alias("_n"), "next_id", "next_h")
     heads = (base.join(wanted, F.col("id").eqNullSafe(F.col("next_id")) & (F.col("h") == F.col("next_h")))
              .select("_id", "_h", F.substring("text", F.lit(1), F.expr("cast(_n div 3 as int)")).alias("_head"))
              .groupBy("_id", "_h").agg(F.max("_head").alias("_head")))  # repeated rows give the same
     joined = base.join(heads, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
-    kept = F.substring("text", F.lit(1), F.col("n").cast("int") - third)
-    return joined.select("id", "h", "n", "text", F.concat(kept, F.col("_head")).alias("edited"))
+    n = F.length("text")
+    kept = F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int"))
+    return joined.select("id", "h", n.cast("long").alias("n"), "text", F.concat(kept, F.col("_head")).alias("edited"))
 
 
 @query("op4_weighted_fingerprints")
@@ -119,6 +123,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit(1).alias("version"), F.col("edited").alias("content"), F.sha2("edited", 256).alias("sha")))).alias("v")).select(
             "id", "h", "n", "v.version", "v.sha", "v.content")
     prints = cut(fingerprints(versions))
+    give_back(spark)  # the texts' shuffles, before fingerprints are joined
     own = prints.where("version = 0").select("id", "h", F.col("n").alias("n_chars"), "fingerprint")
     edited = prints.where("version = 1").select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("sha").alias("edited_sha256"),
                                                 F.col("fingerprint").alias("edited_fingerprint"))
