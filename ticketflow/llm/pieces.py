@@ -15,7 +15,9 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterable
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from .tokens import vocabulary
 
 MARK, NO_PIECE = "▁", "\U0010ffff"
 WORDS = re.compile("^[^ ]+| +[^ ]*")
-REMEMBERED = 400_000  # encoded words kept per worker
+REMEMBERED, TOGETHER = 600_000, 1 << 23  # encoded words kept per worker; characters whose words are searched together
 PENALTY = 10.0  # the library's: an unknown character scores this much below the lowest piece
 
 
@@ -56,6 +58,7 @@ class Pieces:
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece has a mark behind another character; words can't be searched apart")
         self.unknown = low - PENALTY
+        self.trie: dict[str, tuple] = {p[:n]: () for p in self.ids for n in range(1, len(p))} | self.ids  # () where none ends
         self.longest = max(map(len, self.ids))
         self.known: dict[str, bytes] = {}
 
@@ -64,38 +67,28 @@ class Pieces:
         out, last = {}, ""
         forward = [0.0]  # best score of each prefix of the present word
         back: list[tuple[int, int]] = [(0, 0)]  # start and id (-1: byte pieces) of the last piece on that way
-        get, longest = self.ids.get, self.longest
+        step, longest, none, unknown = self.trie.get, self.longest, float("-inf"), self.unknown
         for word in words:
-            keep, most = 0, min(len(word), len(last))
-            if word[:most] == last[:most]:
-                keep = most
-            else:
-                low, high = 0, most  # longest common prefix
-                while low < high:
-                    mid = (low + high + 1) // 2
-                    if word[:mid] == last[:mid]:
-                        low = mid
-                    else:
-                        high = mid - 1
-                keep = low
-            del forward[keep + 1:], back[keep + 1:]
+            keep, n = 0, len(word)
+            for a, b in zip(word, last):
+                if a != b:
+                    break
+                keep += 1
+            forward[keep + 1:] = [none] * (n - keep)
+            back[keep + 1:] = [(0, 0)] * (n - keep)
             marked = word.replace(MARK, NO_PIECE).replace(" ", MARK)  # a mark in the text itself is no blank
-            for end in range(keep + 1, len(word) + 1):
-                best, way = None, None
-                for start in range(max(0, end - longest), end):  # longest last piece first, so it wins ties
-                    found = get(marked[start:end])
-                    if found is not None:
-                        score = forward[start] + found[0]
-                        if best is None or score > best:
-                            best, way = score, (start, found[1])
-                if way is None or way[0] < end - 1 and get(marked[end - 1]) is None:
+            for start in range(max(0, keep + 1 - longest), n + 1):
+                if start > keep and not step(marked[start - 1]) and forward[start - 1] + unknown > forward[start]:
                     # a character without a piece of its own may also be spelled in bytes
-                    score = forward[end - 1] + self.unknown
-                    if best is None or score > best:
-                        best, way = score, (end - 1, -1)
-                forward.append(best)
-                back.append(way)
-            ids, at = [], len(word)
+                    forward[start], back[start] = forward[start - 1] + unknown, (start - 1, -1)
+                score = forward[start]
+                for end in range(start + 1 if start >= keep else keep + 1, n + 1):
+                    found = step(marked[start:end])
+                    if found is None:
+                        break  # no piece begins like this
+                    if found and score + found[0] > forward[end]:  # earlier starts come first, so longer last pieces win ties
+                        forward[end], back[end] = score + found[0], (start, found[1])
+            ids, at = [], n
             while at:
                 start, piece = back[at]
                 if piece < 0:
@@ -103,7 +96,7 @@ class Pieces:
                 else:
                     ids.append(piece)
                 at = start
-            out[word] = np.array(ids[::-1], "<u4").tobytes()
+            out[word] = array("I", ids[::-1]).tobytes()
             last = word
         return out
 
@@ -126,14 +119,36 @@ class Pieces:
         return text[1:] if text[:1] == b" " else text
 
 
+@cache
+def worker_pieces(file: str) -> Pieces:
+    """One vocabulary, with the words it remembers, for all tasks of a worker."""
+    return Pieces(vocabulary(file))
+
+
+def together(batches, size: int = TOGETHER):
+    """Keys and texts of several batches, up to about ``size`` characters."""
+    keys, texts, held = [], [], 0
+    for batch in batches:
+        some = [t or "" for t in batch.column(1).to_pylist()]
+        keys.append(batch.column(0))
+        texts += some
+        held += sum(map(len, some))
+        if held >= size:
+            yield pa.chunked_array(keys).combine_chunks(), texts
+            keys, texts, held = [], [], 0
+    if texts:
+        yield pa.chunked_array(keys).combine_chunks(), texts
+
+
 def encode(docs: DataFrame, file: str = "piece_bpe_32k.model", text: str = "text", key: str = "doc_id") -> DataFrame:
     """``(key, ids array<int>)`` of every row; null text counts as empty, which has no ids. Equal texts have equal
     ids; rows that repeat stay; other columns are ignored; an empty table gives no rows."""
     def run(batches):
-        pieces = Pieces(vocabulary(file))
-        for batch in batches:
-            found = pieces.encode([t or "" for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists(found)], ["key", "ids"])
+        pieces = worker_pieces(file)
+        for keys, texts in together(batches):
+            found = pieces.encode(texts)
+            for at in range(0, len(texts), 256):
+                yield pa.RecordBatch.from_arrays([keys[at:at + 256], lists(found[at:at + 256])], ["key", "ids"])
     kind = dict(docs.select(key).dtypes)[key]
     return (docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, f"key {kind}, ids array<int>")
             .withColumnRenamed("key", key))
@@ -148,7 +163,7 @@ def decode(encoded: DataFrame, file: str = "piece_bpe_32k.model", key: str = "do
     """``(key, text)`` from ``(key, ids)``: the exact text that was encoded. Null ids give null; ids that spell no
     valid UTF-8 give the replacement character."""
     def run(batches):
-        pieces = Pieces(vocabulary(file))
+        pieces = worker_pieces(file)
         for batch in batches:
             texts = [None if ids is None else pieces.decode(np.array(ids, "<u4").tobytes()).decode("utf-8", "replace")
                      for ids in batch.column(1).to_pylist()]
@@ -162,7 +177,7 @@ def decode(encoded: DataFrame, file: str = "piece_bpe_32k.model", key: str = "do
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ids of every document, their checksum, and the digest of the text decoded from them."""
     def digests(batches):
-        pieces = Pieces(vocabulary("piece_bpe_32k.model"))
+        pieces = worker_pieces("piece_bpe_32k.model")
         for batch in batches:
             column = batch.column(1)
             ends, values = column.offsets.to_numpy(), column.values.to_numpy().astype("<u4")
