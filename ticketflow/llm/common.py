@@ -3,36 +3,40 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import prepare, shared_dir
 
-BATCH_ROWS = 256  # rows handed to Python at once; keeps a batch of long texts within a worker's memory
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 256  # rows handed to Python at once; keeps a batch of long texts within a worker's memory
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, with batches to Python small enough for long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    prepare(spark).conf.set(BATCH, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the folder in ``spark.checkpoint.dir`` and read from there, so a lost executor
-    costs no earlier stage. Shuffle files of finished stages are given back at once, not when the driver
-    happens to collect its garbage."""
+    costs no earlier stage."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    out = df.checkpoint()
+    spark.conf.set(BATCH, str(BATCH_ROWS))
     give_back(spark)
-    return out
+    return df.checkpoint()
 
 
 def give_back(spark: SparkSession) -> None:
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Delete shuffle files that no DataFrame at hand needs now, not when the driver happens to collect its garbage. What
+    the present call was given is still at hand, so it is the next call that frees its shuffles."""
+    for _ in range(2):  # plans go with the first round, and what only they held with the second
+        gc.collect()
+        time.sleep(0.3)  # Python lets go of what it held in the JVM a little later
+        spark.sparkContext._jvm.System.gc()
 
 
 def components(edges: DataFrame) -> DataFrame:

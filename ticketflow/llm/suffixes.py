@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, give_back, table
 from .registry import query
 
 LENGTH, ANCHOR = 50, 18
@@ -124,6 +124,16 @@ FIELDS = [("docs", np.int64), ("tags", np.uint32), ("doc", np.uint32), ("at", np
 COVERED, ASKED, MET = 1, 2, 0
 
 
+def planes(a: np.ndarray) -> bytes:
+    """Numbers byte by byte, lowest bytes first: high bytes are mostly zero, and a shuffle's codec then makes nothing of them."""
+    return a.view(np.uint8).reshape(len(a), -1).T.tobytes()
+
+
+def from_planes(data: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def rows_by(kind: int, key: np.ndarray, doc: np.ndarray, tag: np.ndarray, at, n, h=None, f=None) -> pd.DataFrame:
     """Packed rows, one per value of ``key``: documents once, then the columns of their segments."""
     order = np.lexsort((at, tag, doc, key))
@@ -135,8 +145,8 @@ def rows_by(kind: int, key: np.ndarray, doc: np.ndarray, tag: np.ndarray, at, n,
         new = np.r_[True, (doc[a + 1:b] != doc[a:b - 1]) | (tag[a + 1:b] != tag[a:b - 1])]
         number = np.cumsum(new) - 1
         wide = np.uint16 if number[-1] < 1 << 16 else np.uint32
-        rows.append((kind, int(key[a]), doc[a:b][new].tobytes(), tag[a:b][new].tobytes(), number.astype(wide).tobytes(),
-                     at[a:b].astype(np.uint32).tobytes(), n[a:b].astype(np.uint8).tobytes(),
+        rows.append((kind, int(key[a]), planes(np.diff(doc[a:b][new].view(U64), prepend=U64(0))), tag[a:b][new].tobytes(),
+                     planes(np.diff(number, prepend=0).astype(wide)), planes(at[a:b].astype(np.uint32)), n[a:b].astype(np.uint8).tobytes(),
                      b"" if h is None else h[a:b].tobytes(), b"" if f is None else f[a:b].tobytes()))
     return pd.DataFrame(rows, columns=[c.split()[0] for c in SENT.split(", ")])
 
@@ -145,12 +155,13 @@ def unpacked(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
     """The columns of packed rows put together, ``doc`` and ``tag`` per segment."""
     parts: dict[str, list] = {c: [] for c in ("doc", "tag", "at", "n", "h", "f")}
     for r in pdf.itertuples(index=False):
-        docs, tags, n = np.frombuffer(r.docs, np.int64), np.frombuffer(r.tags, np.uint32), np.frombuffer(r.n, np.uint8)
-        number = np.frombuffer(r.doc, np.uint16 if len(r.doc) == 2 * len(n) else np.uint32)
+        docs = np.cumsum(from_planes(r.docs, U64), dtype=U64).view(np.int64)
+        tags, n = np.frombuffer(r.tags, np.uint32), np.frombuffer(r.n, np.uint8)
+        number = np.cumsum(from_planes(r.doc, np.uint16 if len(r.doc) == 2 * len(n) else np.uint32), dtype=np.int64)
         parts["doc"].append(docs[number])
         parts["tag"].append(tags[number])
         parts["n"].append(n.astype(np.int64))
-        parts["at"].append(np.frombuffer(r.at, np.uint32).astype(np.int64))
+        parts["at"].append(from_planes(r.at, np.uint32).astype(np.int64))
         parts["h"].append(np.frombuffer(r.h, U64))
         parts["f"].append(np.frombuffer(r.f, U64))
     kinds = {"doc": np.int64, "tag": np.uint32, "at": np.int64, "n": np.int64, "h": U64, "f": U64}
@@ -420,6 +431,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     found = cut(decided(sent_segments(keyed, buckets, length, anchor), buckets))
     more = cut(compared(fetched(placed, found.where(F.col("kind") == ASKED), buckets, length), buckets, length))
     repeats = found.where(F.col("kind") == COVERED).union(more)
+    give_back(spark)
 
     def run(left, right):
         s = unpacked(right)
