@@ -109,3 +109,19 @@ def test_no_rows_and_repeated_ids(spark):
     assert privacy.sanitise(documents(spark, [])).count() == 0
     rows = collected(privacy.private_spans(documents(spark, [(1, "a@b.cc"), (1, "a@b.cc"), (None, "1.2.3.4")])).drop("_row"), "doc_id")
     assert [(r[0], len(r[1])) for r in rows] == [(None, 1), (1, 1), (1, 1)]
+
+
+def test_disclosing_terms_anywhere(spark):
+    filler = " ".join(f"{w} plain words" for w in ["alpha", "bravo", "charlie", "delta"] * 20)
+    texts = [f"{filler} number {chr(97 + i)}{i % 7}" for i in range(60)]
+    for i in range(5):  # the name stands by the address and at the end, the project at the end only
+        texts[i] = f"{chr(113 + i) * 5} Zanders zan@mail.example.com {chr(113 + i) * 6} {filler} moonshot yours zanders"
+    texts[9] += " seen by Zanders"
+    rows = {r["doc_id"]: r for r in privacy.private_spans(documents(spark, texts)).collect()}
+    found = {(i, texts[i][s["a"]:s["b"]]) for i, r in rows.items() for s in r["terms"]}
+    assert {(i, w) for i, w in found if w in ("Zanders", "zanders", "moonshot")} == (
+        {(i, w) for i in range(5) for w in ("Zanders", "zanders", "moonshot")} | {(9, "Zanders")})
+    assert not {w for _, w in found} & {"alpha", "plain", "words"}
+    assert texts[0].index("moonshot") > 500
+    clean = {r["doc_id"]: r["text"] for r in privacy.sanitise(documents(spark, texts)).collect()}
+    assert not any("anders" in t or "moonshot" in t for t in clean.values())
