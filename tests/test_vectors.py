@@ -80,6 +80,14 @@ def test_local_is_for_few_queries(spark, shapes, monkeypatch):
         top_k(rows, rows, 2, strategy="local")
 
 
+def test_registered_local_query_answers_beyond_the_bound(spark, sf, monkeypatch):
+    import __spark_entry__ as entry
+    from ticketflow.operators import vectors
+    wanted = entry.queries()["topk_cosine"](spark, sf).collect()
+    monkeypatch.setattr(vectors, "MAX_LOCAL_QUERIES", 10)
+    assert sorted(entry.queries()["topk_local"](spark, sf).collect()) == sorted(wanted)
+
+
 def test_approximate_search_finds_most(spark, shapes):
     matrix = shapes["clusters"]
     rows = table(spark, matrix)

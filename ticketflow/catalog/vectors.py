@@ -108,9 +108,9 @@ def topk_blocked(spark, sf):
 
 @query("topk_local", best(K) + HITS)
 def topk_local(spark, sf):
-    """Few queries, sent to each task that scans the base."""
+    """Few queries are sent to each task that scans the base; more than that go through the grid."""
     rows = kb(spark, sf)
-    return top_k(rows, rows, K, strategy="local")
+    return top_k(rows, rows, K, strategy="auto")
 
 
 @query("topk_filtered", best(K, "b.category = 'security'") + HITS)

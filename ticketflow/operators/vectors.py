@@ -140,15 +140,17 @@ def top_k(queries: DataFrame, base: DataFrame, k: int, query_id: str = "ticket_i
 
     ``category`` restricts the base before ranking. ``grid`` holds on both sides at any size. ``local``, for callers who
     know that their queries are few, sends all of them to each task that scans the base; it raises beyond
-    ``MAX_LOCAL_QUERIES``. Zero vectors match nothing.
+    ``MAX_LOCAL_QUERIES``. ``auto`` is ``local`` up to that number and ``grid`` beyond. Zero vectors match nothing.
     """
     if category is not None:
         base = base.where(F.col("category") == category)
     narrow = base.select(base_id, "embedding")
     schema = _hit_schema(queries, narrow, query_id)
     slim = queries.select(query_id, "embedding")
+    known = slim.limit(MAX_LOCAL_QUERIES + 1).toPandas() if strategy in ("local", "auto") else None
+    if strategy == "auto":
+        strategy = "grid" if len(known) > MAX_LOCAL_QUERIES else "local"
     if strategy == "local":
-        known = slim.limit(MAX_LOCAL_QUERIES + 1).toPandas()
         if len(known) > MAX_LOCAL_QUERIES:
             raise ValueError(f"more than {MAX_LOCAL_QUERIES} queries; use the grid")
         found = _local(known, narrow, schema, k, query_id, base_id, exclude_self)
