@@ -125,3 +125,13 @@ def test_disclosing_terms_anywhere(spark):
     assert texts[0].index("moonshot") > 500
     clean = {r["doc_id"]: r["text"] for r in privacy.sanitise(documents(spark, texts)).collect()}
     assert not any("anders" in t or "moonshot" in t for t in clean.values())
+
+
+def test_short_names_and_identifiers_are_terms(spark):
+    texts = [f"plain text of some words number {i} and no more" for i in range(60)]
+    for i in range(5):
+        texts[i] = f"{chr(97 + i) * 4} Lee 李明 EMP4711 wrote from zan@mail.example.com of some words number {i} {chr(97 + i) * 5}"
+    rows = privacy.private_spans(documents(spark, texts)).collect()
+    found = {(r["doc_id"], texts[r["doc_id"]][s["a"]:s["b"]]) for r in rows for s in r["terms"]}
+    assert found >= {(i, w) for i in range(5) for w in ("Lee", "李明", "EMP4711")}
+    assert not {w for _, w in found} & {"of", "some", "words", "number", "0", "1"}

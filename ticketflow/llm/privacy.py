@@ -37,7 +37,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-TERM = re.compile(r"[^\W\d_]{4,}")
+TERM = re.compile(r"[^\W_]+")  # short names and identifiers, too; common ones are turned down by their frequency
 REACH, SUPPORT, GENERALISE, REMOVE = 120, 3, 0.85, 0.95
 FLUSH = 200_000  # distinct terms counted in a task before they are handed on
 SIEVE = 22  # bits of a term's hash that the sieve looks at
