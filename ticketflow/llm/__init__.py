@@ -6,7 +6,7 @@ Nothing outside this folder imports it. ``load`` returns its registered queries
 from importlib import import_module
 
 MODULES = ("suffixes", "pieces", "quality", "fingerprints", "bestfit", "chat", "privacy", "simhash", "embeddings",
-           "binpack", "licenses", "whitening")
+           "binpack", "search", "licenses", "whitening")
 
 
 def load():

@@ -8,7 +8,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import prepare, shared_dir
+from ..session import prepare, shared_dir, work_path
 
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 256  # rows handed to Python at once; keeps a batch of long texts within a worker's memory
 
@@ -67,3 +67,17 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
     roots = e.select("b").distinct()
     return e.toDF("node", "root").union(roots.select(F.col("b").alias("node"), F.col("b").alias("root")))
+
+
+def put(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written compressed below the shared folder and read from there, and its path, for ``forget``."""
+    path = work_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def forget(spark: SparkSession, *paths: str) -> None:
+    """Delete work tables that nothing reads any more."""
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
