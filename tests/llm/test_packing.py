@@ -27,9 +27,9 @@ def ids_of(tokenizer, text):
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
 
 
-def test_words_apart_give_the_ids_of_the_text(tokenizer):
+def test_ranks_give_the_ids_of_the_file(tokenizer):
     encoder, rng = tokens.ByteBpe(tokens.vocabulary()), random.Random(1)
-    texts = [t or "" for t in ODD] + ["".join(rng.choice(" \n\t'sa!9é\x1c\x85　") for _ in range(rng.randrange(60)))
+    texts = [t or "" for t in ODD] + [" " * 1_000_000 + "x"] + ["".join(rng.choice(" \n\t'sa!9é\x1c\x85　") for _ in range(rng.randrange(60)))
                                       for _ in range(3000)]
     for text, ids in zip(texts, encoder.encode(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
@@ -132,3 +132,8 @@ def test_written_matrix(spark, tmp_path):
     docs = documents(spark, ["a b c", "d"])
     binpack.write(binpack.pack_matrix(docs), f"{tmp_path}/matrix")
     assert binpack.unpack(spark.read.parquet(f"{tmp_path}/matrix")).count() == 2
+
+
+def test_ids_that_do_not_fit_are_refused(spark):
+    with pytest.raises(Exception, match="do not fit"):
+        binpack.pack_matrix(documents(spark, ["many words of a text"]), dtype="<u1").collect()

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..operators.ranking import row_index
 from .common import cut, table
 from .registry import query
-from .tokens import CAPACITY, END, ByteBpe, cuts, vocabulary
+from .tokens import CAPACITY, END, cuts, worker_encoder
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, file: str = "byte_bpe_50k.json", end: int = END) -> DataFrame:
@@ -32,7 +32,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, file: str = "byte_bp
     empty text is one piece with the end id alone. Rows with the same doc_id are cut one by one.
     """
     def run(batches):
-        encoder = ByteBpe(vocabulary(file))
+        encoder = worker_encoder(file)
         last = np.array([end], "<u4").tobytes()
         for pdf in batches:
             rows = []

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .registry import query
-from .tokens import CAPACITY, END, ByteBpe, cuts, vocabulary
+from .tokens import CAPACITY, END, cuts, worker_encoder
 
 BLOCK = 1 << 22  # ids packed together
 SCHEMA = ("sequence_id long, n_tokens int, ids binary, cu_seqlens binary, positions binary, "
@@ -76,7 +76,7 @@ def pack_matrix(docs: DataFrame, capacity: int = CAPACITY, file: str = "byte_bpe
 
     Ids are those of the text, then ``end``; longer documents are cut, first piece shorter, and no id is lost.
     Behind ``n_tokens`` stand ``pad`` and position 0. Positions start at 0 in every segment. Null text is empty; rows
-    with the same doc_id are segments of their own; an empty table has no rows. ``dtype`` must hold the ids.
+    with the same doc_id are segments of their own; an empty table has no rows. Ids that ``dtype`` does not hold are an error.
     """
     def emit(first, pieces):
         lengths = [len(p[3]) for p in pieces]
@@ -90,7 +90,7 @@ def pack_matrix(docs: DataFrame, capacity: int = CAPACITY, file: str = "byte_bpe
                    [pieces[i][0] for i in row], [pieces[i][1] for i in row], [pieces[i][2] for i in row])
 
     def run(batches):
-        encoder, last = ByteBpe(vocabulary(file)), np.array([end], "<u4").tobytes()
+        encoder, last = worker_encoder(file), np.array([end], "<u4").tobytes()
         pieces, held, done = [], 0, TaskContext.get().partitionId() << 33  # a repeated task gives the same ids
 
         def flush():
@@ -102,7 +102,10 @@ def pack_matrix(docs: DataFrame, capacity: int = CAPACITY, file: str = "byte_bpe
 
         for pdf in batches:
             for doc, ids in zip(pdf["doc_id"], encoder.encode([t or "" for t in pdf["text"]])):
-                values = np.frombuffer(ids + last, "<u4").astype(dtype)
+                values = np.frombuffer(ids + last, "<u4")
+                if values.max() > np.iinfo(dtype).max:
+                    raise ValueError(f"ids of {file} do not fit into {dtype}")
+                values = values.astype(dtype)
                 doc = None if pd.isna(doc) else int(doc)
                 pieces += [(doc, i, s, values[s:s + n]) for i, (s, n) in enumerate(cuts(len(values), capacity))]
                 held += len(values)
