@@ -96,7 +96,7 @@ def test_places_agree_as_often_as_weights_overlap(spark):
     places = 96
     docs = documents(spark, texts).select("doc_id", F.col("text").alias("content"))
     each = fp.terms(docs)
-    low = each.groupBy("doc_id").agg(*[F.min(fp.sample(k, F.col("_s"), F.ln("_w"))).alias(f"p{k}") for k in range(places)])
+    low = each.groupBy("doc_id").agg(*[F.max(fp.sample(k, F.col("_s"), F.col("_w"), F.xxhash64("_s", F.lit(0).cast("long")))).alias(f"p{k}") for k in range(places)])
     rows = {r["doc_id"]: np.array(r[1:]) & fp.LOW for r in low.collect()}
     texts, off = dict(texts), []
     for i in range(len(pairs)):

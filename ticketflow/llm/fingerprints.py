@@ -9,8 +9,12 @@ documents. With weight ``w``,
 and the sample of place ``k`` is the ``(s, t)`` with the smallest ``a``. Two documents agree in a place with a probability
 equal to their generalised Jaccard similarity, sum of min(weights) by sum of max(weights).
 
-A place is kept as one long, ``ln a`` in the upper half and 32 bits that name ``(s, t)`` in the lower one, so a plain minimum, taken
-in the task before the shuffle, is the sample. Only fingerprints are shuffled, not terms.
+``r b`` and ``r (1 - b)`` are two independent exponential numbers, so they are drawn instead: ``-ln u1`` and ``-ln u2``. Then
+``a = c u2 exp(-r t)``, and most terms, which occur once, have ``t = 0`` and need neither ``r`` nor ``u1``.
+
+A place is kept as one long, ``1 / a`` in the upper half and 32 bits that name ``(s, t)`` in the lower one, so a plain maximum, taken
+in the task before the shuffle, is the sample. Only fingerprints are shuffled, not terms. With 32 places the likeness of a pair has
+a standard error of 0.07 at 0.8 and 0.09 at 0.5.
 """
 
 from __future__ import annotations
@@ -46,19 +50,23 @@ def terms(content: DataFrame, text: str = "content", words: int = WORDS) -> Data
     return each.select(*keys, F.element_at("_o", start).alias("_s"), (end - start).alias("_w"))
 
 
-def sample(k: int, term: Column, log_weight: Column) -> Column:
-    """The place ``k`` of one term: the smaller, the better; see above."""
-    one, two = F.xxhash64(term, F.lit(k)), F.xxhash64(term, F.lit(-1 - k))
-
+def sample(k: int, term: Column, weight: Column, name: Column) -> Column:
+    """The place ``k`` of one term: the larger, the better; see above. ``name`` is that of ``(term, 0)``."""
     def uniform(bits: Column, at: int) -> Column:
         return (F.shiftrightunsigned(bits, at).bitwiseAND(F.lit(BITS21)) + F.lit(0.5)) * F.lit(1.0 / (BITS21 + 1))
-    r = -F.ln(uniform(one, 0) * uniform(one, 21))
-    c = -F.ln(uniform(two, 0) * uniform(two, 21))
-    b = uniform(one, 42)
-    t = F.floor(log_weight / r + b)
-    place = F.floor((F.ln(c) - r * (t - b + 1) + 64.0) * F.lit(float(1 << 24)))
-    height = F.greatest(F.lit(0).cast("long"), F.least(F.lit((1 << 31) - 1).cast("long"), place))
-    return F.shiftleft(height, 32).bitwiseOR(F.xxhash64(term, t).bitwiseAND(F.lit(LOW)))
+    def hashed(n: int) -> Column:  # term is a hash itself, so one round over it and a number made of n is enough
+        spread = n * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+        return F.xxhash64(term.bitwiseXOR(F.lit(spread - (1 << 64) if spread >> 63 else spread).cast("long")))
+    one = hashed(2 * k + 1)
+    two = uniform(one, 42)
+    first = two * -F.ln(uniform(one, 0) * uniform(one, 21))
+    more = -F.ln(uniform(hashed(2 * k + 2), 0))
+    r = more - F.ln(two)
+    t = F.floor((F.ln(weight) + more) / r)
+    single = weight == 1
+    a = F.when(single, first).otherwise(first * F.exp(-r * t))
+    height = F.least(F.lit((1 << 31) - 1).cast("long"), F.floor(F.lit(1024.0) / a))
+    return F.shiftleft(height, 32).bitwiseOR(F.when(single, name).otherwise(F.xxhash64(term, t)).bitwiseAND(F.lit(LOW)))
 
 
 def fingerprints(content: DataFrame, text: str = "content", samples: int = SAMPLES) -> DataFrame:
@@ -68,7 +76,8 @@ def fingerprints(content: DataFrame, text: str = "content", samples: int = SAMPL
     """
     keys = [c for c in content.columns if c != text]
     each = terms(content, text)
-    low = each.groupBy(*keys).agg(*[F.min(sample(k, F.col("_s"), F.ln("_w"))).alias(f"_{k}") for k in range(samples)])
+    each = each.withColumn("_name", F.xxhash64("_s", F.lit(0).cast("long")))
+    low = each.groupBy(*keys).agg(*[F.max(sample(k, F.col("_s"), F.col("_w"), F.col("_name"))).alias(f"_{k}") for k in range(samples)])
     digits = [F.lpad(F.lower(F.hex(F.col(f"_{k}").bitwiseAND(F.lit(LOW)))), 8, "0") for k in range(samples)]
     return low.select(*keys, F.concat(*digits).alias("fingerprint"))
 
