@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from ticketflow.operators import joins
 from ticketflow.operators.joins import as_of_join, best_overlap, route_by_rule, with_labels
 from ticketflow.operators.routing import triage_route
 
@@ -67,3 +68,66 @@ def test_routing_cases(spark):
         ("question", "medium"): ("support", True, True, "SLA breach risk 100%"),
         ("performance", "high"): ("infra", False, False, standard),
     }
+
+
+def test_as_of_one_hot_hour(spark, monkeypatch):
+    """Nine tenths of all rows lie in one key and hour: no block has many of them, and wide rows are joined once."""
+    rng, start = random.Random(7), datetime(2024, 1, 1)
+
+    def draw(n, first):
+        return [("hot" if rng.random() < 0.9 else f"k{rng.randrange(9)}", start + timedelta(seconds=rng.randrange(3600)), first + i) for i in range(n)]
+    left, facts = draw(4000, 0), draw(150, 0) + [(None, start, 900), ("hot", None, 901)]
+    left += [(None, start, 5000), ("hot", None, 5001), ("hot", start - timedelta(days=1), 5002), ("zzz", start, 5003)]
+    seen = {}
+    blocks = joins.sorted_blocks
+
+    def spied(df, order):
+        seen["columns"], out = df.columns, blocks(df, order)
+        seen["sizes"] = [r["count"] for r in out.groupBy("_block").count().collect()]
+        return out
+    monkeypatch.setattr(joins, "sorted_blocks", spied)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = as_of_join(spark.createDataFrame([(i, k, t, "wide" * 50) for k, t, i in left], "id int, k string, t timestamp, wide string"),
+                         spark.createDataFrame([(k, t, i, i * 10) for k, t, i in facts], "k string, t timestamp, n int, v int"),
+                         "k", "t", ["v"], "20 MINUTES", tie="n")
+        got = {r["id"]: r["fact_v"] for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == len(left)
+    for k, t, i in left:
+        known = [(ft, n) for fk, ft, n in facts if k and t and fk == k and ft and ft <= t]
+        best = max(known) if known else None
+        assert got[i] == (best[1] * 10 if best and best[0] > t - timedelta(minutes=20) else None), (k, t, i)
+    assert "wide" not in seen["columns"] and max(seen["sizes"]) < 0.4 * len(left)
+
+
+def test_as_of_nothing_to_find(spark):
+    left = spark.createDataFrame([(1, "a", datetime(2024, 1, 1))], "id int, k string, t timestamp")
+    none = spark.createDataFrame([], "k string, t timestamp, v int")
+    assert [tuple(r) for r in as_of_join(left, none, "k", "t", ["v"], "5 DAYS").collect()] == [(1, "a", datetime(2024, 1, 1), None, None)]
+    assert as_of_join(left.where("false"), none, "k", "t", ["v"], "5 DAYS").collect() == []
+
+
+def test_overlap_of_many_keys_with_a_frequent_word(spark):
+    """Every key and query has the same word; it stands last in all keys, and few pairs meet by it."""
+    rng = random.Random(3)
+    keys = {k: "the " + " ".join(f"w{int(rng.paretovariate(0.6)) % 3000}" for _ in range(12)) for k in range(60)}
+    texts = {q: "the " + " ".join(f"w{int(rng.paretovariate(0.6)) % 3000}" for _ in range(40)) for q in range(300)}
+    texts[300], texts[301], texts[302] = keys[7], "", None
+    q = spark.createDataFrame(list(texts.items()), "q int, t string")
+    k = spark.createDataFrame(list(keys.items()), "k int, t string")
+    for r in best_overlap(q, "q", F.col("t"), k, "k", "t").collect():
+        asked = set((texts[r["q"]] or "").split())
+        scores = {i: len(set(t.split()) & asked) / len(set(t.split())) for i, t in keys.items()}
+        best = min(scores, key=lambda i: (-scores[i], i))
+        assert (r["k"], round(r["score"], 9)) == (best, round(scores[best], 9))
+
+
+def test_overlap_joins_few_rows(spark):
+    from ticketflow.catalog.fixtures import table
+    sf = "/root/testdata/sf0.01"
+    parts = joins.overlap_parts(table(spark, sf, "documents"), "doc_id", F.col("text"), table(spark, sf, "benchmark"), "item_id", "text")
+    all_rows = parts["asked"].join(parts["postings"], "__word").count()
+    joined = sum(parts[p].count() for p in ("prefix", "candidates")) + parts["asked"].join(parts["postings"].where("__pos * 3 < __size"), "__word").count()
+    assert joined < 0.75 * all_rows  # 0.35 of 7.5 million on ten times as many queries and five times as many keys

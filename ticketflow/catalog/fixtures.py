@@ -53,6 +53,18 @@ SELECT vec_id, concat('V-', lpad(CAST(vec_id AS STRING), 12, '0')) AS ticket_id,
 FROM embeddings
 """
 
+#: Orders as tickets with features; the label follows from four of them, but for one row in twelve.
+SLA = """
+SELECT *, CASE WHEN ticket_number % 12 = 5 THEN 1 - expected ELSE expected END AS label
+FROM (SELECT *, CASE WHEN (CASE WHEN text_length > 1500 THEN 1 ELSE 0 END) + (CASE WHEN reopen_count >= 3 THEN 1 ELSE 0 END)
+                        + (CASE WHEN hour_of_day < 9 THEN 1 ELSE 0 END) + (CASE WHEN customer_tier_encoded = 2 THEN 1 ELSE 0 END) >= 2 THEN 1 ELSE 0 END AS expected
+      FROM (SELECT o_orderkey AS ticket_number, concat('O-', CAST(o_orderkey AS STRING)) AS ticket_id, o_orderdate AS created_at,
+                   CAST(floor(o_totalprice / 100) AS BIGINT) AS text_length, o_custkey % 119 AS word_count, o_custkey % 61 AS subject_length,
+                   o_orderkey % 5 AS url_count, (o_orderkey * 7 + o_custkey) % 24 AS hour_of_day, o_orderkey % 7 AS day_of_week,
+                   (o_orderkey + o_custkey) % 5 AS reopen_count, (o_orderkey * 3 + o_custkey) % 4 AS customer_tier_encoded,
+                   o_custkey % 4 AS source_encoded FROM orders) AS f) AS e
+"""
+
 ORDERS = """
 SELECT o_orderkey, concat('O-', CAST(o_orderkey AS STRING)) AS ticket_id,
        CASE o_custkey % 6 WHEN 0 THEN 'incident' WHEN 1 THEN 'bug' WHEN 2 THEN 'security' WHEN 3 THEN 'billing' WHEN 4 THEN 'performance' ELSE 'question' END AS category,
@@ -122,6 +134,7 @@ VIEWS = {
     "fx_kb": (("embeddings",), KB),
     "fx_orders_triage": (("orders",), ORDERS),
     "fx_replies": (("orders",), REPLIES),
+    "fx_sla": (("orders",), SLA),
     "fx_labelled": (("documents", "labels"), LABELLED),
     "fx_raw_github": (("fx_tickets",), RAW_GITHUB),
     "fx_raw_a": (("fx_tickets",), RAW_A),

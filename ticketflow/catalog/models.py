@@ -14,7 +14,7 @@ from ..functions.text import embed_text, parse_created
 from ..operators import evaluate as ev
 from ..operators.models import (
     classifier_replies, embed, generate, grade, grade_summary, importances, load_model, save_model, score_sla, train_sla,
-    train_text_classifier,
+    train_text_classifier, training_rounds,
 )
 from ..operators.log import to_log_rows
 from ..operators.split import time_split
@@ -64,7 +64,17 @@ def sla_training(spark, sf):
         part = scored.where(F.col("split") == split)
         curve = ev.auc(part, "probability_breach", "label").select(F.lit(split).alias("split"), "auc")
         parts.append(curve.join(ev.binary_metrics(part, "label", "hit").withColumn("split", F.lit(split)), "split"))
-    return parts[0].unionByName(parts[1])
+    return (parts[0].unionByName(parts[1]).withColumn("rounds", F.lit(len(model.losses) - 1)).withColumn("trees", F.lit(len(model.trees))))
+
+
+@query("sla_rounds")
+def sla_rounds(spark, sf):
+    """Validation loss of every round on orders whose label depends on their features in the same way in all months: training and
+    scoring over the whole table, with the share of right answers on the months behind the training."""
+    rows = stage(time_split(fixture(spark, sf, "fx_sla"), "created_at", "ticket_id"), "sla-orders")
+    model = train_sla(rows.where("split = 'train'"), rows.where("split = 'val'"), patience=20)
+    right = score_sla(rows.where("split = 'test'"), model).agg(F.avg((F.col("breach_flag").cast("int") == F.col("label")).cast("double"))).first()[0]
+    return training_rounds(spark, model).withColumn("right", F.lit(right))
 
 
 @query("sla_score")

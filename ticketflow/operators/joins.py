@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_TEAM, ROUTING_RULES
 from ..functions.text import SPACE
+from ..session import stage
+from .ranking import sorted_blocks
 
 
 def with_labels(features: DataFrame, tickets: DataFrame, columns: tuple[str, ...] = ("category",),
@@ -35,60 +37,91 @@ def words(text) -> F.Column:
                                      lambda w: w != ""))
 
 
+def rare_first(keys: DataFrame, asked: DataFrame) -> DataFrame:
+    """``(__key, __size, __word, __pos)``: the words of each key, those that the fewest queries have first."""
+    each = keys.select("__key", F.size("__words").alias("__size"), F.explode("__words").alias("__word"))
+    held = asked.groupBy("__word").agg(F.count(F.lit(1)).alias("__df"))
+    place = Window.partitionBy("__key").orderBy(F.coalesce("__df", F.lit(0)), "__word")  # the words of one key
+    return each.join(held, "__word", "left").select("__key", "__size", "__word", (F.row_number().over(place) - 1).alias("__pos"))
+
+
+def _shares(pairs: DataFrame, postings: DataFrame, asked: DataFrame) -> DataFrame:
+    """``(__query, __key, __score)`` of given pairs: the share of the key's words that the query has."""
+    return (pairs.select("__query", "__key").join(postings, "__key").join(asked, ["__query", "__word"])
+            .groupBy("__query", "__key").agg((F.count(F.lit(1)) / F.max("__size")).alias("__score")))
+
+
+def overlap_parts(queries: DataFrame, query_id: str, query_text, keys: DataFrame, key_id: str, key_text: str) -> dict[str, DataFrame]:
+    """The steps of ``best_overlap``, in order; see there."""
+    sized = keys.select(F.col(key_id).alias("__key"), words(F.col(key_text)).alias("__words"))
+    vocabulary = sized.select(F.explode("__words").alias("__word")).distinct()
+    asked = stage(queries.select(F.col(query_id).alias("__query"), F.explode(words(query_text)).alias("__word"))
+                  .join(vocabulary, "__word", "left_semi").distinct(), "asked")
+    postings = stage(rare_first(sized, asked), "postings")
+    best = F.max_by("__key", F.struct(F.col("__score"), -F.col("__key")))
+    # a first key for each query: the one of whose rarest third it has most
+    third = (asked.join(postings.where(F.col("__pos") * 3 < F.col("__size")), "__word").groupBy("__query", "__key")
+             .agg((F.count(F.lit(1)) / F.max("__size")).alias("__score")))
+    first = stage(_shares(third.groupBy("__query").agg(best.alias("__key")), postings, asked), "first")
+    floor = first.select("__query", F.col("__score").alias("__floor"))
+    # a key that lacks the query's word at every place up to size * (1 - floor) has a smaller share than floor
+    bound = F.floor(F.col("__size") * (F.lit(1.0) - F.col("__floor")) + F.lit(1e-9))
+    near = asked.join(floor, "__query", "left").withColumn("__floor", F.coalesce("__floor", F.lit(0.0)))
+    prefix = near.join(postings, (near["__word"] == postings["__word"]) & (F.col("__pos") <= bound)).drop("__word")
+    reach = F.count(F.lit(1)) + F.max("__size") - F.least(F.max(bound) + 1, F.max("__size"))  # what it has, and all that was not looked at
+    candidates = (prefix.groupBy("__query", "__key").agg((reach / F.max("__size")).alias("__most"), F.max("__floor").alias("__floor"))
+                  .where(F.col("__most") >= F.col("__floor") - F.lit(1e-9)))
+    return {"asked": asked, "postings": postings, "third": third, "first": first, "prefix": prefix, "candidates": candidates}
+
+
 def best_overlap(queries: DataFrame, query_id: str, query_text, keys: DataFrame, key_id: str,
                  key_text: str) -> DataFrame:
-    """Per query, the key with the largest share of its words in the query; ties go to the lower key.
+    """Per query, the key with the largest share of its words in the query; ties go to the lower key, and a query without any
+    overlap has the lowest key.
 
-    Words are matched by an equi-join. The join is not hinted: Catalyst broadcasts the key words while
-    their size allows it, and AQE splits frequent words otherwise. Each query also carries one empty word
-    that meets the first key with weight 0, so a query without any overlap keeps that key.
+    Words of a key are held in order of rarity. Each query first gets the share of one promising key, found by rare words alone. A
+    key can only reach that share if the query has one of its first words, as many as the share leaves out; so frequent words, which
+    stand last, are hardly joined. What a pair has among these words, and all that follows, bounds its share, and only pairs whose
+    bound reaches the first share are counted in full. Queries that share an id are one.
     """
-    sized = keys.select(F.col(key_id).alias("__key"), words(F.col(key_text)).alias("__words"))
-    sized = sized.withColumn("__size", F.greatest(F.size("__words"), F.lit(1)))
-    first = keys.agg(F.min(key_id).alias("__key")).select(
-        "__key", F.lit(1).alias("__size"), F.lit("").alias("__word"), F.lit(0).alias("__weight"))
-    postings = sized.select("__key", "__size", F.explode("__words").alias("__word"),
-                            F.lit(1).alias("__weight")).unionByName(first)
-    asked = queries.select(F.col(query_id).alias("__query"),
-                           F.explode(F.concat(words(query_text), F.array(F.lit("")))).alias("__word"))
-    scores = (asked.join(postings, "__word").groupBy("__query", "__key")
-              .agg((F.sum("__weight") / F.max("__size")).alias("__score")))
+    parts = overlap_parts(queries, query_id, query_text, keys, key_id, key_text)
+    scores = _shares(parts["candidates"], parts["postings"], parts["asked"]).unionByName(parts["first"])
     best = scores.groupBy("__query").agg(
         F.max_by(F.struct("__key", "__score"), F.struct(F.col("__score"), -F.col("__key"))).alias("b"))
-    return best.select(F.col("__query").alias(query_id), F.col("b.__key").alias(key_id),
-                       F.col("b.__score").alias("score"))
+    lowest = keys.agg(F.min(key_id)).first()[0]
+    everyone = queries.select(F.col(query_id).alias("__query")).distinct()
+    return everyone.join(best, "__query", "left").select(
+        F.col("__query").alias(query_id), F.coalesce("b.__key", F.lit(lowest)).alias(key_id), F.coalesce("b.__score", F.lit(0.0)).alias("score"))
 
 
-def as_of_join(left: DataFrame, facts: DataFrame, key: str, ts: str, values: list[str], ttl: str,
-               bucket: str = "hour", tie: str | None = None) -> DataFrame:
-    """Per left row, the newest fact of its key at or before its time and younger than ``ttl``.
+def as_of_join(left: DataFrame, facts: DataFrame, key: str, ts: str, values: list[str], ttl: str, tie: str | None = None) -> DataFrame:
+    """Per left row, the newest fact of its key at or before its time and younger than ``ttl``: ``left`` with ``fact_<value>`` and ``fact_ts``.
 
-    Both sides are cut into time buckets, so a key with a third of all rows spreads over its buckets. A
-    bucket takes the newest fact of all earlier buckets from a table with one row per key and bucket.
-    ``bucket`` is a ``date_trunc`` unit; choose it so that the rows of one key and bucket fit a task.
+    Key, time and row number of both sides are sorted together in range-partitioned blocks of about equal size, so a hot key, or
+    a hot hour of one, is cut by time into as many blocks as it needs. A block carries the last fact of its last key on to the
+    blocks behind it, by a table with one row per block. Whole rows are joined to the outcome once, by their numbers. Of facts with
+    one time the one with the largest ``tie`` counts. Rows with a null key or time find nothing.
     """
-    fact = F.struct(F.col(ts).alias("fact_ts"), *([F.col(tie).alias("fact_tie")] if tie else []), *values)
-    cell = F.date_trunc(bucket, F.col(ts))
-    sides = facts.select(F.col(key), F.col(ts), F.lit(0).alias("__side"), fact.alias("__fact"),
-                         F.lit(None).cast(left.schema).alias("__row"),
-                         cell.alias("__cell"))
-    kind = sides.schema["__fact"].dataType
-    asked = left.select(F.col(key), F.col(ts), F.lit(1).alias("__side"), F.lit(None).cast(kind).alias("__fact"),
-                        F.struct(*left.columns).alias("__row"), cell.alias("__cell"))
-    both = sides.unionByName(asked)
-    # newest fact per key and bucket, carried to later buckets of the key
-    newest = facts.groupBy(key, cell.alias("__cell")).agg(F.max(fact).alias("__last"))
-    cells = (left.select(key, cell.alias("__cell")).distinct()
-             .join(newest, [key, "__cell"], "full_outer"))
-    earlier = Window.partitionBy(key).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    carried = cells.select(key, "__cell", F.last("__last", ignorenulls=True).over(earlier).alias("__carried"))
-    order = [F.col(ts), F.col("__side")] + ([F.col("__fact.fact_tie")] if tie else [])
-    here = Window.partitionBy(key, "__cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    seen = (both.withColumn("__here", F.last("__fact", ignorenulls=True).over(here))
-            .where(F.col("__side") == 1)
-            .join(carried, [key, "__cell"], "left"))
-    best = F.coalesce("__here", "__carried")
-    young = F.col(f"__row.{ts}") - F.expr(f"INTERVAL {ttl}") < F.col("__f.fact_ts")
-    return (seen.select("__row", best.alias("__f"))
-            .select("__row.*", *[F.when(young, F.col(f"__f.{v}")).alias(f"fact_{v}") for v in values],
-                    F.when(young, F.col("__f.fact_ts")).alias("fact_ts")))
+    wide = stage(left.withColumn("__id", F.monotonically_increasing_id()), "as-of-rows")
+    known = stage(facts.select(F.col(key).alias("__key"), F.col(ts).alias("fact_ts"), (F.col(tie) if tie else F.lit(0)).alias("__tie"),
+                                     *[F.col(v).alias(f"fact_{v}") for v in values], F.monotonically_increasing_id().alias("__fact")), "as-of-facts")
+    asked = wide.select(F.col(key).alias("__key"), F.col(ts).alias("__ts"), F.lit(1).alias("__side"), F.lit(None).cast(dict(known.dtypes)["__tie"]).alias("__tie"),
+                        F.col("__id").alias("__row"))
+    both = (known.select("__key", F.col("fact_ts").alias("__ts"), F.lit(0).alias("__side"), "__tie", F.col("__fact").alias("__row"))
+            .unionByName(asked).where("__key is not null and __ts is not null"))
+    blocks = sorted_blocks(both, ["__key", "__ts", "__side", "__tie", "__row"])
+    fact = F.when(F.col("__side") == 0, F.struct("__ts", F.col("__row").alias("__fact")))
+    here = Window.partitionBy("_block", "__key").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    seen = blocks.withColumn("__here", F.last(fact, ignorenulls=True).over(here)).where("__side = 1")
+    # the last key of a block is the only one that goes on behind it; a block has one row here
+    last = blocks.groupBy("_block").agg(F.max_by("__key", "_pos").alias("__key"))
+    ends = (blocks.where("__side = 0").join(F.broadcast(last), ["_block", "__key"]).groupBy("_block", "__key")
+            .agg(F.max_by(F.struct("__ts", F.col("__row").alias("__fact")), "_pos").alias("__end")))
+    starts = blocks.groupBy("_block").agg(F.min_by("__key", "_pos").alias("__key")).withColumn("__end", F.lit(None).cast(ends.schema["__end"].dataType))
+    line = Window.partitionBy("__key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (ends.unionByName(starts).groupBy("_block", "__key").agg(F.max("__end").alias("__end"))
+               .select("_block", "__key", F.last("__end", ignorenulls=True).over(line).alias("__carried")).where("__carried is not null"))
+    found = seen.join(F.broadcast(carried), ["_block", "__key"], "left").select("__row", F.coalesce("__here", "__carried").alias("__f"), "__ts")
+    young = found.where(F.col("__ts") - F.expr(f"INTERVAL {ttl}") < F.col("__f.__ts")).select(F.col("__row").alias("__id"), "__f.__fact")
+    return (wide.join(young.join(known.select("__fact", "fact_ts", *[f"fact_{v}" for v in values]), "__fact"), "__id", "left")
+            .select(*left.columns, *[f"fact_{v}" for v in values], "fact_ts"))

@@ -8,8 +8,8 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer, StringIndexer, VectorAssembler
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +21,7 @@ from ..functions.prompts import ANSWER_SYSTEM, CLASSIFY_SYSTEM, classify_prompt,
 from ..functions.replies import cascade, parse_judgement, uncertain, validate_reply
 from ..functions.rules import risk_bucket
 from ..functions.text import not_blank
+from .boosting import Boosted, Settings, boost
 
 Batch = Callable[[list[str]], list[str]]
 EMBED_BATCH = 128
@@ -169,45 +170,45 @@ def embed(df: DataFrame, text: str, fn: Callable[[list[str]], list[list[float]]]
     return df.mapInPandas(run, StructType([*df.schema, StructField(out, ArrayType(FloatType()))]))
 
 
-def train_sla(train: DataFrame, val: DataFrame, label: str = "label", trees: int = 500, seed: int = 42) -> PipelineModel:
-    """Boosted trees on the 17 features, weighted for rare positives, stopped early on ``val``."""
-    rate = train.agg(F.avg(label)).first()[0] or 0.0
-    weight = max(1.0, (1 - rate) / rate) if rate > 0 else 1.0
-    both = (train.withColumn("__val", F.lit(False)).unionByName(val.withColumn("__val", F.lit(True)))
-            .withColumn("__weight", F.when(F.col(label) == 1, weight).otherwise(1.0)))
-    trees_model = GBTClassifier(
-        featuresCol="features", labelCol=label, weightCol="__weight", validationIndicatorCol="__val",
-        maxIter=trees, stepSize=0.05, maxDepth=6, minInstancesPerNode=20, subsamplingRate=0.8,
-        featureSubsetStrategy="0.8", seed=seed)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), trees_model]).fit(
-        fill_features(both))
+def train_sla(train: DataFrame, val: DataFrame, label: str = "label", trees: int = 500, patience: int = 50, seed: int = 42,
+              **more) -> Boosted:
+    """Boosted trees on the 17 features, weighted for rare positives; training ends after ``patience`` rounds without a smaller
+    loss on ``val``, and the trees of the best round are kept. ``more`` goes to ``boost``."""
+    return boost(_with_features(train), _with_features(val), list(FEATURES), label,
+                 Settings(trees=trees, patience=patience, seed=seed), **more)
 
 
-def score_sla(df: DataFrame, model: PipelineModel) -> DataFrame:
-    """Add the risk score, breach flag and level. A feature the table lacks counts as 0."""
+def _with_features(df: DataFrame) -> DataFrame:
     filled = fill_features(df)
-    for c in FEATURES:
-        if c not in filled.columns:
-            filled = filled.withColumn(c, F.lit(0))
-    scored = model.transform(filled)
-    p = vector_to_array("probability").getItem(1)
-    return (scored.withColumn("probability_breach", p)
-            .select(*df.columns, "probability_breach", *risk_bucket(F.col("probability_breach"))))
-
-
-def importances(spark: SparkSession, model: PipelineModel) -> DataFrame:
-    """Feature importance, largest first: one row per feature."""
-    values = model.stages[-1].featureImportances.toArray()
-    return (spark.createDataFrame([(f, float(v)) for f, v in zip(FEATURES, values)], "feature string, importance double")
+    return filled.withColumns({c: F.lit(0) for c in FEATURES if c not in filled.columns})
+
+
+def score_sla(df: DataFrame, model: Boosted) -> DataFrame:
+    """Add the risk score, breach flag and level. A feature the table lacks counts as 0."""
+    scored = _with_features(df).withColumn("probability_breach", model.probability())
+    return scored.select(*df.columns, "probability_breach", *risk_bucket(F.col("probability_breach")))
+
+
+def importances(spark: SparkSession, model: Boosted) -> DataFrame:
+    """Feature importance, largest first: one row per feature with the number of splits that use it, and their share."""
+    used = model.splits()
+    total = max(1, sum(used.values()))
+    return (spark.createDataFrame([(f, n, n / total) for f, n in used.items()], "feature string, splits long, importance double")
             .orderBy(F.desc("importance"), "feature"))
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def training_rounds(spark: SparkSession, model: Boosted) -> DataFrame:
+    """``(round, loss, kept)``: the validation loss with so many trees, from none on, and whether the model has them."""
+    return spark.createDataFrame([(r, loss, r <= len(model.trees)) for r, loss in enumerate(model.losses)],
+                                 "round int, loss double, kept boolean")
+
+
+def save_model(model: Boosted, path: str) -> None:
+    model.nodes(SparkSession.active()).write.mode("overwrite").parquet(path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str) -> Boosted:
+    return Boosted.restored(SparkSession.active().read.parquet(path), list(FEATURES))
 
 
 def train_text_classifier(df: DataFrame, text: str, label: str, buckets: int = 1 << 12) -> PipelineModel:

@@ -33,7 +33,9 @@ def build_session(app: str = "ticketflow", master: str | None = None, **conf: st
         builder = builder.config(key, value)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -86,17 +88,27 @@ def _own_dir(spark: SparkSession) -> str:
 
 def release(spark: SparkSession) -> bool:
     """Delete the work tables of this application, once none of its results is needed any more."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    return release_path(spark, _own_dir(spark))
+
+
+def release_path(spark: SparkSession, path: str) -> bool:
+    """Delete one work table that nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def stage_at(df, name: str):
+    """As ``stage``, with the path for ``release_path``."""
+    spark = df.sparkSession
+    path = work_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def stage(df, name: str):
     """Write ``df`` below the shared folder and read it back.
 
     Cuts the lineage, so that costly expressions run once and lost executors re-read files instead of
     repeating shuffles.
     """
-    spark = df.sparkSession
-    path = work_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stage_at(df, name)[0]
