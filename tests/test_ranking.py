@@ -93,9 +93,3 @@ def test_auc_against_pairs(spark):
     assert auc(spark.createDataFrame([(0.5, 1)], "s double, y int"), "s", "y").first()["auc"] is None
 
 
-def test_only_small_inputs_are_spread(spark, sf, monkeypatch):
-    from ticketflow import session
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    assert session.spread(docs).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    monkeypatch.setattr(session, "SPLIT_BYTES", 1)
-    assert session.spread(docs) is docs
