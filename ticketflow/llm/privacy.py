@@ -240,9 +240,9 @@ def sanitise(docs: DataFrame, remove: float = REMOVE, **options) -> DataFrame:
     generalised to ``[TERM]`` or removed; overlapping spans become the first one's label. All columns stay; ``n_chars``, where there is
     one, is the new length. Null text stays null."""
     columns = docs.columns
-    marked = cut(docs.withColumn("_sanitise_row", F.monotonically_increasing_id()))
-    keyed = marked.select(F.col("_sanitise_row").alias("doc_id"), "text")
-    spans = private_spans(keyed, **options).where("size(base) + size(terms) > 0").select(
+    mark = F.xxhash64(F.col("text").cast("string"))  # spans follow from the text alone, so a hash of it is enough to bring them back
+    keyed = docs.select(mark.alias("doc_id"), "text")
+    spans = private_spans(keyed, **options).where("size(base) + size(terms) > 0").dropDuplicates(["doc_id"]).select(
         F.col("doc_id").alias("_sanitise_row"), F.col("base").alias("_sanitise_base"), F.col("terms").alias("_sanitise_terms"))
 
     @F.pandas_udf("string")
@@ -262,7 +262,7 @@ def sanitise(docs: DataFrame, remove: float = REMOVE, **options) -> DataFrame:
             out.append("".join([*parts, text[at:]]))
         return pd.Series(out, dtype=object)
 
-    joined = marked.join(spans, "_sanitise_row", "left").withColumn("text", rewritten("text", "_sanitise_base", "_sanitise_terms"))
+    joined = docs.join(spans, mark == F.col("_sanitise_row"), "left").withColumn("text", rewritten("text", "_sanitise_base", "_sanitise_terms"))
     if "n_chars" in columns:
         joined = joined.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return joined.select(*columns)
