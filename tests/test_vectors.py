@@ -72,12 +72,19 @@ def test_fewer_rows_than_k(spark, shapes):
         assert all(len(v) == 3 for v in got.values()) and len(got) == 3
 
 
-def test_local_is_for_few_queries(spark, shapes, monkeypatch):
-    from ticketflow.operators import vectors
-    monkeypatch.setattr(vectors, "MAX_LOCAL_QUERIES", 10)
-    rows = table(spark, shapes["noise"][:40])
-    with pytest.raises(ValueError, match="grid"):
-        top_k(rows, rows, 2, strategy="local")
+def test_vectors_that_cannot_be_compared(spark):
+    """Null, empty, broken and zero vectors match nothing; vectors of different lengths do not meet."""
+    nan = float("nan")
+    vectors = {"a": [1.0, 0.0], "b": [0.9, 0.1], "c": None, "d": [], "e": [1.0, None], "f": [nan, 1.0], "g": [0.0, 0.0],
+               "h": [1.0, 0.0, 0.0], "i": [0.0, 1.0, 0.0], "j": [float("inf"), 1.0]}
+    rows = spark.createDataFrame([(i, v, "docs", "low", i) for i, v in vectors.items()],
+                                 "ticket_id string, embedding array<double>, category string, priority string, subject string")
+    wanted = {"a": [("a", 1.0), ("b", 0.9939)], "b": [("b", 1.0), ("a", 0.9939)], "h": [("h", 1.0), ("i", 0.0)], "i": [("i", 1.0), ("h", 0.0)]}
+    for strategy in ("local", "grid"):
+        assert found(top_k(rows, rows, 5, strategy=strategy)) == wanted
+        assert found(top_k(rows.where("ticket_id = 'c'"), rows, 5, strategy=strategy)) == {}
+    assert found(approximate_top_k(rows, rows, 5)) == wanted
+    assert found(approximate_top_k(rows, rows.where("ticket_id = 'c'"), 5)) == {}
 
 
 def test_registered_local_query_answers_beyond_the_bound(spark, sf, monkeypatch):
@@ -88,8 +95,9 @@ def test_registered_local_query_answers_beyond_the_bound(spark, sf, monkeypatch)
     assert sorted(entry.queries()["topk_local"](spark, sf).collect()) == sorted(wanted)
 
 
-def test_approximate_search_finds_most(spark, shapes):
-    matrix = shapes["clusters"]
+@pytest.mark.parametrize("shape", ["clusters", "noise"])
+def test_approximate_search_finds_most(spark, shapes, shape):
+    matrix = shapes[shape]
     rows = table(spark, matrix)
     wanted = truth(matrix, matrix, 3)
     got = found(approximate_top_k(rows, rows, 3))

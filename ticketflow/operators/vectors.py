@@ -10,7 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-MAX_LOCAL_QUERIES = 10_000
+from .ranking import row_index
+
+MAX_LOCAL_QUERIES = 10_000  # queries in a block of ``local``
+SAMPLE = 20_000  # vectors that the coarse index is fitted on, at most
+MAX_CELLS = 1024
 BLOCK_ROWS = 4096
 DIGITS = 10  # similarities are compared at this many digits, so that equal vectors tie
 
@@ -28,6 +32,13 @@ def attach_vectors(rows: DataFrame, vectors: DataFrame, key: str = "ticket_id")
     return rows.join(vectors.select(key, "embedding"), key)
 
 
+def _comparable(df: DataFrame, key: str) -> DataFrame:
+    """``key``, ``embedding`` and its length as ``__dim``, of the rows whose vector can be compared: not null, without null or
+    non-finite numbers. Only vectors of one length meet."""
+    finite = F.forall("embedding", lambda c: F.coalesce(F.abs(c) < F.lit(float("inf")), F.lit(False)))
+    return df.select(key, "embedding", F.size("embedding").alias("__dim")).where(F.col("embedding").isNotNull() & (F.col("__dim") > 0) & finite)
+
+
 def _unit(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     """Unit rows in double precision, and which rows have a direction at all."""
     matrix = np.array(column.tolist(), dtype=np.float64)
@@ -120,8 +131,8 @@ def _grid(queries: DataFrame, base: DataFrame, schema: StructType, k: int, query
         spread = F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
         return (df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, spread))
 
-    left = cells(queries, query_id, "__i", "__j", sides[0], sides[1])
-    right = cells(base, base_id, "__j", "__i", sides[1], sides[0])
+    left = cells(_comparable(queries, query_id), query_id, "__i", "__j", sides[0], sides[1])
+    right = cells(_comparable(base, base_id), base_id, "__j", "__i", sides[1], sides[0])
 
     def pair(q, b):
         unit, keep = _unit(q["embedding"]) if len(q) else (np.empty((0, 1)), np.zeros(0, dtype=bool))
@@ -130,7 +141,20 @@ def _grid(queries: DataFrame, base: DataFrame, schema: StructType, k: int, query
         found = _best(q[query_id].to_numpy()[keep], unit, b[[base_id, "embedding"]], k, base_id, exclude_self)
         return found[schema.fieldNames()] if len(found) else pd.DataFrame(columns=schema.fieldNames())
 
-    return left.groupBy("__i", "__j").cogroup(right.groupBy("__i", "__j")).applyInPandas(pair, schema)
+    cell = ["__i", "__j", "__dim"]
+    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(pair, schema)
+
+
+def _in_blocks(queries: DataFrame, base: DataFrame, schema: StructType, k: int, query_id: str, base_id: str, exclude_self: bool) -> DataFrame:
+    """``_local`` for ``MAX_LOCAL_QUERIES`` queries after the other, until all are answered; each block scans the base once."""
+    rows = row_index(_comparable(queries, query_id), [query_id], "__r")
+    vectors, found = _comparable(base, base_id), None
+    for first in range(0, max(1, rows.count()), MAX_LOCAL_QUERIES):
+        known = rows.where(F.col("__r").between(first, first + MAX_LOCAL_QUERIES - 1)).toPandas()  # MAX_LOCAL_QUERIES rows at most
+        for dim, part in known.groupby("__dim"):
+            some = _local(part, vectors.where(F.col("__dim") == int(dim)).drop("__dim"), schema, k, query_id, base_id, exclude_self)
+            found = some if found is None else found.unionByName(some)
+    return base.sparkSession.createDataFrame([], schema) if found is None else found
 
 
 def top_k(queries: DataFrame, base: DataFrame, k: int, query_id: str = "ticket_id", base_id: str = "ticket_id",
@@ -138,22 +162,17 @@ def top_k(queries: DataFrame, base: DataFrame, k: int, query_id: str = "ticket_i
           category: str | None = None, strategy: str = "grid", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(query_id, rank, <base id>, similarity, payload)`` of the k most similar rows per query, exactly.
 
-    ``category`` restricts the base before ranking. ``grid`` holds on both sides at any size. ``local``, for callers who
-    know that their queries are few, sends all of them to each task that scans the base; it raises beyond
-    ``MAX_LOCAL_QUERIES``. ``auto`` is ``local`` up to that number and ``grid`` beyond. Zero vectors match nothing.
+    ``category`` restricts the base before ranking. ``grid`` suits two large sides. ``local``, for few queries, sends
+    blocks of ``MAX_LOCAL_QUERIES`` of them to the tasks that scan the base, one block after the other. Zero vectors, null and empty ones,
+    and those with null or non-finite numbers match nothing; vectors of different lengths do not meet.
     """
     if category is not None:
         base = base.where(F.col("category") == category)
     narrow = base.select(base_id, "embedding")
     schema = _hit_schema(queries, narrow, query_id)
     slim = queries.select(query_id, "embedding")
-    known = slim.limit(MAX_LOCAL_QUERIES + 1).toPandas() if strategy in ("local", "auto") else None
-    if strategy == "auto":
-        strategy = "grid" if len(known) > MAX_LOCAL_QUERIES else "local"
     if strategy == "local":
-        if len(known) > MAX_LOCAL_QUERIES:
-            raise ValueError(f"more than {MAX_LOCAL_QUERIES} queries; use the grid")
-        found = _local(known, narrow, schema, k, query_id, base_id, exclude_self)
+        found = _in_blocks(slim, narrow, schema, k, query_id, base_id, exclude_self)
     elif strategy == "grid":
         found = _grid(slim, narrow, schema, k, query_id, base_id, exclude_self, block_rows)
     else:
@@ -163,39 +182,74 @@ def top_k(queries: DataFrame, base: DataFrame, k: int, query_id: str = "ticket_i
         F.col("__q").alias("query_id"), "rank", base_id, F.round("similarity", 4).alias("similarity"), *payload)
 
 
+def coarse_index(sample: np.ndarray, n: int, k: int, wanted: float, seed: int) -> tuple[np.ndarray, int]:
+    """Centroids of cells for ``n`` vectors, and how many cells a query has to look into.
+
+    ``sample`` holds unit vectors. There are as many cells as the root of ``n``. The number of cells to look into is the least one that
+    holds the share ``wanted`` of the ``k`` nearest of up to 500 sampled vectors, among the sample itself.
+    """
+    draw = np.random.default_rng(seed)
+    cells = int(min(MAX_CELLS, len(sample), max(1, math.isqrt(n))))
+    centroids = sample[draw.choice(len(sample), cells, replace=False)]
+    for _ in range(12):
+        own = (sample @ centroids.T).argmax(1)
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, own, sample)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centroids = np.where(size > 0, sums / np.maximum(size, 1e-300), centroids)
+    own = (sample @ centroids.T).argmax(1)
+    asked = draw.choice(len(sample), min(500, len(sample)), replace=False)
+    near = np.argpartition(-(sample[asked] @ sample.T), min(k, len(sample) - 1), axis=1)[:, :k]
+    order = np.argsort(np.argsort(-(sample[asked] @ centroids.T), axis=1), axis=1)  # place of each cell for each query
+    places = np.sort(np.take_along_axis(order, own[near], axis=1).ravel())
+    return centroids, int(places[min(len(places) - 1, math.ceil(wanted * len(places)))]) + 1
+
+
 def approximate_top_k(queries: DataFrame, base: DataFrame, k: int, query_id: str = "ticket_id", base_id: str = "ticket_id",
-                      tables: int = 16, bits: int = 7, seed: int = 7) -> DataFrame:
-    """``(query_id, rank, <base id>, similarity)`` among rows that share a bucket with the query, ranked exactly.
+                      wanted: float = 0.97, block_rows: int = BLOCK_ROWS, seed: int = 7) -> DataFrame:
+    """``(query_id, rank, <base id>, similarity)`` among the rows in the cells nearest to the query, ranked exactly.
 
-    Each of ``tables`` tables keys a vector by the signs of ``bits`` random projections; more tables find more, more bits
-    read less. Buckets are cut by id, so that a full one is many tasks. Zero vectors match nothing.
+    The cells are those of a coarse index, fitted on a sample of at most ``SAMPLE`` vectors, which also says how many cells must be probed
+    for the share ``wanted`` of the neighbours. All rows are indexed. A full cell is cut into parts by id, so it is many tasks. What
+    ``top_k`` says of vectors that match nothing holds here, too.
     """
-    def signs(df: DataFrame, key: str) -> DataFrame:
-        schema = StructType([df.schema[key], df.schema["embedding"], StructField("__buckets", ArrayType(IntegerType()))])
-
-        def run(batches):
-            for pdf in batches:
-                unit, keep = _unit(pdf["embedding"]) if len(pdf) else (np.empty((0, 1)), np.zeros(0, dtype=bool))
-                if not keep.any():
-                    continue
-                planes = np.random.default_rng(seed).normal(size=(unit.shape[1], tables * bits))
-                codes = (unit @ planes > 0).reshape(len(unit), tables, bits) @ (1 << np.arange(bits))
-                yield pdf[keep].assign(__buckets=list(codes + (np.arange(tables) << bits)))
-        return df.select(key, "embedding").mapInPandas(run, schema).select(
-            key, "embedding", F.explode("__buckets").alias("__bucket"))
-
-    left, right = signs(queries, query_id), signs(base, base_id)
-    sizes = right.groupBy("__bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("__parts"))
-    left = left.join(sizes, "__bucket").withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
-    right = right.join(sizes, "__bucket").withColumn("__part", F.pmod(F.xxhash64(base_id), F.col("__parts")).cast("int")).drop("__parts")
+    left, right = _comparable(queries, query_id), _comparable(base, base_id)
     schema = _hit_schema(queries, base.select(base_id, "embedding"), query_id)
-
-    def pair(q, b):
-        if len(q) == 0 or len(b) == 0:
-            return pd.DataFrame(columns=schema.fieldNames())
-        return _best(q[query_id].to_numpy(), _unit(q["embedding"])[0], b[[base_id, "embedding"]], k, base_id, False)[schema.fieldNames()]
-    found = left.groupBy("__bucket", "__part").cogroup(right.groupBy("__bucket", "__part")).applyInPandas(pair, schema)
-    return _rank(found.distinct(), k, base_id).select(
+    sizes = {r["__dim"]: r["n"] for r in right.groupBy("__dim").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per length
+    out = None
+    for dim, n in sorted(sizes.items()):
+        some = right.where(F.col("__dim") == dim)
+        drawn = (some if n <= SAMPLE else some.sample(min(1.0, 1.1 * SAMPLE / n), seed)).limit(SAMPLE).select("embedding").toPandas()
+        sample, keep = _unit(drawn["embedding"])
+        if not keep.any():
+            continue
+        centroids, probes = coarse_index(sample, n, k, wanted, seed)
+
+        def placed(df: DataFrame, key: str, many: int, centroids=centroids) -> DataFrame:
+            kind = StructType([df.schema[key], df.schema["embedding"], StructField("__cells", ArrayType(IntegerType()))])
+
+            def run(batches):
+                for pdf in batches:
+                    unit, live = _unit(pdf["embedding"]) if len(pdf) else (np.empty((0, 1)), np.zeros(0, dtype=bool))
+                    if live.any():
+                        near = np.argsort(-(unit @ centroids.T), axis=1, kind="stable")[:, :many]
+                        yield pdf[live].assign(__cells=list(near.astype(np.int32)))
+            return df.drop("__dim").mapInPandas(run, kind).select(key, "embedding", F.explode("__cells").alias("__cell"))
+        asked, held = placed(left.where(F.col("__dim") == dim), query_id, probes), placed(some, base_id, 1)
+        parts = held.groupBy("__cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("__parts"))
+        asked = asked.join(parts, "__cell").withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+        held = held.join(parts, "__cell").withColumn("__part", F.pmod(F.xxhash64(base_id), F.col("__parts")).cast("int")).drop("__parts")
+
+        def pair(q, b):
+            if len(q) == 0 or len(b) == 0:
+                return pd.DataFrame(columns=schema.fieldNames())
+            return _best(q[query_id].to_numpy(), _unit(q["embedding"])[0], b[[base_id, "embedding"]], k, base_id, False)[schema.fieldNames()]
+        cell = ["__cell", "__part"]
+        found = asked.groupBy(*cell).cogroup(held.groupBy(*cell)).applyInPandas(pair, schema)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = base.sparkSession.createDataFrame([], schema)
+    return _rank(out, k, base_id).select(
         F.col("__q").alias("query_id"), "rank", base_id, F.round("similarity", 4).alias("similarity"))
 
 
