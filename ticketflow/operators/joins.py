@@ -45,33 +45,42 @@ def rare_first(keys: DataFrame, asked: DataFrame) -> DataFrame:
     return each.join(held, "__word", "left").select("__key", "__size", "__word", (F.row_number().over(place) - 1).alias("__pos"))
 
 
-def _shares(pairs: DataFrame, postings: DataFrame, asked: DataFrame) -> DataFrame:
-    """``(__query, __key, __score)`` of given pairs: the share of the key's words that the query has."""
-    return (pairs.select("__query", "__key").join(postings, "__key").join(asked, ["__query", "__word"])
-            .groupBy("__query", "__key").agg((F.count(F.lit(1)) / F.max("__size")).alias("__score")))
+SLOTS, SLOT_BITS = 8, 62  # longs for the most frequent words, and words in each
+
+
+def _masks(rows: DataFrame, by: str) -> DataFrame:
+    """For each ``by`` its frequent words as bits."""
+    return rows.where("__slot is not null").groupBy(by).agg(*[
+        F.expr(f"bit_or(CASE WHEN __slot = {n} THEN shiftleft(1L, __bit) ELSE 0L END)").alias(f"__m{n}") for n in range(SLOTS)])
 
 
 def overlap_parts(queries: DataFrame, query_id: str, query_text, keys: DataFrame, key_id: str, key_text: str) -> dict[str, DataFrame]:
     """The steps of ``best_overlap``, in order; see there."""
+    spark = queries.sparkSession
     sized = keys.select(F.col(key_id).alias("__key"), words(F.col(key_text)).alias("__words"))
     vocabulary = sized.select(F.explode("__words").alias("__word")).distinct()
     asked = stage(queries.select(F.col(query_id).alias("__query"), F.explode(words(query_text)).alias("__word"))
                   .join(vocabulary, "__word", "left_semi").distinct(), "asked")
-    postings = stage(rare_first(sized, asked), "postings")
-    best = F.max_by("__key", F.struct(F.col("__score"), -F.col("__key")))
-    # a first key for each query: the one of whose rarest third it has most
-    third = (asked.join(postings.where(F.col("__pos") * 3 < F.col("__size")), "__word").groupBy("__query", "__key")
-             .agg((F.count(F.lit(1)) / F.max("__size")).alias("__score")))
-    first = stage(_shares(third.groupBy("__query").agg(best.alias("__key")), postings, asked), "first")
-    floor = first.select("__query", F.col("__score").alias("__floor"))
+    top = (asked.groupBy("__word").agg(F.count(F.lit(1)).alias("__df")).orderBy(F.desc("__df"), "__word").limit(SLOTS * SLOT_BITS).collect())
+    frequent = F.broadcast(spark.createDataFrame([(r["__word"], i // SLOT_BITS, i % SLOT_BITS) for i, r in enumerate(top)],
+                                                 "__word string, __slot int, __bit int"))  # SLOTS * SLOT_BITS rows
+    postings = stage(rare_first(sized, asked).join(frequent, "__word", "left"), "postings")
+    by_query, by_key = stage(_masks(asked.join(frequent, "__word"), "__query"), "masks"), stage(_masks(postings, "__key"), "masks")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        """``__met`` rare words that a pair shares, and the frequent ones its bits share, over the key's size."""
+        both = pairs.join(by_query, "__query", "left").join(by_key.toDF("__key", *[f"__k{n}" for n in range(SLOTS)]), "__key", "left")
+        bits = [F.coalesce(F.bit_count(F.col(f"__m{n}").bitwiseAND(F.col(f"__k{n}"))), F.lit(0)) for n in range(SLOTS)]
+        return both.select("__query", "__key", ((F.col("__met") + sum(bits[1:], bits[0])) / F.col("__size")).alias("__score"))
+    rare = asked.join(postings.where("__slot is null"), "__word")
+    first = stage(scored(rare.groupBy("__query", "__key").agg(F.count(F.lit(1)).alias("__met"), F.max("__size").alias("__size"))), "rare-pairs")
     # a key that lacks the query's word at every place up to size * (1 - floor) has a smaller share than floor
-    bound = F.floor(F.col("__size") * (F.lit(1.0) - F.col("__floor")) + F.lit(1e-9))
-    near = asked.join(floor, "__query", "left").withColumn("__floor", F.coalesce("__floor", F.lit(0.0)))
-    prefix = near.join(postings, (near["__word"] == postings["__word"]) & (F.col("__pos") <= bound)).drop("__word")
-    reach = F.count(F.lit(1)) + F.max("__size") - F.least(F.max(bound) + 1, F.max("__size"))  # what it has, and all that was not looked at
-    candidates = (prefix.groupBy("__query", "__key").agg((reach / F.max("__size")).alias("__most"), F.max("__floor").alias("__floor"))
-                  .where(F.col("__most") >= F.col("__floor") - F.lit(1e-9)))
-    return {"asked": asked, "postings": postings, "third": third, "first": first, "prefix": prefix, "candidates": candidates}
+    floor = first.groupBy("__query").agg(F.max("__score").alias("__floor"))
+    often = asked.join(floor, "__query", "left").select("__query", F.col("__word").alias("__asked"), F.coalesce("__floor", F.lit(0.0)).alias("__floor"))
+    bound = F.col("__size") * (F.lit(1.0) - F.col("__floor")) + F.lit(1e-9)
+    prefix = often.join(postings.where("__slot is not null"), (F.col("__asked") == F.col("__word")) & (F.col("__pos") <= bound))
+    rest = scored(prefix.groupBy("__query", "__key").agg(F.max("__size").alias("__size")).withColumn("__met", F.lit(0).cast("long")))
+    return {"asked": asked, "postings": postings, "rare": rare, "first": first, "prefix": prefix, "rest": rest}
 
 
 def best_overlap(queries: DataFrame, query_id: str, query_text, keys: DataFrame, key_id: str,
@@ -79,14 +88,13 @@ def best_overlap(queries: DataFrame, query_id: str, query_text, keys: DataFrame,
     """Per query, the key with the largest share of its words in the query; ties go to the lower key, and a query without any
     overlap has the lowest key.
 
-    Words of a key are held in order of rarity. Each query first gets the share of one promising key, found by rare words alone. A
-    key can only reach that share if the query has one of its first words, as many as the share leaves out; so frequent words, which
-    stand last, are hardly joined. What a pair has among these words, and all that follows, bounds its share, and only pairs whose
-    bound reaches the first share are counted in full. Queries that share an id are one.
+    Only words outside the ``SLOTS * SLOT_BITS`` most frequent ones are joined; the frequent ones are bits, which a pair that met counts at
+    once. The best share so far is then a floor: a key that shares no rarer word can only reach it by a frequent word among as
+    many of its first words, in order of rarity, as the floor leaves out. Few keys have one there, and these pairs are counted
+    by their bits. Queries that share an id are one.
     """
     parts = overlap_parts(queries, query_id, query_text, keys, key_id, key_text)
-    scores = _shares(parts["candidates"], parts["postings"], parts["asked"]).unionByName(parts["first"])
-    best = scores.groupBy("__query").agg(
+    best = parts["first"].unionByName(parts["rest"]).groupBy("__query").agg(
         F.max_by(F.struct("__key", "__score"), F.struct(F.col("__score"), -F.col("__key"))).alias("b"))
     lowest = keys.agg(F.min(key_id)).first()[0]
     everyone = queries.select(F.col(query_id).alias("__query")).distinct()
