@@ -38,7 +38,7 @@ def plan(spark, sf, name):
 
 # the nearest-ticket join multiplies blocks of vectors in Python tasks, model hooks are Python, and so are the operators of
 # the training-data folder; all other queries have none
-NEAREST = ("topk", "retrieval", "eval_retrieval", "rag", "display_hits", "triage_log", "generate", "grade", "op")
+NEAREST = ("topk", "approximate", "retrieval", "eval_retrieval", "rag", "display_hits", "triage_log", "generate", "grade", "op")
 RELATIONAL = sorted(n for n in ORACLES if not n.startswith((*NEAREST, "stream")) and n != "triage")
 
 
