@@ -79,10 +79,35 @@ def test_all_columns_stay_and_no_rows(spark):
     assert suffixes.without_repeats(documents(spark, [])).count() == 0
 
 
-def test_hash_is_that_of_the_engine(spark):
-    values = [0, 1, -1, 2 ** 63 - 1, -2 ** 63, 123456789]
-    rows = spark.createDataFrame([(v,) for v in values], "v long").selectExpr("v", "xxhash64(v) h").collect()
-    assert [r["h"] for r in rows] == suffixes.spark_hash(np.array([r["v"] for r in rows])).tolist()
+@pytest.mark.parametrize("partitions", [3, 40])
+def test_rows_do_not_grow_with_partitions(spark, sf, partitions, monkeypatch):
+    monkeypatch.setattr(suffixes, "BUCKET", 1 << 16)
+    docs = table(spark, sf, "documents").repartition(partitions).selectExpr("doc_id _key", "xxhash64(text) & 4294967295 _tag", "cast(text AS binary) _data")
+    rows = suffixes.decided(suffixes.sent_segments(docs, 16, 50, 18))
+    at = rows.where(rows.kind == suffixes.COVERED).selectExpr("doc", "explode(sequence(at, at + n - 1)) p").distinct().count()
+    assert rows.where(rows.kind == suffixes.COVERED).count() <= at and at > 0
+
+
+def test_many_texts_around_one_anchor(spark):
+    rng = random.Random(3)
+    line = "a line of eighteen or more bytes in all texts"
+    pairs = [(i, "".join(rng.choices("abcdefgh", k=60)) + line + "".join(rng.choices("abcdefgh", k=60))) for i in range(600)]
+    pairs += [(1000 + i, pairs[i][1][40:120]) for i in range(0, 600, 7)]
+    df = suffixes.without_repeats(documents(spark, pairs).repartition(30))
+    assert found(df) == brute(pairs, 50)
+
+
+def test_segments_without_a_common_side_share_no_window():
+    rng = random.Random(4)
+    anchor = b"0123456789abcdefgh"
+    texts = [bytes(rng.choices(b"xyzuvw", k=32)) + anchor + bytes(rng.choices(b"xyzuvw", k=32)) for _ in range(40)]
+    texts += [texts[0][:66] + b"!" * 16, b"?" * 16 + texts[1][16:], texts[2][:65] + b"!" * 17]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    size = np.full(len(texts), 82)
+    begin = np.cumsum(size) - size
+    start, n, h, _ = suffixes.segments(np.frombuffer(anchor + bytes(32), np.uint8), np.r_[True, np.zeros(49, bool)], 18, 18)
+    keep = suffixes.sided(data, begin, size, np.repeat(h, len(texts)), 50, 18)
+    assert set(np.flatnonzero(keep)) == {0, 1, 2, 40, 41, 42}
 
 
 @pytest.mark.parametrize("seed", range(8))

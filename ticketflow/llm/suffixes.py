@@ -5,10 +5,15 @@ A byte goes if it is covered by a string of ``length`` bytes that also starts in
 **Who can share a string.** Of the ``anchor``-byte strings inside each window of ``length`` bytes, the one with the smallest
 hash is its anchor. Equal windows have equal anchors, so documents only have to compare windows with a common anchor. Neighbouring windows
 with the same anchor form a segment. Tasks send 21 bytes per segment to the bucket of its anchor: hashes of anchor and
-segment, place and document; equal segments of a batch are sent once. Nothing about the text itself is shuffled yet.
+segment, place and document; equal segments of a batch are sent once. Nothing about the text itself is shuffled yet. The number of
+buckets follows from the bytes of the table, so a bucket has about the same size at any scale and any number of partitions.
 
 **What the buckets decide.** Anchors that one document has alone are dropped, which is most of them. Of equal segments all but the
-one in the smallest document are repeats. If that leaves different segments around one anchor, their bytes are fetched.
+one in the smallest document are repeats. If that leaves different segments around one anchor, their bytes are fetched. From here on
+a segment is a plain narrow row, so rows grow with segments alone.
+
+**A window has a side.** Around an anchor of 18 bytes, a window of 50 has 16 bytes or more on the left or on the right. Fetched segments that share neither
+side with another one cannot share a window and are left out before anything is sorted.
 
 **Suffix sorting.** The different segments of a bucket are concatenated, suffix-sorted and turned into their Burrows-Wheeler
 transform. Starting with the empty string, the interval of each string is extended backwards by every character, all intervals of a length at
@@ -21,15 +26,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, give_back, table
+from .common import give_back, put, table
 from .registry import query
 
 LENGTH, ANCHOR = 50, 18
 BATCH, CHUNK, SORTED = 1 << 23, 1 << 19, 1 << 20  # bytes of text at once, windows at once, bytes suffix-sorted at once
+BUCKET = 1 << 22  # bytes of text whose segments make one bucket, on average
 LAST = (1 << 63) - 1  # stands for a null id
 U64 = np.uint64
 _table = np.random.default_rng(50).integers(0, 1 << 64, 512, U64)
@@ -53,19 +58,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(29))
 
 
-def spark_hash(x: np.ndarray) -> np.ndarray:
-    """What ``xxhash64`` gives in Spark for longs (XXH64 of eight bytes, seed 42)."""
-    p1, p2, p3, p4, p5 = (U64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
-                                           0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    x = x.astype(np.int64).view(U64) * p2
-    x = ((x << U64(31)) | (x >> U64(33))) * p1
-    h = U64(42) + p5 + U64(8) ^ x
-    h = ((h << U64(27)) | (h >> U64(37))) * p1 + p4
-    h = (h ^ (h >> U64(33))) * p2
-    h = (h ^ (h >> U64(29))) * p3
-    return (h ^ (h >> U64(32))).view(np.int64)
-
-
 def _doubled(first: np.ndarray, n: int, join) -> np.ndarray:
     """``join`` of ``n`` neighbours at each place, from joins of 1, 2, 4, ... of them."""
     whole, size, part, at = None, 1, first, 0
@@ -119,9 +111,10 @@ def segments(data: np.ndarray, windows: np.ndarray, length: int = LENGTH, anchor
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-SENT = ("kind byte, key int, docs binary, tags binary, doc binary, at binary, n binary, h binary, f binary")
-FIELDS = [("docs", np.int64), ("tags", np.uint32), ("doc", np.uint32), ("at", np.uint32), ("n", np.uint8), ("h", U64), ("f", U64)]
-COVERED, ASKED, MET = 1, 2, 0
+SENT = ("kind byte, key long, docs binary, tags binary, doc binary, at binary, n binary, h binary, f binary, "
+        "one_doc long, one_tag long, one_at int, one_n int")
+DECIDED = "kind byte, doc long, tag long, at int, n int, h long"
+MET, COVERED, ASKED = 0, 1, 2
 
 
 def planes(a: np.ndarray) -> bytes:
@@ -134,21 +127,33 @@ def from_planes(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def rows_by(kind: int, key: np.ndarray, doc: np.ndarray, tag: np.ndarray, at, n, h=None, f=None) -> pd.DataFrame:
-    """Packed rows, one per value of ``key``: documents once, then the columns of their segments."""
+def packed(key: np.ndarray, doc: np.ndarray, tag: np.ndarray, at, n, h, f) -> pd.DataFrame:
+    """Packed ``MET`` rows, one per value of ``key``: documents once, then the columns of their segments."""
     order = np.lexsort((at, tag, doc, key))
-    key, doc, tag, at, n = key[order], doc[order], tag[order], at[order], n[order]
-    h, f = (None if c is None else c[order] for c in (h, f))
+    key, doc, tag, at, n, h, f = (c[order] for c in (key, doc, tag, at, n, h, f))
     bounds = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]) if len(key) else np.zeros(1, int)
     rows = []
     for a, b in zip(bounds[:-1], bounds[1:]):
         new = np.r_[True, (doc[a + 1:b] != doc[a:b - 1]) | (tag[a + 1:b] != tag[a:b - 1])]
         number = np.cumsum(new) - 1
         wide = np.uint16 if number[-1] < 1 << 16 else np.uint32
-        rows.append((kind, int(key[a]), planes(np.diff(doc[a:b][new].view(U64), prepend=U64(0))), tag[a:b][new].tobytes(),
+        rows.append((MET, int(key[a]), planes(np.diff(doc[a:b][new].view(U64), prepend=U64(0))), tag[a:b][new].astype(np.uint32).tobytes(),
                      planes(np.diff(number, prepend=0).astype(wide)), planes(at[a:b].astype(np.uint32)), n[a:b].astype(np.uint8).tobytes(),
-                     b"" if h is None else h[a:b].tobytes(), b"" if f is None else f[a:b].tobytes()))
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in SENT.split(", ")])
+                     h[a:b].tobytes(), f[a:b].tobytes(), 0, 0, 0, 0))  # no nulls: a column of longs with nulls would be read as doubles
+    return pd.DataFrame(rows, columns=_names(SENT))
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def runs_of(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows ``at`` to ``at + n`` of documents, neighbouring ones of a document put together."""
+    order = np.lexsort((at, tag, doc))
+    doc, tag, at, n = doc[order], tag[order], at[order], n[order]
+    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (at[1:] != (at + n)[:-1])])
+    last = np.r_[first[1:], len(at)] - 1
+    return doc[first], tag[first], at[first], (at + n)[last] - at[first]
 
 
 def unpacked(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
@@ -156,7 +161,7 @@ def unpacked(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
     parts: dict[str, list] = {c: [] for c in ("doc", "tag", "at", "n", "h", "f")}
     for r in pdf.itertuples(index=False):
         docs = np.cumsum(from_planes(r.docs, U64), dtype=U64).view(np.int64)
-        tags, n = np.frombuffer(r.tags, np.uint32), np.frombuffer(r.n, np.uint8)
+        tags, n = np.frombuffer(r.tags, np.uint32).astype(np.int64), np.frombuffer(r.n, np.uint8)
         number = np.cumsum(from_planes(r.doc, np.uint16 if len(r.doc) == 2 * len(n) else np.uint32), dtype=np.int64)
         parts["doc"].append(docs[number])
         parts["tag"].append(tags[number])
@@ -164,7 +169,7 @@ def unpacked(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
         parts["at"].append(from_planes(r.at, np.uint32).astype(np.int64))
         parts["h"].append(np.frombuffer(r.h, U64))
         parts["f"].append(np.frombuffer(r.f, U64))
-    kinds = {"doc": np.int64, "tag": np.uint32, "at": np.int64, "n": np.int64, "h": U64, "f": U64}
+    kinds = {"doc": np.int64, "tag": np.int64, "at": np.int64, "n": np.int64, "h": U64, "f": U64}
     return {c: np.concatenate(p) if p else np.zeros(0, kinds[c]) for c, p in parts.items()}
 
 
@@ -192,24 +197,23 @@ def judge(doc, tag, h, f) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _batches(batches, size: int):
-    """Documents (id, bytes) in groups of about ``size`` bytes."""
-    ids, texts, held = [], [], 0
+    """Documents (id, tag, bytes) in groups of about ``size`` bytes."""
+    rows, held = [], 0
     for pdf in batches:
-        for i, t in zip(pdf["_key"], pdf["_data"]):
-            if held + len(t) > size and ids:
-                yield ids, texts
-                ids, texts, held = [], [], 0
-            ids.append(i)
-            texts.append(t)
-            held += len(t)
-    if ids:
-        yield ids, texts
+        for row in zip(pdf["_key"], pdf["_tag"], pdf["_data"]):
+            if held + len(row[2]) > size and rows:
+                yield zip(*rows)
+                rows, held = [], 0
+            rows.append(row)
+            held += len(row[2])
+    if rows:
+        yield zip(*rows)
 
 
 def sent_segments(docs: DataFrame, buckets: int, length: int, anchor: int) -> DataFrame:
-    """Packed segments by bucket of their anchor (``MET``), and those found repeated within a batch (``COVERED``, by document)."""
+    """Packed segments by bucket of their anchor (``MET``), and as plain rows those found repeated within a batch (``COVERED``)."""
     def run(batches):
-        for ids, texts in _batches(batches, BATCH):
+        for ids, tags, texts in _batches(batches, BATCH):
             sizes = np.array([len(t) for t in texts])
             ends = np.cumsum(sizes)
             data = np.frombuffer(b"".join(texts), np.uint8)
@@ -221,16 +225,16 @@ def sent_segments(docs: DataFrame, buckets: int, length: int, anchor: int) -> Da
             if not len(start):
                 continue
             number = np.searchsorted(ends, start, "right")
-            doc = np.array(ids, np.int64)[number]
-            tag = np.array([xxhash.xxh32_intdigest(t) for t in texts], np.uint32)[number]
+            doc, tag = np.array(ids, np.int64)[number], np.array(tags, np.int64)[number]
             at = start - (ends - sizes)[number]
             covered, _ = judge(doc, tag, h, f)
-            key = (h % U64(buckets)).astype(np.int64)
             rest = ~covered
-            yield rows_by(MET, key[rest], doc[rest], tag[rest], at[rest], n[rest], h[rest], f[rest])
+            yield packed((h[rest] % U64(buckets)).astype(np.int64), doc[rest], tag[rest], at[rest], n[rest], h[rest], f[rest])
             if covered.any():
-                yield rows_by(COVERED, spark_hash(doc[covered]) % buckets, doc[covered], tag[covered], at[covered], n[covered])
-    return docs.select("_key", "_data").mapInPandas(run, SENT)
+                doc, tag, at, n = runs_of(doc[covered], tag[covered], at[covered], n[covered])
+                none = dict.fromkeys(_names(SENT)[2:9], b"")
+                yield pd.DataFrame({"kind": COVERED, "key": int(h[0] % U64(buckets)), **none, "one_doc": doc, "one_tag": tag, "one_at": at, "one_n": n})
+    return docs.select("_key", "_tag", "_data").mapInPandas(run, SENT)
 
 
 def _by_key(batches, columns: list[str]):
@@ -250,19 +254,18 @@ def _by_key(batches, columns: list[str]):
         yield pd.concat(rest, ignore_index=True)
 
 
-def decided(sent: DataFrame, buckets: int) -> DataFrame:
-    """Packed segments by bucket of their document: ``COVERED`` ones, and ``ASKED`` ones whose bytes are needed."""
+def decided(sent: DataFrame) -> DataFrame:
+    """``COVERED`` segments, and ``ASKED`` ones whose bytes are needed, a row each."""
     def run(batches):
         for pdf in _by_key(batches, ["kind", "key"]):
             if pdf["kind"].iloc[0] != MET:
-                yield pdf
+                yield pd.DataFrame({"kind": COVERED, "doc": pdf["one_doc"], "tag": pdf["one_tag"], "at": pdf["one_at"], "n": pdf["one_n"], "h": 0})
                 continue
             s = unpacked(pdf)
             for kind, chosen in zip((COVERED, ASKED), judge(s["doc"], s["tag"], s["h"], s["f"])):
                 if chosen.any():
-                    c = {k: v[chosen] for k, v in s.items()}
-                    yield rows_by(kind, spark_hash(c["doc"]) % buckets, c["doc"], c["tag"], c["at"], c["n"], c["h"] if kind == ASKED else None)
-    return sent.repartition("kind", "key").sortWithinPartitions("kind", "key").mapInPandas(run, SENT)
+                    yield pd.DataFrame({"kind": kind, **{c: s[c][chosen] for c in ("doc", "tag", "at", "n")}, "h": s["h"][chosen].view(np.int64)})
+    return sent.repartition("kind", "key").sortWithinPartitions("kind", "key").mapInPandas(run, DECIDED)
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -352,59 +355,98 @@ def repeated_windows(strings: list[bytes], docs: np.ndarray, length: int) -> lis
     return [repeated[s:s + max(0, n - length + 1)] for s, n in zip(starts, sizes)]
 
 
-BYTES = SENT + ", bytes binary"
+BYTES = "h long, doc long, tag long, at int, n int, bytes binary"
+PLACE = 1 << 31  # a place and a number of windows as one long: place * PLACE + number
 
 
-def fetched(docs: DataFrame, asked: DataFrame, buckets: int, length: int) -> DataFrame:
-    """``ASKED`` segments with their bytes, by bucket of their anchor."""
-    def run(left, right):
-        s = unpacked(right)
-        texts = {(k, xxhash.xxh32_intdigest(d)): d for k, d in zip(left["_key"], left["_data"])} if len(s["at"]) else {}
-        found = [texts.get((d, t)) for d, t in zip(s["doc"].tolist(), s["tag"].tolist())]
-        key = (s["h"] % U64(buckets)).astype(np.int64)
-        out = rows_by(ASKED, key, s["doc"], s["tag"], s["at"], s["n"], s["h"])
-        order, at = np.lexsort((s["at"], s["tag"], s["doc"], key)), 0
-        parts = []
-        for n in out["n"].str.len():
-            parts.append(b"".join(found[i][s["at"][i]:s["at"][i] + s["n"][i] + length - 1] for i in order[at:at + n]))
-            at += n
-        out["bytes"] = pd.Series(parts, dtype=object)
-        return out
-    return (docs.select("_q", "_key", "_data").groupBy("_q")
-            .cogroup(asked.withColumn("_q", F.col("key")).groupBy("_q")).applyInPandas(run, BYTES))
+def per_document(rows: DataFrame, *more: str) -> DataFrame:
+    """``rows`` (``doc, tag, at, n``) as arrays per document."""
+    one = F.struct((F.col("at").cast("long") * F.lit(PLACE) + F.col("n")).alias("p"), *more)
+    return (rows.groupBy(F.col("doc").alias("_key"), F.col("tag").alias("_tag")).agg(F.collect_list(one).alias("_s"))
+            .select("_key", "_tag", *[F.col(f"_s.{c}").alias(f"_{c}") for c in ("p", *more)]))
 
 
-def compared(found: DataFrame, buckets: int, length: int, sorted_bytes: int = SORTED) -> DataFrame:
-    """``COVERED`` parts of fetched segments, by bucket of their document."""
+def fetched(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
+    """``ASKED`` segments with their bytes."""
     def run(batches):
-        for pdf in _by_key(batches, ["key"]):
-            s = unpacked(pdf)
-            sizes = s["n"] + length - 1
-            ends = np.cumsum(sizes)
-            data = b"".join(pdf["bytes"])
-            order = np.argsort(s["h"], kind="stable")
-            h = s["h"][order]
-            groups = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
-            held: list[np.ndarray] = []
-            total = 0
-            for a, b in zip(groups[:-1], groups[1:]):  # all segments around an anchor are sorted together
-                held.append(order[a:b])
-                total += int(sizes[order[a:b]].sum())
-                if total >= sorted_bytes or b == len(order):
-                    chosen = np.concatenate(held)
-                    held, total = [], 0
-                    strings = [data[ends[i] - sizes[i]:ends[i]] for i in chosen]
-                    number: dict[tuple, int] = {}
-                    of = np.array([number.setdefault((s["doc"][i], t), len(number)) for i, t in zip(chosen, strings)])
-                    repeated = repeated_windows([t for _, t in number], np.array([d for d, _ in number], np.int64), length)
-                    out = []
-                    for i, k in zip(chosen, of):
-                        edge = np.flatnonzero(np.diff(np.r_[False, repeated[k], False]))
-                        out += [(i, p, q - p) for p, q in zip(edge[::2], edge[1::2])]
-                    if out:
-                        i, p, n = np.array(out).T
-                        yield rows_by(COVERED, spark_hash(s["doc"][i]) % buckets, s["doc"][i], s["tag"][i], s["at"][i] + p, n)
-    return found.repartition("key").sortWithinPartitions("key").mapInPandas(run, SENT)
+        for pdf in batches:
+            rows = [(h, doc, tag, at, n, data[at:at + n + length - 1])
+                    for doc, tag, data, places, hs in zip(pdf["_key"], pdf["_tag"], pdf["_data"], pdf["_p"], pdf["_h"])
+                    for at, n, h in zip((places // PLACE).tolist(), (places % PLACE).tolist(), hs.tolist())]
+            yield pd.DataFrame(rows, columns=_names(BYTES))
+    return docs.join(per_document(asked, "h"), ["_key", "_tag"]).select("_key", "_tag", "_data", "_p", "_h").mapInPandas(run, BYTES)
+
+
+def sided(data: np.ndarray, begin: np.ndarray, size: np.ndarray, h: np.ndarray, length: int, anchor: int) -> np.ndarray:
+    """Which segments of ``data`` (at ``begin``, of ``size`` bytes, around anchors of hash ``h``) share a side of their anchor with another one."""
+    side = (length - anchor + 1) // 2
+    powers = {}
+
+    def roll(a, b, _, n):
+        if n not in powers:
+            powers[n] = U64(pow(int(_R), n, 1 << 64))
+        m = min(len(a), len(b))
+        return a[:m] * powers[n] + b[:m]
+
+    own = mix(_doubled(_table[data], anchor, roll)) & ~POSITION
+    place, todo = np.full(len(begin), -1), np.arange(len(begin))
+    for k in range(int(size.max()) - anchor + 1):  # the anchor is the first place with its hash, within 2 * (length - anchor) steps
+        todo = todo[k + anchor <= size[todo]]
+        hit = own[begin[todo] + k] == (h[todo] & ~POSITION)
+        place[todo[hit]] = k
+        todo = todo[~hit]
+        if not len(todo):
+            break
+    keep = place < 0  # never, unless hashes collide: then it is compared anyhow
+    for left in (True, False):
+        first = place - side if left else place + anchor
+        has = np.flatnonzero((place >= 0) & (first >= 0) & (first + side <= size))
+        key = h[has].copy()
+        for k in range(side):
+            key = key * _R + _table[data[begin[has] + first[has] + k]]
+        _, back, count = np.unique(key, return_inverse=True, return_counts=True)
+        keep[has[count[back] > 1]] = True
+    return keep
+
+
+def _anchor_batches(batches, size: int):
+    """Rows sorted by ``h`` in frames of ``size`` bytes or more; all rows of an anchor are in one frame."""
+    held, total = [], 0
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        held.append(pdf)
+        last = held[-2]["h"].iloc[-1] if len(held) > 1 else pdf["h"].iloc[0]
+        border = last != pdf["h"].iloc[-1]
+        total += int(pdf["bytes"].str.len().sum())
+        if border and total >= size:
+            whole = pd.concat(held, ignore_index=True)
+            open_ = (whole["h"] == whole["h"].iloc[-1]).to_numpy()
+            yield whole[~open_]
+            held = [whole[open_]]
+            total = int(held[0]["bytes"].str.len().sum())
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def compared(found: DataFrame, length: int, anchor: int, sorted_bytes: int = SORTED) -> DataFrame:
+    """``COVERED`` parts of fetched segments, a row each."""
+    def run(batches):
+        for pdf in _anchor_batches(batches, sorted_bytes):
+            sizes = pdf["n"].to_numpy(np.int64) + length - 1
+            data = np.frombuffer(b"".join(pdf["bytes"]), np.uint8)
+            pdf = pdf[sided(data, np.cumsum(sizes) - sizes, sizes, pdf["h"].to_numpy(np.int64).view(U64), length, anchor)]
+            if not len(pdf):
+                continue
+            number: dict[tuple, int] = {}
+            of = [number.setdefault(row, len(number)) for row in zip(pdf["doc"], pdf["bytes"])]
+            repeated = repeated_windows([t for _, t in number], np.array([d for d, _ in number], np.int64), length)
+            edges = [np.flatnonzero(np.diff(np.r_[False, r, False])) for r in repeated]
+            out = [(COVERED, doc, tag, at + p, q - p, 0) for k, doc, tag, at in zip(of, pdf["doc"], pdf["tag"], pdf["at"])
+                   for p, q in zip(edges[k][::2].tolist(), edges[k][1::2].tolist())]
+            if out:
+                yield pd.DataFrame(out, columns=_names(DECIDED))
+    return found.repartition("h").sortWithinPartitions("h").mapInPandas(run, DECIDED)
 
 
 def whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
@@ -422,46 +464,39 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     a null doc_id counts as larger than any other, and such rows do not remove from one another. With ``characters``, a character goes only if
     all its bytes do. Strings are judged on the input. Columns named ``kept`` and ``removed`` are replaced. An empty table gives no rows.
     """
-    spark, given = docs.sparkSession, docs.drop("kept", "removed")
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    given = docs.drop("kept", "removed")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     data = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     keyed = given.select(F.struct(*given.columns).alias("_rest"), key.alias("_key"), data.alias("_data"))
-    placed = keyed.withColumn("_q", F.pmod(F.xxhash64("_key"), F.lit(buckets)).cast("int"))
-    found = cut(decided(sent_segments(keyed, buckets, length, anchor), buckets))
-    more = cut(compared(fetched(placed, found.where(F.col("kind") == ASKED), buckets, length), buckets, length))
-    repeats = found.where(F.col("kind") == COVERED).union(more)
-    give_back(spark)
-
-    def run(left, right):
-        s = unpacked(right)
-        order = np.lexsort((s["tag"], s["doc"]))
-        doc, tag, at, n = (s[c][order] for c in ("doc", "tag", "at", "n"))
-        bounds = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]), True]) if len(doc) else np.zeros(1, int)
-        where = {(doc[a], tag[a]): (a, b) for a, b in zip(bounds[:-1], bounds[1:])}
+    keyed = keyed.withColumn("_tag", F.xxhash64("_data").bitwiseAND(F.lit(0xFFFFFFFF)))
+    total = keyed.agg(F.sum(F.octet_length("_data"))).first()[0] or 0
+    found, _ = put(decided(sent_segments(keyed, 1 + total // BUCKET, length, anchor)), "segments")
+    more, _ = put(compared(fetched(keyed, found.where(F.col("kind") == ASKED), length), length, anchor), "compared")
+    give_back(docs.sparkSession)
+    repeats = per_document(found.where(F.col("kind") == COVERED).union(more))
+
+    @F.pandas_udf("kept binary, removed array<struct<start: long, end: long>>")
+    def remove(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
         kept, removed = [], []
-        for k, text in zip(left["_key"], left["_data"]):
-            a, b = where.get((k, xxhash.xxh32_intdigest(text)), (0, 0)) if where else (0, 0)
-            if a == b:
-                kept.append(text)
+        for text, p in zip(texts, places):
+            if text is None:
+                kept.append(None)
                 removed.append([])
                 continue
             depth = np.zeros(len(text) + 1, np.int32)
-            np.add.at(depth, at[a:b], 1)
-            np.add.at(depth, at[a:b] + n[a:b] + length - 1, -1)
+            np.add.at(depth, p // PLACE, 1)
+            np.add.at(depth, p // PLACE + p % PLACE + length - 1, -1)
             gone = np.cumsum(depth[:-1]) > 0
             raw = np.frombuffer(text, np.uint8)
             if characters:
                 gone = whole_characters(raw, gone)
             edge = np.flatnonzero(np.diff(np.r_[False, gone, False]))
             kept.append(raw[~gone].tobytes())
-            removed.append([{"start": p, "end": q} for p, q in zip(edge[::2].tolist(), edge[1::2].tolist())])
-        return pd.DataFrame({"rest": left["_rest"], "kept": pd.Series(kept, dtype=object), "removed": pd.Series(removed, dtype=object)})
+            removed.append([{"start": a, "end": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())])
+        return pd.DataFrame({"kept": pd.Series(kept, dtype=object), "removed": pd.Series(removed, dtype=object)})
 
-    rest = placed.schema["_rest"].dataType.simpleString()
-    out = (placed.groupBy("_q").cogroup(repeats.withColumn("_q", F.col("key")).groupBy("_q"))
-           .applyInPandas(run, f"rest {rest}, kept binary, removed array<struct<start: long, end: long>>"))
-    return out.select("rest.*", "kept", "removed")
+    out = keyed.join(repeats, ["_key", "_tag"], "left").withColumn("_out", remove(F.when(F.col("_p").isNotNull(), F.col("_data")), "_p"))
+    return out.select("_rest.*", F.coalesce("_out.kept", "_data").alias("kept"), "_out.removed")
 
 
 @query("op1_suffix_dedup")
