@@ -234,7 +234,7 @@ def test_streamed_log_rows_are_numbered(spark, tmp_path):
     got = intake.log_once(files(spark, tmp_path, results(spark, 30)), path, str(tmp_path / "checkpoint"))
     assert sorted(r["id"] for r in got.collect()) == list(range(1, 31)) and recent(got, 3).first()["id"] == 30
     # a repeated batch replaces itself
-    intake.number_log(got.drop("id").limit(4), path, 2)
+    intake.number_log(got.drop("id").limit(4), path, 2, str(tmp_path / "checkpoint"))
     assert spark.read.schema(TRIAGE_LOG).parquet(path).groupBy("id").count().where("count > 1").count() == 0
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.dedup import upsert
 from ..operators.ranking import row_index
 from ..schemas import METRICS, TRIAGE_LOG
+from .marks import claim, last_mark
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -46,12 +47,24 @@ def write_vectors(df: DataFrame, path: str) -> None:
 
 
 def append_log(rows: DataFrame, path: str) -> None:
-    """Append log rows with ids that continue the stored ones, in the order ``(ts, ticket_id)``."""
+    """Append log rows with ids that continue the stored ones, in the order ``(ts, ticket_id)``.
+
+    The last id comes from the log's high mark (``marks``). A log that was written without marks is read once, by its first append.
+    """
     spark = rows.sparkSession
-    last = spark.read.schema(TRIAGE_LOG).parquet(path).agg(F.max("id")).first()[0] if path_exists(spark, path) else 0
-    numbered = row_index(rows, ["ts", "ticket_id"], "id", start=(last or 0) + 1)
+    mark = last_mark(spark, path)
+    if mark is None and path_exists(spark, path):
+        stored = spark.read.schema(TRIAGE_LOG).parquet(path).agg(F.max("id")).first()[0]
+        mark = {"number": 0, "next": (stored or 0) + 1}
+    number, first = (mark["number"] + 1, mark["next"]) if mark else (1, 1)
+    numbered = row_index(rows, ["ts", "ticket_id"], "id", start=first)
+    claim(spark, path, number, first, numbered.count())
+    as_log(numbered).write.mode("append").parquet(path)
+
+
+def as_log(numbered: DataFrame) -> DataFrame:
     kinds = {f.name: f.dataType for f in TRIAGE_LOG}
-    numbered.select(*[F.col(c).cast(kinds[c]).alias(c) for c in TRIAGE_LOG.fieldNames()]).write.mode("append").parquet(path)
+    return numbered.select(*[F.col(c).cast(kinds[c]).alias(c) for c in TRIAGE_LOG.fieldNames()])
 
 
 def build_if_missing(spark: SparkSession, path: str, make: Callable[[], DataFrame], force: bool = False) -> bool:

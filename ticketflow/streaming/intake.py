@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedup import text_key
@@ -12,7 +12,8 @@ from ..operators.ranking import row_index
 from ..plans.silver import clean, ensure_columns, order_columns
 from ..schemas import TRIAGE_LOG
 from ..session import work_path
-from ..sources.sinks import path_exists
+from ..sources.marks import claim, last_mark, mark_of
+from ..sources.sinks import as_log, path_exists
 from .metrics import daily_counts, with_watermark
 
 BATCH = "log_batch"
@@ -59,25 +60,36 @@ def log_stream(results: DataFrame) -> DataFrame:
     return to_log_rows(results)
 
 
-def number_log(rows: DataFrame, path: str, batch: int) -> None:
-    """Write one batch of log rows below ``path``, with ids that go on from the other batches, in the order of time and ticket.
+def number_log(rows: DataFrame, path: str, batch: int, owner: str = "") -> None:
+    """Write one batch of log rows below ``path``, with ids that go on from the batch before, in the order of time and ticket.
 
-    A batch owns its folder, so a repeated one replaces itself. One stream writes to a path.
+    A batch owns its folder and its mark, so a repeated one replaces itself and keeps its ids, whatever came after it. The log so
+    far is not read if it has marks. ``owner`` names the stream; another one cannot write to the same path.
     """
-    spark, last = rows.sparkSession, 0
-    if path_exists(spark, path):
-        others = spark.read.schema(f"id long, {BATCH} long").parquet(path).where(F.col(BATCH) < batch)
-        last = others.agg(F.max("id")).first()[0] or 0
-    numbered = row_index(rows, ["ts", "ticket_id"], "id", start=last + 1)
-    kinds = {f.name: f.dataType for f in TRIAGE_LOG}
-    (numbered.select(*[F.col(c).cast(kinds[c]).alias(c) for c in TRIAGE_LOG.fieldNames()])
-     .write.mode("overwrite").parquet(f"{path}/{BATCH}={batch}"))
+    spark = rows.sparkSession
+    mark, before = mark_of(spark, path, batch), last_mark(spark, path, below=batch)
+    for other in filter(None, (mark, before)):
+        if other["owner"] != owner:
+            raise RuntimeError(f"{path} belongs to the stream {other['owner']!r}")
+    first = mark["first"] if mark else before["next"] if before else last_stored(spark, path, batch) + 1
+    numbered = row_index(rows, ["ts", "ticket_id"], "id", start=first)
+    if mark is None:
+        claim(spark, path, batch, first, numbered.count(), owner)
+    as_log(numbered).write.mode("overwrite").parquet(f"{path}/{BATCH}={batch}")
+
+
+def last_stored(spark: SparkSession, path: str, batch: int) -> int:
+    """The last id before ``batch`` of a log without marks, which is read for it; 0 without a log."""
+    if not path_exists(spark, path):
+        return 0
+    others = spark.read.schema(f"id long, {BATCH} long").parquet(path).where(F.col(BATCH) < batch)
+    return others.agg(F.max("id")).first()[0] or 0
 
 
 def log_once(results: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Log the results at hand, numbered, and return the whole log."""
     (log_stream(results).writeStream.option("checkpointLocation", checkpoint)
-     .foreachBatch(lambda rows, n: number_log(rows, path, n)).trigger(availableNow=True).start().awaitTermination())
+     .foreachBatch(lambda rows, n: number_log(rows, path, n, checkpoint)).trigger(availableNow=True).start().awaitTermination())
     return results.sparkSession.read.schema(TRIAGE_LOG).parquet(path).select(*TRIAGE_LOG.fieldNames())
 
 
