@@ -121,3 +121,46 @@ def test_cosine_and_attach(spark):
     rows = spark.createDataFrame([("x",), ("y",)], "ticket_id string")
     vecs = spark.createDataFrame([("y", [1.0])], "ticket_id string, embedding array<float>")
     assert [tuple(r) for r in attach_vectors(rows, vecs).collect()] == [("y", [1.0])]
+
+
+def test_queries_are_sent_once_whatever_the_block(spark, shapes):
+    """Only base rows are copied, once per lane of queries; smaller blocks make no more copies."""
+    rows = table(spark, np.tile(shapes["noise"], (2, 1)))
+    plans = [top_k(rows, rows, 4, block_rows=n)._jdf.queryExecution().optimizedPlan().toString() for n in (2, 64)]
+    assert [p.count("Generate explode") for p in plans] == [1, 1]
+
+
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_tiles_in_single_precision_rank_as_doubles(exclude_self):
+    """Copies, near copies within single precision, and repeated ids."""
+    from ticketflow.operators.vectors import DIGITS, Nearest
+    rng = np.random.default_rng(3)
+    one = rng.normal(size=16)
+    base = np.concatenate([np.tile(one, (40, 1)), one + rng.normal(scale=1e-7, size=(40, 16)), rng.normal(size=(60, 16)), np.zeros((2, 16))])
+    ids = np.array([f"v{i // 2:03d}" for i in range(len(base))], object)
+    found = Nearest(ids, base, 5, exclude_self)
+    for at in range(0, len(base), 9):
+        found.add(ids[at:at + 9], base[at:at + 9])
+    unit = base[:-2] / np.linalg.norm(base[:-2], axis=1)[:, None]
+    sims = np.round(unit @ unit.T, DIGITS)
+    for i in range(len(unit)):
+        wanted = sorted((-sims[i, j], j) for j in range(len(unit)) if not (exclude_self and ids[i] == ids[j]))[:5]
+        assert found.sims[i].tolist() == pytest.approx([-s for s, _ in wanted], abs=2e-10)
+    assert [[ids[j] for _, j in sorted((-sims[i, j], j) for j in range(len(unit)) if not (exclude_self and ids[i] == ids[j]))[:5]] for i in range(80, 140)] == found.found[80:140].tolist()
+
+
+def test_memory_of_a_search_is_that_of_a_tile(spark):
+    """10,000 queries against a batch of 10,000 rows: before, tiles of 1024 x 10,000 doubles were held several times."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from ticketflow.operators import vectors
+    matrix = np.random.default_rng(5).normal(size=(10_000, 32)).astype(np.float32)
+    ids = np.array([f"v{i:05d}" for i in range(len(matrix))], object)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(matrix)), pa.array(np.full(len(matrix), 32, np.int32))], ["ticket_id", "embedding", "__dim"])
+    blocks, held = {32: vectors.Nearest(ids, matrix, 5, False)}, {}
+    tracemalloc.start()
+    vectors._search(blocks, held, batch, "ticket_id", vectors.BLOCK_ROWS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6 and not held and (blocks[32].found[:, 0] == ids).all()

@@ -6,9 +6,11 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StructField, StructType
 
 from .ranking import row_index
 
@@ -16,6 +18,8 @@ MAX_LOCAL_QUERIES = 10_000  # queries in a block of ``local``
 SAMPLE = 20_000  # vectors that the coarse index is fitted on, at most
 MAX_CELLS = 1024
 BLOCK_ROWS = 4096
+LANES, LANE_ROWS, LEAST_ROWS = 24, 1 << 18, 256  # lanes of queries while these are few, rows in one at most, and rows that are worth one
+TILE_VALUES, EXACT_VALUES, HIT_ROWS = 1 << 19, 1 << 20, 10_000
 DIGITS = 10  # similarities are compared at this many digits, so that equal vectors tie
 
 
@@ -79,11 +83,6 @@ def _best(query_ids: np.ndarray, queries: np.ndarray, block: pd.DataFrame, k: in
     return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame()
 
 
-def _reduce(found: pd.DataFrame, k: int, id_column: str) -> pd.DataFrame:
-    found = found.sort_values(["__q", "similarity", id_column], ascending=[True, False, True])
-    return found.groupby("__q", sort=False).head(k)
-
-
 def _hit_schema(queries: DataFrame, base: DataFrame, query_id: str) -> StructType:
     return StructType([StructField("__q", queries.schema[query_id].dataType),
                        StructField("similarity", DoubleType()),
@@ -96,63 +95,208 @@ def _rank(found: DataFrame, k: int, base_id: str) -> DataFrame:
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
 
 
-def _local(queries: pd.DataFrame, base: DataFrame, schema: StructType, k: int, query_id: str, base_id: str,
-           exclude_self: bool) -> DataFrame:
-    """A bounded set of queries travels to every task; the base is only scanned."""
-    matrix, keep = _unit(queries["embedding"])
-    ids = queries[query_id].to_numpy()[keep]
-    shared = base.sparkSession.sparkContext.broadcast((ids, matrix))
-    names = schema.fieldNames()
+def _matrices(batch, key: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Per length of its vectors: the ids, as objects, and the vectors of a batch, in double precision only if they come so."""
+    column, dims = batch.column("embedding"), batch.column("__dim").to_numpy()
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    values = values if values.dtype == np.float32 else values.astype(np.float64)
+    ids = np.empty(len(dims), object)
+    ids[:] = batch.column(key).to_pylist()
+    ends = np.cumsum(dims)
+    return {int(d): (ids[dims == d], values.reshape(-1, d) if len(dims) * d == len(values) else np.stack([values[e - d:e] for e in ends[dims == d]]))
+            for d in np.unique(dims)}
 
-    def scan(batches):
-        query_ids, rows = shared.value
-        best = None
-        for pdf in batches:
-            if len(pdf) == 0 or len(query_ids) == 0:
-                continue
-            found = _best(query_ids, rows, pdf, k, base_id, exclude_self)
-            best = found if best is None else _reduce(pd.concat([best, found], ignore_index=True), k, base_id)
-        if best is not None and len(best):
-            yield best[names]
 
-    return base.mapInPandas(scan, schema)
+class Nearest:
+    """The ``k`` best base rows so far of each query of a block. Base rows come in the order of their ids, so of equal
+    similarities the earlier one wins.
 
+    A tile of similarities is made in single precision; what might be better than a query's k-th best by more than that
+    can be wrong is computed again in double precision, or the whole tile, where that is much.
+    """
 
-def _grid(queries: DataFrame, base: DataFrame, schema: StructType, k: int, query_id: str, base_id: str,
-          exclude_self: bool, block_rows: int) -> DataFrame:
-    """Blocks of about ``block_rows`` queries against blocks of about as many base rows, a task for each pair.
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, exclude_self: bool):
+        norms = _norms(vectors)
+        self.ids, self.vectors, self.norms = ids[norms > 0], vectors[norms > 0], norms[norms > 0]
+        self.k, self.exclude_self = k, exclude_self
+        self.sims = np.full((len(self.ids), k), -np.inf)
+        self.found = np.empty((len(self.ids), k), object)
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        norms = _norms(vectors)
+        ids, base = ids[norms > 0], vectors[norms > 0] / norms[norms > 0, None]
+        if not len(ids):
+            return
+        single, dim = base.astype(np.float32).T, base.shape[1]
+        slack = (dim + 4) * 2.0 ** -23  # twice what a single-precision product of unit vectors can be wrong by
+        step = max(32, TILE_VALUES // len(ids))  # a tile stays in a core's cache
+        for at in range(0, len(self.ids), step):
+            part = slice(at, at + step)
+            asked = self.vectors[part] / self.norms[part, None]
+            floor = self.sims[part, -1]
+            row = None
+            if (floor > -np.inf).all():
+                row, col = np.nonzero(asked.astype(np.float32) @ single >= (floor - slack).astype(np.float32)[:, None])
+                if len(row) * dim <= EXACT_VALUES:
+                    sims = np.round(np.einsum("ij,ij->i", asked[row], base[col]), DIGITS)
+                    better = sims > floor[row]
+                    if self.exclude_self:
+                        better &= ids[col] != self.ids[part][row]
+                    row, col, sims = row[better], col[better], sims[better]
+                else:
+                    row = None
+            if row is None:
+                row, col, sims = self._all(asked, base, floor, ids, self.ids[part])
+            if len(row):
+                self._merge(at, row, col, sims, ids)
+
+    def _all(self, asked: np.ndarray, base: np.ndarray, floor: np.ndarray, ids: np.ndarray, own: np.ndarray):
+        sims = np.round(asked @ base.T, DIGITS)
+        if self.exclude_self:
+            codes = pd.factorize(np.concatenate([own, ids]), use_na_sentinel=False)[0]
+            sims[codes[:len(own), None] == codes[None, len(own):]] = -np.inf
+        good = sims > floor[:, None]
+        if sims.shape[1] > self.k:
+            good &= sims >= np.partition(sims, -self.k, axis=1)[:, -self.k][:, None]
+        row, col = np.nonzero(good)
+        return row, col, sims[row, col]
+
+    def _merge(self, at: int, row: np.ndarray, col: np.ndarray, sims: np.ndarray, ids: np.ndarray) -> None:
+        order = np.lexsort((col, -sims, row))
+        row, col, sims = row[order], col[order], sims[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+        row, col, sims, place = (x[place < self.k] for x in (row, col, sims, place))
+        rows, own = np.unique(row, return_inverse=True)
+        new_sims, new_ids = np.full((len(rows), self.k), -np.inf), np.empty((len(rows), self.k), object)
+        new_sims[own, place], new_ids[own, place] = sims, ids[col]
+        rows = rows + at
+        both, names = np.hstack([self.sims[rows], new_sims]), np.hstack([self.found[rows], new_ids])
+        best = np.argsort(-both, axis=1, kind="stable")[:, :self.k]
+        self.sims[rows], self.found[rows] = np.take_along_axis(both, best, 1), np.take_along_axis(names, best, 1)
+
+    def columns(self) -> tuple[list, list, list]:
+        """Query ids, similarities and base ids of the rows found."""
+        row, col = np.nonzero(self.sims > -np.inf)
+        return self.ids[row].tolist(), self.sims[row, col].tolist(), self.found[row, col].tolist()
+
+
+def _norms(vectors: np.ndarray) -> np.ndarray:
+    return np.linalg.norm(vectors.astype(np.float64, copy=False), axis=1)
+
+
+def _search(blocks: dict[int, Nearest], held: dict[int, list], batch, key: str, block_rows: int) -> None:
+    """Add a batch of base rows, ``block_rows`` at a time; ``held`` has what is left over."""
+    for dim, (ids, vectors) in _matrices(batch, key).items():
+        if dim in blocks:
+            held.setdefault(dim, []).append((ids, vectors))
+            if sum(len(i) for i, _ in held[dim]) >= block_rows:
+                _flush(blocks, held, dim, block_rows)
+
+
+def _flush(blocks: dict[int, Nearest], held: dict[int, list], dim: int, block_rows: int) -> None:
+    parts = held.pop(dim)
+    ids, vectors = np.concatenate([i for i, _ in parts]), np.concatenate([v for _, v in parts])
+    for at in range(0, len(ids), block_rows):
+        blocks[dim].add(ids[at:at + block_rows], vectors[at:at + block_rows])
+
+
+def _hits(blocks: dict[int, Nearest], kinds: list[pa.DataType]):
+    for block in blocks.values():
+        columns = block.columns()
+        for at in range(0, len(columns[0]), HIT_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(c[at:at + HIT_ROWS], kind) for c, kind in zip(columns, kinds)], ["__q", "similarity", "__b"])
 
-    Blocks are drawn by id, so copies of one vector spread over all of them. A row is copied once per block of the other
-    side, that is, with the square root of the number of tasks; only ids and vectors travel.
-    """
-    sides = [max(1, math.ceil(df.count() / block_rows)) for df in (queries, base)]
 
-    def cells(df: DataFrame, key: str, own: str, other: str, n: int, others: int) -> DataFrame:
-        spread = F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
-        return (df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, spread))
+def _local(queries: pd.DataFrame, base: DataFrame, schema: StructType, k: int, query_id: str, base_id: str,
+           exclude_self: bool, block_rows: int) -> DataFrame:
+    """A bounded set of queries travels to every task; the base is only scanned, each part of it in the order of its ids."""
+    ids = np.empty(len(queries), object)
+    ids[:] = [None if pd.isna(x) else x for x in queries[query_id].tolist()]
+    shared = base.sparkSession.sparkContext.broadcast((ids, np.array(queries["embedding"].tolist())))
+
+    def scan(batches):
+        blocks, held, kinds = {}, {}, None
+        for batch in batches:
+            if not blocks:
+                own, vectors = shared.value
+                blocks = {vectors.shape[1]: Nearest(own, vectors, k, exclude_self)}
+                kinds = [kind_of_query, pa.float64(), batch.schema.field(base_id).type]
+            _search(blocks, held, batch, base_id, block_rows)
+        for dim in list(held):
+            _flush(blocks, held, dim, block_rows)
+        yield from _hits(blocks, kinds)
 
-    left = cells(_comparable(queries, query_id), query_id, "__i", "__j", sides[0], sides[1])
-    right = cells(_comparable(base, base_id), base_id, "__j", "__i", sides[1], sides[0])
+    kind_of_query = to_arrow_type(schema["__q"].dataType)
+    return base.sortWithinPartitions(base_id).mapInArrow(scan, _pairs(schema, base_id)).withColumnRenamed("__b", base_id)
 
-    def pair(q, b):
-        unit, keep = _unit(q["embedding"]) if len(q) else (np.empty((0, 1)), np.zeros(0, dtype=bool))
-        if not keep.any() or len(b) == 0:
-            return pd.DataFrame(columns=schema.fieldNames())
-        found = _best(q[query_id].to_numpy()[keep], unit, b[[base_id, "embedding"]], k, base_id, exclude_self)
-        return found[schema.fieldNames()] if len(found) else pd.DataFrame(columns=schema.fieldNames())
 
-    cell = ["__i", "__j", "__dim"]
-    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(pair, schema)
+def _pairs(schema: StructType, base_id: str) -> StructType:
+    return StructType([schema["__q"], schema["similarity"], StructField("__b", schema[base_id].dataType)])
 
 
-def _in_blocks(queries: DataFrame, base: DataFrame, schema: StructType, k: int, query_id: str, base_id: str, exclude_self: bool) -> DataFrame:
+def _grid(queries: DataFrame, base: DataFrame, schema: StructType, k: int, query_id: str, base_id: str,
+          exclude_self: bool, block_rows: int) -> DataFrame:
+    """Lanes of up to ``LANE_ROWS`` queries, a task each, past which the base streams in the order of its ids, ``block_rows`` rows at a time.
+
+    A query is sent once, to its lane, which finds all its hits; a base row is sent once per lane, so what is sent grows
+    with the queries, and with the base times ``LANES`` until these are full. A task holds its queries and one block.
+    """
+    n, own, other, vectors = queries.count(), schema["__q"].dataType, schema[base_id].dataType, _values(queries, base)
+    lanes = max(1, min(LANES, math.ceil(n / LEAST_ROWS)), math.ceil(n / LANE_ROWS))
+    left = _comparable(queries, query_id).select(
+        F.pmod(F.xxhash64(query_id, "embedding"), F.lit(lanes)).cast("int").alias("__lane"), F.lit(0).alias("__side"),
+        F.col(query_id).alias("__q"), F.lit(None).cast(other).alias("__b"), F.col("embedding").cast(vectors).alias("embedding"), "__dim")
+    right = _comparable(base, base_id).select(
+        F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("__lane"), F.lit(1).alias("__side"),
+        F.lit(None).cast(own).alias("__q"), F.col(base_id).alias("__b"), F.col("embedding").cast(vectors).alias("embedding"), "__dim")
+    dealt = left.unionByName(right).repartitionById(lanes, F.col("__lane")).sortWithinPartitions("__lane", "__side", "__b")
+
+    def stream(batches):
+        """One lane after the other: its queries, then the base."""
+        lane, asked, blocks, held, kinds = None, {}, {}, {}, None
+
+        def ended():
+            for dim in list(held):
+                _flush(blocks, held, dim, block_rows)
+            yield from _hits(blocks, kinds)
+        for whole in batches:
+            kinds = [whole.schema.field("__q").type, pa.float64(), whole.schema.field("__b").type]
+            marks = 2 * whole.column("__lane").to_numpy().astype(np.int64) + whole.column("__side").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(marks)) + 1).tolist(), len(marks)]
+            for start, end in zip(cuts[:-1], cuts[1:]):
+                if start == end:
+                    continue
+                batch, here, side = whole.slice(start, end - start), int(marks[start]) // 2, int(marks[start]) % 2
+                if here != lane:
+                    yield from ended()
+                    lane, asked, blocks, held = here, {}, {}, {}
+                if side == 0:
+                    for dim, found in _matrices(batch, "__q").items():
+                        asked.setdefault(dim, []).append(found)
+                    continue
+                for dim in list(asked):
+                    parts = asked.pop(dim)
+                    blocks[dim] = Nearest(np.concatenate([i for i, _ in parts]), np.concatenate([v for _, v in parts]), k, exclude_self)
+                _search(blocks, held, batch, "__b", block_rows)
+        if kinds:
+            yield from ended()
+
+    return dealt.mapInArrow(stream, _pairs(schema, base_id)).withColumnRenamed("__b", base_id)
+
+
+def _values(*tables: DataFrame) -> str:
+    """The type of the vectors of several tables: single precision if all have it, else double."""
+    return "array<float>" if all(t.schema["embedding"].dataType == ArrayType(FloatType()) for t in tables) else "array<double>"
+
+
+def _in_blocks(queries: DataFrame, base: DataFrame, schema: StructType, k: int, query_id: str, base_id: str, exclude_self: bool, block_rows: int) -> DataFrame:
     """``_local`` for ``MAX_LOCAL_QUERIES`` queries after the other, until all are answered; each block scans the base once."""
     rows = row_index(_comparable(queries, query_id), [query_id], "__r")
     vectors, found = _comparable(base, base_id), None
     for first in range(0, max(1, rows.count()), MAX_LOCAL_QUERIES):
         known = rows.where(F.col("__r").between(first, first + MAX_LOCAL_QUERIES - 1)).toPandas()  # MAX_LOCAL_QUERIES rows at most
         for dim, part in known.groupby("__dim"):
-            some = _local(part, vectors.where(F.col("__dim") == int(dim)).drop("__dim"), schema, k, query_id, base_id, exclude_self)
+            some = _local(part, vectors.where(F.col("__dim") == int(dim)), schema, k, query_id, base_id, exclude_self, block_rows)
             found = some if found is None else found.unionByName(some)
     return base.sparkSession.createDataFrame([], schema) if found is None else found
 
@@ -163,7 +307,7 @@ def top_k(queries: DataFrame, base: DataFrame, k: int, query_id: str = "ticket_i
     """``(query_id, rank, <base id>, similarity, payload)`` of the k most similar rows per query, exactly.
 
     ``category`` restricts the base before ranking. ``grid`` suits two large sides. ``local``, for few queries, sends
-    blocks of ``MAX_LOCAL_QUERIES`` of them to the tasks that scan the base, one block after the other. Zero vectors, null and empty ones,
+    blocks of ``MAX_LOCAL_QUERIES`` of them to the tasks that scan the base, one block after the other. ``block_rows`` base rows are compared at once. Zero vectors, null and empty ones,
     and those with null or non-finite numbers match nothing; vectors of different lengths do not meet.
     """
     if category is not None:
@@ -172,7 +316,7 @@ def top_k(queries: DataFrame, base: DataFrame, k: int, query_id: str = "ticket_i
     schema = _hit_schema(queries, narrow, query_id)
     slim = queries.select(query_id, "embedding")
     if strategy == "local":
-        found = _in_blocks(slim, narrow, schema, k, query_id, base_id, exclude_self)
+        found = _in_blocks(slim, narrow, schema, k, query_id, base_id, exclude_self, block_rows)
     elif strategy == "grid":
         found = _grid(slim, narrow, schema, k, query_id, base_id, exclude_self, block_rows)
     else:
