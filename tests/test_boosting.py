@@ -112,3 +112,15 @@ print("found", v.top_k(rows, rows, 1, exclude_self=True).count())
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
     assert "found 2" in done.stdout, done.stderr[-2000:]
+
+
+def test_far_tree_needs_no_pass_over_its_last_level(spark, monkeypatch):
+    """A pass per level above the leaves; leaves have the values that a pass over them gives, to the order of sums."""
+    passes = []
+    level = B.Far.level
+    monkeypatch.setattr(B.Far, "level", lambda self, tree, at, *more: passes.append(at) or level(self, tree, at, *more))
+    train, val = table(spark, 900, 1).repartition(3), table(spark, 300, 2)
+    far = B.boost(train, val, NAMES, settings=B.Settings(trees=2, depth=3), near_rows=0)
+    assert passes == [0, 1, 2] * 2
+    near = B.boost(train, val, NAMES, settings=B.Settings(trees=2, depth=3))
+    assert all(a.feature.tolist() == b.feature.tolist() and a.value == pytest.approx(b.value) for a, b in zip(near.trees, far.trees))

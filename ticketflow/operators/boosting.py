@@ -2,9 +2,9 @@
 
 Features are cut into bins at quantiles that Spark computes. Rows lie in blocks, one table row per some ten thousand tickets with
 its bins, labels and weights as arrays. A level of a tree is one pass over the blocks: each task adds its rows to histograms per
-node and feature, the histograms of one node and feature meet in one task, and only the best split of each comes back. The pass
-for the first level of a round also returns the validation loss of all rounds before. Margins are written out every ``KEPT`` rounds, so
-a pass, or a repeated task, applies at most so many trees anew.
+node and feature, the histograms of one node and feature meet in one task, and only the best split of each comes back. Executors
+keep the blocks with the margins of the last round, so a pass applies no earlier tree anew; margins are written out every ``KEPT``
+rounds, so that a repeated task applies at most so many.
 
 Tables of up to ``near_rows`` rows are boosted where their blocks are, in the driver's memory, by the same functions: some tens of
 passes a second instead of some ten. The model is the same (tested), up to the order of sums.
@@ -13,16 +13,19 @@ passes a second instead of some ten. The model is the same (tested), up to the o
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from operator import add
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import release_path, ship, stage, stage_at
 
 BLOCK, BINS, KEPT, NEAR_ROWS = 1 << 16, 64, 10, 1 << 18
+SUMS_A_TASK = 64  # histograms that are added up in a task, before there are more tasks
 BLOCK_SCHEMA = "block long, held boolean, n int, bins binary, label binary, weight binary, margin binary"
 
 
@@ -172,9 +175,17 @@ def best_split(sums: np.ndarray, s: Settings) -> tuple[float, int, float, float]
     return (float(gain[at]) if gain[at] > 1e-9 else 0.0), at, float(g.sum()), float(h.sum())
 
 
+def split_sums(sums: np.ndarray, s: Settings) -> tuple[float, int, float, float, float, float]:
+    """``best_split``, and the gradient and curvature of what lies below the split."""
+    best = best_split(sums, s)
+    return (*best, *map(float, sums[:2, :best[1] + 1].sum(1)))
+
+
 class Near:
     """Blocks in the driver's memory."""
 
+    sums_below = False
+
     def __init__(self, blocks: DataFrame, features: int):
         self.blocks = [Block.of(r, features) for r in blocks.collect()]  # near_rows rows at most
 
@@ -184,7 +195,7 @@ class Near:
             if not b.held:
                 for key, x in b.histograms(tree, level, chosen, s, turn).items():
                     sums[key] = sums[key] + x if key in sums else x
-        return [(*key, *best_split(x, s)) for key, x in sums.items()]
+        return [(*key, *split_sums(x, s)) for key, x in sums.items()]
 
     def add(self, tree: Tree) -> None:
         for b in self.blocks:
@@ -199,74 +210,71 @@ class Near:
 
 
 class Far:
-    """Blocks as a table; every pass is a Spark job."""
+    """Blocks, with their margins, as an RDD that the executors keep; each level of a tree, and each loss, is a short Spark job."""
 
-    def __init__(self, blocks: DataFrame, features: int):
-        self.blocks, self.features, self.new, self.path = blocks, features, [], None
+    sums_below = True
 
-    def _reader(self):
-        new, features = list(self.new), self.features  # what a task is sent
+    def __init__(self, blocks: DataFrame, features: int):
+        self.spark, self.features, self.turns, self.path, self.before = blocks.sparkSession, features, 0, None, None
+        self.kept = self._keep(blocks.rdd.map(tuple))
 
-        def each(batches):
-            for batch in batches:
-                for row in zip(*[c.to_pylist() for c in batch.columns]):
-                    b = Block.of(row, features)
-                    for tree in new:
-                        b.margin += tree.value[tree.node(b.bins)]
-                    yield b
-        return each
+    @staticmethod
+    def _keep(rows):
+        return rows.persist(StorageLevel.MEMORY_AND_DISK)
 
     def level(self, tree, level, chosen, s, turn) -> list[tuple]:
-        each = self._reader()
-
-        def parts(batches):
-            sums: dict = {}
-            for b in each(batches):
-                for key, x in b.histograms(tree, level, chosen, s, turn).items():
-                    sums[key] = sums[key] + x if key in sums else x
-            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in sums], pa.int32()) for i in (0, 1)]
-                                             + [pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["node", "feature", "sums"])
+        features = self.features
 
-        def best(batches):
+        def parts(rows):
             sums: dict = {}
-            for batch in batches:
-                for n, f, x in zip(*[c.to_pylist() for c in batch.columns]):
-                    x = np.frombuffer(x).reshape(3, BINS)
-                    sums[n, f] = sums[n, f] + x if (n, f) in sums else x
-            rows = [(*key, *best_split(x, s)) for key, x in sums.items()]
-            kinds = [pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
-                                             ["node", "feature", "gain", "at", "g", "h"])
-        sums = self.blocks.where("not held").mapInArrow(parts, "node int, feature int, sums binary").repartition("node", "feature")
-        return [tuple(r) for r in sums.mapInArrow(best, "node int, feature int, gain double, at int, g double, h double").collect()]
+            for row in rows:
+                if not row[1]:
+                    for (n, f), x in Block.of(row, features).histograms(tree, level, chosen, s, turn).items():
+                        key = n * features + f
+                        sums[key] = sums[key] + x if key in sums else x
+            return sums.items()
+        tasks = max(1, min(self.kept.getNumPartitions(), 2 ** level * len(chosen) // SUMS_A_TASK))
+        sums = self.kept.mapPartitions(parts).reduceByKey(add, tasks)
+        return sums.map(lambda item: (*divmod(item[0], features), *split_sums(item[1], s))).collect()
 
     def add(self, tree: Tree) -> None:
-        self.new.append(tree)
-        if len(self.new) == KEPT:
-            each = self._reader()
-
-            def moved(batches):
-                for b in each(batches):
-                    yield pa.RecordBatch.from_arrays([pa.array([v]) for v in b.row()[:2]] + [pa.array([b.row()[2]], pa.int32())]
-                                                     + [pa.array([v], pa.binary()) for v in b.row()[3:]], [c.split()[0] for c in BLOCK_SCHEMA.split(", ")])
-            spark, old = self.blocks.sparkSession, self.path
-            self.blocks, self.path = stage_at(self.blocks.mapInArrow(moved, BLOCK_SCHEMA), "margins")
-            self.new = []
-            if old:
-                release_path(spark, old)
+        features = self.features
+
+        def moved(row):
+            b = Block.of(row, features)
+            b.margin += tree.value[tree.node(b.bins)]
+            return b.row()
+        self._free()
+        self.before, self.kept = self.kept, self._keep(self.kept.map(moved))
+        self.turns += 1
+        if self.turns % KEPT == 0:
+            last, path = self.kept, self.path
+            blocks, self.path = stage_at(self.spark.createDataFrame(last, BLOCK_SCHEMA, verifySchema=False), "margins")
+            self._free()
+            self.before, self.kept = last, self._keep(blocks.rdd.map(tuple))
+            if path:
+                release_path(self.spark, path)
+
+    def _free(self) -> None:
+        """Margins of a round before, once those that follow are kept."""
+        if self.before is not None:
+            self.before.unpersist()
+            self.before = None
 
     def loss(self) -> float:
-        each = self._reader()
+        features = self.features
 
-        def sums(batches):
-            parts = [b.loss() for b in each(batches)]
-            yield pa.RecordBatch.from_arrays([pa.array([sum(p[i] for p in parts)], pa.float64()) for i in (0, 1)], ["loss", "n"])
-        r = self.blocks.where("held").mapInArrow(sums, "loss double, n double").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n")).first()
-        return (r["loss"] or 0.0) / max(1.0, r["n"] or 0.0)
+        def sums(rows):
+            parts = [Block.of(row, features).loss() for row in rows if row[1]]
+            return [tuple(sum(p[i] for p in parts) for i in (0, 1))]
+        parts = self.kept.mapPartitions(sums).collect()  # two numbers per task
+        return sum(x for x, _ in parts) / max(1.0, sum(n for _, n in parts))
 
     def close(self) -> None:
+        self._free()
+        self.kept.unpersist()
         if self.path:
-            release_path(self.blocks.sparkSession, self.path)
+            release_path(self.spark, self.path)
 
 
 def cuts_of(train: DataFrame, features: list[str]) -> list[list[float]]:
@@ -350,21 +358,27 @@ def boost(train: DataFrame, val: DataFrame, features: list[str], label: str = "l
 
 
 def grown(side, chosen: np.ndarray, s: Settings, turn: int) -> Tree:
-    """One tree, level by level."""
+    """One tree, level by level. What falls to the leaves of the last level is known from the splits above them, which spares ``Far`` a pass."""
     tree = Tree.stump(s.depth)
     alive = {0}
     for level in range(s.depth + 1):
         first, found = 2 ** level - 1, {}
-        for node, f, gain, at, g, h in side.level(tree, level, chosen, s, turn):
+        for node, f, *split in side.level(tree, level, chosen, s, turn):
             if node + first in alive:
-                found.setdefault(node + first, []).append((gain, -f, at, g, h))
+                found.setdefault(node + first, []).append((split[0], -f, *split[1:]))
         alive = set()
         for i, splits in found.items():
-            gain, f, at, g, h = max(splits)
-            tree.value[i] = -s.rate * g / h if h > 0 else 0.0
+            gain, f, at, g, h, g_below, h_below = max(splits)
+            tree.value[i] = _value(g, h, s)
             if gain > 0 and level < s.depth:
                 tree.feature[i], tree.at[i] = -f, at
                 alive |= {2 * i + 1, 2 * i + 2}
-        if not alive:
+                if side.sums_below and level == s.depth - 1:
+                    tree.value[2 * i + 1], tree.value[2 * i + 2] = _value(g_below, h_below, s), _value(g - g_below, h - h_below, s)
+        if not alive or side.sums_below and level == s.depth - 1:
             break
     return tree
+
+
+def _value(g: float, h: float, s: Settings) -> float:
+    return -s.rate * g / h if h > 0 else 0.0
