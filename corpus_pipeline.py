@@ -23,7 +23,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that share 80 % or more of their five-word runs the row with the smallest doc_id."""
+    """Of each group of documents that operator 8 links, or that share 80 % or more of their five-word runs, the row with the smallest doc_id."""
     return likeness.first_of_alike(docs)
 
 

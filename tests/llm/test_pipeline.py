@@ -75,3 +75,12 @@ def test_run_is_registered_and_applies_all_stages(spark, sf):
 def test_one_row_of_each_group_stays(spark):
     docs = documents(spark, [(None, "same text here"), (4, "same text here"), (3, "same text here"), (3, "same text here"), (None, "alone it is")])
     assert sorted(map(str, (r["doc_id"] for r in simhash.first_of_groups(docs).collect()))) == ["3", "None"]
+
+
+def test_near_copies_of_operator_8_go_too(spark, sf):
+    """Fingerprints follow what is repeated, likeness the distinct runs: these two are near copies to operator 8 only."""
+    often = "one two three " * 100
+    texts = [often + " ".join(f"{w}{i}" for i in range(30)) for w in ("left", "right")]
+    assert bin(simhash.fingerprint(texts[0]) ^ simhash.fingerprint(texts[1])).count("1") <= 2
+    docs = documents(spark, [(5, texts[0]), (3, texts[1]), (9, "another text altogether, with words of its own")])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.keep_first_of_near_copies(spark, docs, sf).collect()) == [3, 9]

@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import components, forget, give_back, put
 
 WORDS, LIKE = 5, (4, 5)  # likeness 4/5, compared in whole numbers
@@ -107,9 +108,22 @@ def groups(placed: DataFrame, sets: DataFrame) -> DataFrame | None:
         roots = put(components(stars), "roots")[0]
 
 
+def joined(roots: DataFrame | None, found: DataFrame, marks: DataFrame) -> DataFrame | None:
+    """``roots`` with the groups of operator 8 as further links: ``marks`` has the ``component`` of each text's hash ``h``."""
+    both = found.select("h", "cls").distinct().join(marks.select("h", "component").distinct(), "h").select("component", "cls").distinct()
+    low = both.groupBy("component").agg(F.min("cls").alias("a"))
+    links, at = put(both.join(low, "component").where("a <> cls").select("a", F.col("cls").alias("b")).distinct(), "links")
+    if roots is None and links.isEmpty():
+        return None
+    stars = links if roots is None else links.union(roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")))
+    out = put(components(stars), "roots")[0]
+    forget(links.sparkSession, at)
+    return out
+
+
 def first_of_alike(docs: DataFrame) -> DataFrame:
-    """``docs`` (all columns) with one row of each group that links of likeness ``LIKE`` connect: that with the smallest doc_id,
-    null ids last; of several, any one.
+    """``docs`` (all columns) with one row of each group that links connect, links of likeness ``LIKE`` and those of operator 8
+    (``simhash``): that with the smallest doc_id, null ids last; of several, any one.
 
     Null text counts as empty; texts without words are one group. Texts shorter than a run are alike if they are equal. An
     empty table gives an empty result. ``docs`` is read several times, and no text is written: rows are known by doc_id and a hash
@@ -129,7 +143,7 @@ def first_of_alike(docs: DataFrame) -> DataFrame:
     wanted = keyed.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
     sets, at_sets = put(sets_of(wanted).dropDuplicates(["cls"]), "sets")
     give_back(spark)
-    roots = groups(placed, sets)
+    roots = joined(groups(placed, sets), found, simhash.near_duplicates(keyed, row="h"))
     low = classes.select("low") if roots is None else (
         classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
         .groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("low").alias("low")))
