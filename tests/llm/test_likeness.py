@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from ticketflow.llm import likeness, simhash
 
@@ -54,3 +56,25 @@ def test_a_large_group_and_no_rows(spark):
 def test_ids_of_the_kept_rows(spark):
     docs = documents(spark, [(None, "same text here"), (4, "same text here"), (3, "same text here"), (3, "same text here"), (None, "alone it is")])
     assert sorted(map(str, (r["doc_id"] for r in likeness.first_of_alike(docs).collect()))) == ["3", "None"]
+
+
+def test_alike_classes_under_a_key_of_unlike_ones(spark, monkeypatch):
+    """No leader of the key is like the pairs that are alike; they are found in one block of the key and across several."""
+    rng = random.Random(5)
+    common = list(range(100))  # all share these, which is not enough
+    sets = [sorted(common + rng.sample(range(1000, 10 ** 6), 100)) for _ in range(60)]
+    for i in (50, 52, 54):
+        sets[i + 1] = sorted(sets[i][:-10] + rng.sample(range(1000, 10 ** 6), 10))
+    held = spark.createDataFrame(list(enumerate(sets)), "cls long, runs array<int>")
+    placed = spark.createDataFrame([(7, i, 200) for i in range(60)] + [(8, 50, 200), (8, 3, 200)], "key long, cls long, n int")
+    for size in (likeness.BLOCK, 9):
+        monkeypatch.setattr(likeness, "BLOCK", size)
+        assert {(r["node"], r["root"]) for r in likeness.groups(placed, held).collect()} == {(i + d, i) for i in (50, 52, 54) for d in (0, 1)}
+    assert likeness.groups(placed.where("cls < 50"), held) is None
+
+
+def test_links_join_different_groups_only():
+    cls, sets = np.array([5, 6, 7, 8]), [np.arange(20), np.arange(1, 20), np.arange(2, 20), np.arange(100, 120)]
+    assert likeness.linked(cls, cls, np.zeros(4, int), sets) == [(5, 6), (5, 7)]
+    assert likeness.linked(cls, np.array([5, 5, 7, 8]), np.zeros(4, int), sets) == [(5, 7)]
+    assert likeness.linked(cls, cls, np.array([0, 0, 1, 1]), sets) == [(5, 7), (6, 7)]

@@ -3,8 +3,8 @@
 Documents with the same set of runs are one class. Each class has ``BANDS`` keys, each made of ``ROWS`` min-wise samples of its
 set, so two classes of likeness s miss each other with (1 - s^ROWS)^BANDS: 3 in 100,000 at 0.8. Classes that meet under a key
 are candidates and are compared exactly, by their sets. Under each key one class leads, and the others are compared with
-it, never with each other; then another one leads where a key still holds several groups, until a round links nothing
-new. So a large group costs a row per member and round.
+it. Where a key still holds several groups, all its classes are compared with each other, in blocks, but for those that are in one group already
+and those that share none of their rarest runs. So there are two rounds at any size, and no link under a key is lost.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from .common import components, forget, give_back, put
 
 WORDS, LIKE = 5, (4, 5)  # likeness 4/5, compared in whole numbers
 BANDS, ROWS, SEED, CHUNK = 20, 4, 42, 1 << 12
-ROUNDS = 2  # rounds at least
+BLOCK = 1 << 10  # classes of a key that are compared at once
+COUNTED = 1 << 20  # runs looked up at once
 _factors, _shifts = np.random.default_rng(8).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
 _factors |= np.uint64(1)
 
@@ -75,37 +76,87 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return shared.where(LIKE[1] * F.col("i") >= LIKE[0] * (F.col("n") - F.col("i"))).select("a", "b")
 
 
+def linked(cls: np.ndarray, group: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links of likeness ``LIKE`` that join rows of one ``group`` to those of another one, as few as connect all that are alike. Where ``side``
+    has two values, only rows of different sides are compared.
+
+    Sets that alike share nearly all they have share one of the rarest runs of either, a fifth of them; only such pairs are counted out.
+    """
+    n = np.array([len(s) for s in sets])
+    ends = np.cumsum(n)
+    starts, owner = ends - n, np.repeat(np.arange(len(n)), n)
+    _, token, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    by_rarity = np.argsort(often, kind="stable")
+    rank = np.empty(len(often), np.int64)
+    rank[by_rarity] = np.arange(len(often))
+    token = rank[token]
+    token = token[np.lexsort((token, owner))]
+    rare = np.arange(len(token)) - starts[owner] <= (n - (LIKE[0] * n + LIKE[1] - 1) // LIKE[1])[owner]
+    rare &= often[by_rarity][token] > 1
+    at, have = token[rare], owner[rare]
+    own = np.searchsorted(have, np.arange(len(n) + 1))  # the rare runs of each row
+    order = np.argsort(at, kind="stable")
+    having, bounds = have[order], np.searchsorted(at[order], np.arange(len(often) + 1))
+    _, group = np.unique(group, return_inverse=True)
+    out, mark, one_side = [], np.zeros(len(often), bool), side.min() == side.max()
+    for i in range(len(n)):
+        met = [having[bounds[t]:bounds[t + 1]] for t in at[own[i]:own[i + 1]]]
+        if not met:
+            continue
+        j = np.unique(np.concatenate(met))
+        j = j[(j > i) & (group[j] != group[i]) & (LIKE[1] * np.minimum(n[j], n[i]) >= LIKE[0] * np.maximum(n[j], n[i]))]
+        j = j if one_side else j[side[j] != side[i]]
+        if not len(j):
+            continue
+        mark[token[starts[i]:ends[i]]] = True
+        sent = np.cumsum(n[j]) // COUNTED
+        for some in np.split(j, np.flatnonzero(np.diff(sent)) + 1):
+            first = np.cumsum(n[some]) - n[some]
+            place = np.arange(n[some].sum()) + np.repeat(starts[some] - first, n[some])
+            shared = np.add.reduceat(mark[token[place]].astype(np.int64), first)
+            for k in some[LIKE[1] * shared >= LIKE[0] * (n[i] + n[some] - shared)]:
+                if group[k] != group[i]:
+                    out.append((int(cls[i]), int(cls[k])))
+                    group[group == group[k]] = group[i]
+        mark[token[starts[i]:ends[i]]] = False
+    return out
+
+
+def linked_under_keys(rooted: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(a, b)``: links between all classes of ``rooted`` (``key``, ``cls``, ``root``) that meet under a key and have different roots. A key of many classes is dealt to
+    blocks of some ``BLOCK`` of them, and each two blocks are a group of their own. Keys of two classes are left out: their leader met the other one."""
+    many = (rooted.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+            .where("m > 2 and lo <> hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")))
+    own = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
+    dealt = (rooted.join(many, "key").withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+             .select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "cls", "root"))
+
+    def run(pdf):
+        return pd.DataFrame(linked(*(pdf[c].to_numpy(np.int64) for c in ("cls", "root", "side")), pdf["runs"].tolist()), columns=["a", "b"])
+    return dealt.join(sets, "cls").groupBy("key", "low", "high").applyInPandas(run, "a long, b long").distinct()
+
+
 def groups(placed: DataFrame, sets: DataFrame) -> DataFrame | None:
     """``(node, root)`` of the classes in ``placed`` (``key``, ``cls``, ``n``) that are linked to another one; None without any.
 
-    A round keeps only the keys under which several groups are left, and the sets of the classes there. What it links joins the
-    groups so far, which are stars around their roots; links are not gone through again.
+    First the smallest class of each key is compared with the others; then all classes of the keys that still hold several groups.
     """
-    spark, roots, turn, made = placed.sparkSession, None, 0, []
-    while True:
-        now = placed.withColumn("root", F.col("cls"))
-        if roots is not None:
-            now = placed.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        order = F.xxhash64("cls", F.lit(turn)) if turn else F.col("cls")
-        lead = (now.groupBy("key").agg(F.min(F.struct(order.alias("o"), "cls", "n", "root")).alias("lead"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-                .where("lo <> hi").select("key", "lead"))
-        live, at_live = put(now.join(lead, "key"), "live")
-        near = F.least("n", "lead.n") * LIKE[1] >= F.greatest("n", "lead.n") * LIKE[0]  # else sizes alone forbid it
-        pairs = (live.where(F.col("root") != F.col("lead.root")).where(near)
-                 .select(F.col("lead.cls").alias("a"), F.col("cls").alias("b")).distinct())
-        left, at_sets = put(sets.join(live.select("cls").distinct(), "cls", "left_semi"), "sets")
-        new, at_new = put(alike(pairs, left), "links")
-        forget(spark, *made)
-        made, placed, sets = [at_live, at_sets, at_new], live.select("key", "cls", "n"), left
-        give_back(spark)
-        turn += 1
-        if new.isEmpty():
-            if turn >= ROUNDS:
-                forget(spark, *made)
-                return roots
-            continue
-        stars = new if roots is None else new.union(roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")))
-        roots = put(components(stars), "roots")[0]
+    spark = placed.sparkSession
+    lead = placed.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("lead"))
+    near = F.least("n", "lead.n") * LIKE[1] >= F.greatest("n", "lead.n") * LIKE[0]  # else sizes alone forbid it
+    pairs = (placed.join(lead, "key").where(F.col("cls") != F.col("lead.cls")).where(near)
+             .select(F.col("lead.cls").alias("a"), F.col("cls").alias("b")).distinct())
+    first, at_first = put(alike(pairs, sets), "links")
+    give_back(spark)
+    roots = components(first)
+    rooted = placed.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
+    rooted, at_rooted = put(rooted, "rooted")
+    more, at_more = put(linked_under_keys(rooted, sets), "links")
+    give_back(spark)
+    stars = more.union(rooted.where("cls <> root").select(F.col("root").alias("a"), F.col("cls").alias("b")).distinct())
+    out = None if stars.isEmpty() else put(components(stars), "roots")[0]
+    forget(spark, at_first, at_rooted, at_more)
+    return out
 
 
 def joined(roots: DataFrame | None, found: DataFrame, marks: DataFrame) -> DataFrame | None:
@@ -138,8 +189,8 @@ def first_of_alike(docs: DataFrame) -> DataFrame:
     each = classes.select("cls", "n", F.explode("keys").alias("key"))
     met = each.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("key")
     placed, at_placed = put(each.join(met, "key"), "placed")
-    asked = placed.select("cls").distinct().join(classes.select("cls", "low.doc_id", "low.h"), "cls").select(
-        "cls", F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
+    asked, at_asked = put(placed.select("cls").distinct().join(classes.select("cls", "low.doc_id", "low.h"), "cls").select(
+        "cls", F.col("doc_id").alias("_id"), F.col("h").alias("_h")), "asked")  # Spark then knows its size and leaves the texts unshuffled while it is small
     wanted = keyed.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
     sets, at_sets = put(sets_of(wanted).dropDuplicates(["cls"]), "sets")
     give_back(spark)
@@ -150,7 +201,7 @@ def first_of_alike(docs: DataFrame) -> DataFrame:
     rows = found.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.count(F.lit(1)).alias("_rows"))
     firsts = low.select(F.col("low.doc_id").alias("_id"), F.col("low.h").alias("_h"))
     kept, _ = put(firsts.join(rows, firsts["_id"].eqNullSafe(rows["_id"]) & (firsts["_h"] == rows["_h"])).select(firsts["_id"], firsts["_h"], "_rows"), "kept")
-    forget(spark, at_found, at_classes, at_placed, at_sets)
+    forget(spark, at_found, at_classes, at_placed, at_asked, at_sets)
     same = doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(content) == F.col("_h"))
     out = docs.join(kept.where("_rows = 1").select("_id", "_h"), same, "left_semi")
     if not kept.where("_rows > 1").isEmpty():  # rows equal in doc_id and text: one of them
