@@ -9,6 +9,7 @@ from ticketflow.operators import models as m
 from ticketflow.plans.flow import RAW_ID, with_raw_id
 from ticketflow.plans.silver import to_silver
 from ticketflow.plans.triage import loggable, responses, triage
+from ticketflow.session import give_back, stage
 
 AS_OF = "2025-01-01 00:00:00"
 KB = "ticket_id string, embedding array<float>, category string, priority string, subject string"
@@ -84,3 +85,21 @@ def test_a_value_that_most_rows_have(spark):
     assert (got["n"], got["p99_ms"]) == (10_000, 9900.0)
     empty = latency_stats(rows.limit(0), "ms").first()
     assert (empty["n"], empty["avg_ms"], empty["p99_ms"]) == (0, None, None)
+
+
+def shuffled(spark):
+    """Bytes of shuffles on disk."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_"))
+
+
+def test_shuffles_of_the_search_are_gone_before_the_join(spark):
+    rows = spark.range(600).select(F.lit("").alias("ticket_id"), F.lit("sure").alias("subject"), F.lit("body").alias("body"), "id")
+    asked = rows.withColumn("embedding", F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.rand(3).cast("float") + i * 0)).drop("id")
+    kb = spark.createDataFrame([(f"K{i}", [float((i * j) % 7) for j in range(64)], "bug", "low", "s") for i in range(6)], KB)
+    asked, fitted = stage(asked, "asked"), model(spark)
+    give_back(spark)
+    before = shuffled(spark)
+    out = triage(asked, kb, fitted, primary, fallback, AS_OF)
+    assert shuffled(spark) - before < 40_000  # the vectors alone have 150,000
+    assert out.where(F.size("similar_tickets") == 3).count() == 600

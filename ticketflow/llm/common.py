@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import gc
-import time
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import prepare, shared_dir, work_path
+from ..session import give_back, prepare, shared_dir, work_path
 
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 256  # rows handed to Python at once; keeps a batch of long texts within a worker's memory
 
@@ -30,15 +27,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def give_back(spark: SparkSession) -> None:
-    """Delete shuffle files that no DataFrame at hand needs now, not when the driver happens to collect its garbage. What
-    the present call was given is still at hand, so it is the next call that frees its shuffles."""
-    for _ in range(2):  # plans go with the first round, and what only they held with the second
-        gc.collect()
-        time.sleep(0.3)  # Python lets go of what it held in the JVM a little later
-        spark.sparkContext._jvm.System.gc()
-
-
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of the undirected ``edges`` (``a``, ``b``, both long): the smallest
     node that can be reached.

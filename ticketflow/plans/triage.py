@@ -17,7 +17,7 @@ from ..operators.models import Batch, classify, embed, generate, score_sla
 from ..operators.routing import triage_route
 from ..operators.vectors import collect_hits, top_k
 from ..schemas import HITS
-from ..session import stage
+from ..session import give_back, release_path, stage, stage_at
 
 TOP = 3
 RISK = ("sla_risk_score", "breach_flag", "risk_level")
@@ -43,7 +43,7 @@ def triage(df: DataFrame, kb: DataFrame, sla: PipelineModel, primary: Batch | No
 
     Requests need no id, and ids need not be unique: a key of their own, stored with the first pass, carries them. That
     pass classifies, scores and embeds each request once and is written out; only ids and vectors go through the
-    search, and its hits come back by the key. Without ``primary``, recorded replies are taken from ``primary_raw`` and
+    search, and its hits come back by the key. What the search shuffled is deleted before its hits are joined. Without ``primary``, recorded replies are taken from ``primary_raw`` and
     ``fallback_raw``; a column ``embedding`` is used as it is. ``run_rag`` says per request whether an answer is generated.
     """
     asked = requests_of(df).withColumn("request_id", F.monotonically_increasing_id())
@@ -62,7 +62,12 @@ def triage(df: DataFrame, kb: DataFrame, sla: PipelineModel, primary: Batch | No
         F.col("risk.sla_risk_score").alias("sla_breach_risk")), "requests")
 
     start = time.perf_counter()
-    hits = stage(collect_hits(top_k(live.select("request_id", "embedding"), kb, TOP, query_id="request_id")), "hits")
+    nearest, path = stage_at(top_k(live.select("request_id", "embedding"), kb, TOP, query_id="request_id"), "nearest")
+    give_back(df.sparkSession)
+    hits = stage(collect_hits(nearest), "hits")
+    del nearest
+    release_path(df.sparkSession, path)
+    give_back(df.sparkSession)
     retrieve_ms = round((time.perf_counter() - start) * 1000 / max(1, live.count()), 3)
     none = F.from_json(F.lit("[]"), HITS)
     out = (live.drop("embedding").join(hits.withColumnRenamed("query_id", "request_id"), "request_id", "left")
