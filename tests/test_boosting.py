@@ -124,3 +124,38 @@ def test_far_tree_needs_no_pass_over_its_last_level(spark, monkeypatch):
     assert passes == [0, 1, 2] * 2
     near = B.boost(train, val, NAMES, settings=B.Settings(trees=2, depth=3))
     assert all(a.feature.tolist() == b.feature.tolist() and a.value == pytest.approx(b.value) for a, b in zip(near.trees, far.trees))
+
+
+def test_far_round_is_a_pass_per_level(spark, monkeypatch):
+    """The loss of a round and the first level of the next one are one Spark job, and no job shuffles; each level and each loss used to
+    be a job of its own, levels with a shuffle. Sums that are too large for the driver meet in tasks, with the same trees."""
+    train, val = table(spark, 900, 1).repartition(3), table(spark, 300, 2)
+    s, sc = B.Settings(trees=4, depth=3), spark.sparkContext
+    stages = []
+
+    def boosted(group):
+        close = B.Far.close
+
+        def counted(side):
+            jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup(group)]
+            stages.append([len(j.stageIds) for j in jobs])
+            close(side)
+        init = B.Far.__init__
+
+        def begun(side, *args):
+            init(side, *args)
+            sc.setJobGroup(group, "rounds")
+        with monkeypatch.context() as m:
+            m.setattr(B.Far, "close", counted)
+            m.setattr(B.Far, "__init__", begun)
+            try:
+                return B.boost(train, val, NAMES, settings=s, near_rows=0)
+            finally:
+                sc.setJobGroup("", "")
+    one = boosted("in-the-driver")
+    assert len(stages[0]) <= 1 + 4 * s.depth
+    monkeypatch.setattr(B, "SENT", 0)
+    two = boosted("in-tasks")
+    assert len(stages[1]) >= 1 + 4 * (s.depth + 1)
+    assert one.losses == pytest.approx(two.losses)
+    assert all(a.feature.tolist() == b.feature.tolist() and a.value == pytest.approx(b.value) for a, b in zip(one.trees, two.trees))

@@ -2,7 +2,9 @@
 
 Features are cut into bins at quantiles that Spark computes. Rows lie in blocks, one table row per some ten thousand tickets with
 its bins, labels and weights as arrays. A level of a tree is one pass over the blocks: each task adds its rows to histograms per
-node and feature, the histograms of one node and feature meet in one task, and only the best split of each comes back. Executors
+node and feature. There is a task per core, so what they all send is bounded by the cluster, not by the rows: up to ``SENT`` bytes
+the driver adds them up; of more, the histograms of one node and feature meet in one task, and only the best split of each comes back.
+The pass that takes the loss of a round also takes the first level of the next one. Executors
 keep the blocks with the margins of the last round, so a pass applies no earlier tree anew; margins are written out every ``KEPT``
 rounds, so that a repeated task applies at most so many.
 
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from ..session import release_path, ship, stage, stage_at
 
 BLOCK, BINS, KEPT, NEAR_ROWS = 1 << 16, 64, 10, 1 << 18
+SENT = 1 << 24  # bytes of histograms of a pass that the driver adds up itself
 SUMS_A_TASK = 64  # histograms that are added up in a task, before there are more tasks
 BLOCK_SCHEMA = "block long, held boolean, n int, bins binary, label binary, weight binary, margin binary"
 
@@ -144,23 +147,31 @@ class Block:
         sign = np.where(self.label > 0, self.margin, -self.margin)
         return float(np.logaddexp(0, -sign).sum()), float(len(sign))
 
-    def histograms(self, tree: Tree, level: int, chosen: np.ndarray, s: Settings, turn: int) -> dict[tuple[int, int], np.ndarray]:
-        """``(node, feature)`` -> sums of gradient, curvature and rows for each bin, for the nodes of a level."""
+    def sums(self, tree: Tree, level: int, chosen: np.ndarray, s: Settings, turn: int) -> np.ndarray:
+        """Sums of gradient, curvature and rows for each bin, for the nodes of a level: feature, sum, node, bin."""
         draw = np.random.default_rng([s.seed, self.block, turn // s.rows_every])
         first = 2 ** level - 1
         node = tree.node(self.bins) - first
         rows = np.flatnonzero((draw.random(len(node)) < s.rows_share) & (node >= 0))
         p = 1 / (1 + np.exp(-self.margin[rows]))
         g, h = self.weight[rows] * (p - self.label[rows]), self.weight[rows] * p * (1 - p)
-        node, size = node[rows], 2 ** level * BINS
-        out = {}
-        present = np.unique(node)
-        for f in chosen:
-            cell = node * BINS + self.bins[f, rows]
-            sums = np.stack([np.bincount(cell, w, size) for w in (g, h, None)]).reshape(3, -1, BINS)
-            out.update({(int(n), int(f)): sums[:, n] for n in present})
+        node, size = node[rows] * BINS, 2 ** level * BINS
+        out = np.empty((len(chosen), 3, 2 ** level, BINS))
+        for into, f in zip(out, chosen):
+            cell = node + self.bins[f, rows]
+            for i, w in enumerate((g, h, None)):
+                into[i] = np.bincount(cell, w, size).reshape(-1, BINS)
         return out
 
+    def histograms(self, tree: Tree, level: int, chosen: np.ndarray, s: Settings, turn: int) -> dict[tuple[int, int], np.ndarray]:
+        """``sums`` by ``(node, feature)``, of nodes that have rows."""
+        return by_node(self.sums(tree, level, chosen, s, turn), chosen)
+
+
+def by_node(sums: np.ndarray, chosen: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
+    present = np.flatnonzero(sums[0, 2].any(1))
+    return {(int(n), int(f)): x[:, n] for f, x in zip(chosen, sums) for n in present}
+
 
 def best_split(sums: np.ndarray, s: Settings) -> tuple[float, int, float, float]:
     """Gain, bin, gradient and curvature of the best split of one node's histogram; a gain of 0 is none."""
@@ -201,7 +212,7 @@ class Near:
         for b in self.blocks:
             b.margin += tree.value[tree.node(b.bins)]
 
-    def loss(self) -> float:
+    def loss(self, *next_level) -> float:
         parts = [b.loss() for b in self.blocks if b.held]
         return sum(x for x, _ in parts) / max(1.0, sum(n for _, n in parts))
 
@@ -215,15 +226,24 @@ class Far:
     sums_below = True
 
     def __init__(self, blocks: DataFrame, features: int):
-        self.spark, self.features, self.turns, self.path, self.before = blocks.sparkSession, features, 0, None, None
-        self.kept = self._keep(blocks.rdd.map(tuple))
+        self.spark, self.features, self.turns, self.path, self.before, self.root = blocks.sparkSession, features, 0, None, None, None
+        self.kept = self._keep(self._dealt(blocks))
+
+    @staticmethod
+    def _dealt(blocks: DataFrame):
+        """As many partitions as the cluster has cores, with as many blocks each."""
+        return blocks.repartitionByRange(blocks.sparkSession.sparkContext.defaultParallelism, "block").rdd.map(tuple)
 
     @staticmethod
     def _keep(rows):
         return rows.persist(StorageLevel.MEMORY_AND_DISK)
 
     def level(self, tree, level, chosen, s, turn) -> list[tuple]:
+        if level == 0 and self.root is not None and self.root[0] == turn:
+            return self.root[1]
         features = self.features
+        if self._bytes(level, chosen) <= SENT:
+            return self._pass(tree, level, chosen, s, turn, False)[1]
 
         def parts(rows):
             sums: dict = {}
@@ -237,6 +257,31 @@ class Far:
         sums = self.kept.mapPartitions(parts).reduceByKey(add, tasks)
         return sums.map(lambda item: (*divmod(item[0], features), *split_sums(item[1], s))).collect()
 
+    def _bytes(self, level: int, chosen: np.ndarray) -> int:
+        """What all tasks send for a level."""
+        return self.kept.getNumPartitions() * 2 ** level * len(chosen) * 3 * BINS * 8
+
+    def _pass(self, tree, level, chosen, s, turn, loss: bool) -> tuple[list[tuple[float, float]], list[tuple]]:
+        """The parts of the loss, if wanted, and the splits of a level, in one pass whose sums the driver adds up."""
+        features = self.features
+
+        def parts(rows):
+            sums, losses = None, (0.0, 0.0)
+            for row in rows:
+                block = Block.of(row, features)
+                if not block.held:
+                    x = block.sums(tree, level, chosen, s, turn)
+                    sums = x if sums is None else sums + x
+                elif loss:
+                    losses = tuple(map(add, losses, block.loss()))
+            return [(losses, None if sums is None else sums.tobytes())]
+        total, losses = np.zeros((len(chosen), 3, 2 ** level, BINS)), []
+        for lost, x in self.kept.mapPartitions(parts).collect():  # SENT bytes at most
+            losses.append(lost)
+            if x is not None:
+                total += np.frombuffer(x).reshape(total.shape)
+        return losses, [(*key, *split_sums(x, s)) for key, x in by_node(total, chosen).items()]
+
     def add(self, tree: Tree) -> None:
         features = self.features
 
@@ -251,7 +296,7 @@ class Far:
             last, path = self.kept, self.path
             blocks, self.path = stage_at(self.spark.createDataFrame(last, BLOCK_SCHEMA, verifySchema=False), "margins")
             self._free()
-            self.before, self.kept = last, self._keep(blocks.rdd.map(tuple))
+            self.before, self.kept = last, self._keep(self._dealt(blocks))
             if path:
                 release_path(self.spark, path)
 
@@ -261,13 +306,18 @@ class Far:
             self.before.unpersist()
             self.before = None
 
-    def loss(self) -> float:
+    def loss(self, tree: Tree, chosen: np.ndarray, s: Settings, turn: int) -> float:
+        """The first level of ``turn``, the round to come, is taken in the same pass, if the driver adds it up."""
         features = self.features
 
         def sums(rows):
             parts = [Block.of(row, features).loss() for row in rows if row[1]]
             return [tuple(sum(p[i] for p in parts) for i in (0, 1))]
-        parts = self.kept.mapPartitions(sums).collect()  # two numbers per task
+        if self._bytes(0, chosen) <= SENT:
+            parts, found = self._pass(tree, 0, chosen, s, turn, True)
+            self.root = turn, found
+        else:
+            parts = self.kept.mapPartitions(sums).collect()  # two numbers per task
         return sum(x for x, _ in parts) / max(1.0, sum(n for _, n in parts))
 
     def close(self) -> None:
@@ -339,15 +389,19 @@ def boost(train: DataFrame, val: DataFrame, features: list[str], label: str = "l
     side = (Near if head["n"] + held_rows <= near_rows else Far)(blocks, len(features))
     trees: list[Tree] = []
     best = 0
-    model.losses.append(side.loss())
     draw = np.random.default_rng(s.seed)
+
+    def drawn() -> np.ndarray:
+        return np.sort(draw.permutation(len(features))[:max(1, round(s.features_share * len(features)))])
+    chosen = drawn()
+    model.losses.append(side.loss(Tree.stump(s.depth), chosen, s, 0))
     for turn in range(s.trees):
-        chosen = np.sort(draw.permutation(len(features))[:max(1, round(s.features_share * len(features)))])
         tree = grown(side, chosen, s, turn)
         trees.append(tree)
         side.add(tree)
+        chosen = drawn()
         if held_rows:
-            model.losses.append(side.loss())
+            model.losses.append(side.loss(Tree.stump(s.depth), chosen, s, turn + 1))
             if model.losses[-1] < model.losses[best]:
                 best = turn + 1
             elif turn + 1 - best >= s.patience:
