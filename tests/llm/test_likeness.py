@@ -78,3 +78,18 @@ def test_links_join_different_groups_only():
     assert likeness.linked(cls, cls, np.zeros(4, int), sets) == [(5, 6), (5, 7)]
     assert likeness.linked(cls, np.array([5, 5, 7, 8]), np.zeros(4, int), sets) == [(5, 7)]
     assert likeness.linked(cls, cls, np.array([0, 0, 1, 1]), sets) == [(5, 7), (6, 7)]
+
+
+def test_components_are_sought_again_only_for_links_of_the_second_round(spark, monkeypatch):
+    """Links known beforehand and those of leaders go through one search; they used to take three."""
+    calls, seek = [], likeness.components
+    monkeypatch.setattr(likeness, "components", lambda edges: calls.append(1) or seek(edges))
+    held = spark.createDataFrame([(i, list(range(i, i + 100))) for i in (1, 3, 900, 902, 5000)], "cls long, runs array<int>")
+    placed = spark.createDataFrame([(1, 1, 100), (1, 3, 100), (2, 900, 100), (2, 902, 100)], "key long, cls long, n int")
+    known = spark.createDataFrame([(3, 900), (5000, 5000)], "a long, b long")
+    found = likeness.groups(placed, held, known)
+    assert {(r["node"], r["root"]) for r in found.collect()} == {(i, 1) for i in (1, 3, 900, 902)} and len(calls) == 1
+    placed = placed.union(spark.createDataFrame([(3, 1, 100), (3, 5000, 100), (3, 5001, 100)], placed.schema))
+    held = held.union(spark.createDataFrame([(5001, list(range(5001, 5101)))], held.schema))
+    assert {(r["node"], r["root"]) for r in likeness.groups(placed, held, known).collect()} == {(1, 1), (3, 1), (900, 1), (902, 1), (5000, 5000), (5001, 5000)}
+    assert len(calls) == 3

@@ -4,7 +4,8 @@ Documents with the same set of runs are one class. Each class has ``BANDS`` keys
 set, so two classes of likeness s miss each other with (1 - s^ROWS)^BANDS: 3 in 100,000 at 0.8. Classes that meet under a key
 are candidates and are compared exactly, by their sets. Under each key one class leads, and the others are compared with
 it. Where a key still holds several groups, all its classes are compared with each other, in blocks, but for those that are in one group already
-and those that share none of their rarest runs. So there are two rounds at any size, and no link under a key is lost.
+and those that share none of their rarest runs. So there are two rounds at any size, and no link under a key is lost. Groups of
+operator 8 are known before the first round, so components are sought once for both, and again only if the second round links any.
 """
 
 from __future__ import annotations
@@ -136,40 +137,40 @@ def linked_under_keys(rooted: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.join(sets, "cls").groupBy("key", "low", "high").applyInPandas(run, "a long, b long").distinct()
 
 
-def groups(placed: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """``(node, root)`` of the classes in ``placed`` (``key``, ``cls``, ``n``) that are linked to another one; None without any.
+def groups(placed: DataFrame, sets: DataFrame, known: DataFrame | None = None) -> DataFrame | None:
+    """``(node, root)`` of the classes in ``placed`` (``key``, ``cls``, ``n``) that are linked to another one, and of those that ``known`` (``a``, ``b``) links;
+    None without any.
 
-    First the smallest class of each key is compared with the others; then all classes of the keys that still hold several groups.
+    First the smallest class of each key is compared with the others; then all classes of the keys that still hold several groups. Links that are
+    known join the groups before that, and where nothing more is found, those groups are the result.
     """
     spark = placed.sparkSession
     lead = placed.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("lead"))
     near = F.least("n", "lead.n") * LIKE[1] >= F.greatest("n", "lead.n") * LIKE[0]  # else sizes alone forbid it
     pairs = (placed.join(lead, "key").where(F.col("cls") != F.col("lead.cls")).where(near)
              .select(F.col("lead.cls").alias("a"), F.col("cls").alias("b")).distinct())
-    first, at_first = put(alike(pairs, sets), "links")
+    first, at_first = put(alike(pairs, sets) if known is None else alike(pairs, sets).union(known), "links")
     give_back(spark)
-    roots = components(first)
+    roots, at_roots = put(components(first), "roots")
     rooted = placed.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
     rooted, at_rooted = put(rooted, "rooted")
     more, at_more = put(linked_under_keys(rooted, sets), "links")
     give_back(spark)
-    stars = more.union(rooted.where("cls <> root").select(F.col("root").alias("a"), F.col("cls").alias("b")).distinct())
-    out = None if stars.isEmpty() else put(components(stars), "roots")[0]
-    forget(spark, at_first, at_rooted, at_more)
+    forget(spark, at_first, at_rooted)
+    if more.isEmpty():
+        forget(spark, at_more)
+        return None if roots.isEmpty() else roots
+    stars = more.union(roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")))
+    out = put(components(stars), "roots")[0]
+    forget(spark, at_more, at_roots)
     return out
 
 
-def joined(roots: DataFrame | None, found: DataFrame, marks: DataFrame) -> DataFrame | None:
-    """``roots`` with the groups of operator 8 as further links: ``marks`` has the ``component`` of each text's hash ``h``."""
+def marked_links(found: DataFrame, marks: DataFrame) -> DataFrame:
+    """``(a, b)``: links between the classes of each group of operator 8; ``marks`` has the ``component`` of each text's hash ``h``."""
     both = found.select("h", "cls").distinct().join(marks.select("h", "component").distinct(), "h").select("component", "cls").distinct()
     low = both.groupBy("component").agg(F.min("cls").alias("a"))
-    links, at = put(both.join(low, "component").where("a <> cls").select("a", F.col("cls").alias("b")).distinct(), "links")
-    if roots is None and links.isEmpty():
-        return None
-    stars = links if roots is None else links.union(roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")))
-    out = put(components(stars), "roots")[0]
-    forget(links.sparkSession, at)
-    return out
+    return both.join(low, "component").where("a <> cls").select("a", F.col("cls").alias("b")).distinct()
 
 
 def first_of_alike(docs: DataFrame) -> DataFrame:
@@ -194,14 +195,16 @@ def first_of_alike(docs: DataFrame) -> DataFrame:
     wanted = keyed.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
     sets, at_sets = put(sets_of(wanted).dropDuplicates(["cls"]), "sets")
     give_back(spark)
-    roots = joined(groups(placed, sets), found, simhash.near_duplicates(keyed, row="h"))
+    marked, at_marked = put(marked_links(found, simhash.near_duplicates(keyed, row="h")), "links")
+    give_back(spark)
+    roots = groups(placed, sets, marked)
     low = classes.select("low") if roots is None else (
         classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
         .groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("low").alias("low")))
     rows = found.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.count(F.lit(1)).alias("_rows"))
     firsts = low.select(F.col("low.doc_id").alias("_id"), F.col("low.h").alias("_h"))
     kept, _ = put(firsts.join(rows, firsts["_id"].eqNullSafe(rows["_id"]) & (firsts["_h"] == rows["_h"])).select(firsts["_id"], firsts["_h"], "_rows"), "kept")
-    forget(spark, at_found, at_classes, at_placed, at_asked, at_sets)
+    forget(spark, at_found, at_classes, at_placed, at_asked, at_sets, at_marked)
     same = doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(content) == F.col("_h"))
     out = docs.join(kept.where("_rows = 1").select("_id", "_h"), same, "left_semi")
     if not kept.where("_rows > 1").isEmpty():  # rows equal in doc_id and text: one of them
