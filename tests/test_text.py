@@ -157,3 +157,13 @@ def test_embed_text(spark):
     got = rows.select(embed_text(F.col("s"), F.col("b")), embed_text(F.col("s"), F.col("b"), "live")).collect()
     assert len(got[0][0]) == 2048 and got[0][0].startswith("s [SEP] b")
     assert got[1][0] == " [SEP] " and got[1][1] == "empty" and got[2][1] == "empty"
+
+
+def test_json_object_is_found_without_a_lazy_scan(spark):
+    """The shortest braced run from the first brace on that is closed; a lazy scan for it took most of the time of checking replies."""
+    from ticketflow.functions import replies
+    texts = ["", "none", "{", "}", "}{", "{}", "a {b} c {d}", "{a {b} c}", "} {x", "{\n\"a\": 1,\r\n  \U0001f600}", "{" * 50 + "}", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r["o"] for r in rows.select("i", replies.extract_json(F.col("t")).alias("o")).orderBy("i").collect()]
+    assert got == [(m.group(0) if (m := re.search(r"\{[\s\S]*?\}", t or "")) else None) for t in texts]
+    assert "*?" not in replies.JSON_OBJECT

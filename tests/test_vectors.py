@@ -164,3 +164,26 @@ def test_memory_of_a_search_is_that_of_a_tile(spark):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 80e6 and not held and (blocks[32].found[:, 0] == ids).all()
+
+
+def test_few_base_rows_are_compared_in_double_precision(monkeypatch):
+    """Queries without a k-th best have whole tiles computed in double precision; before, that was all of the first block."""
+    from ticketflow.operators import vectors
+    rng = np.random.default_rng(11)
+    base, asked = rng.normal(size=(3000, 16)).astype(np.float32), rng.normal(size=(500, 16)).astype(np.float32)
+    ids = np.array([f"v{i:04d}" for i in range(len(base))], object)
+    widths, whole = [], vectors.Nearest._all
+    monkeypatch.setattr(vectors.Nearest, "_all", lambda self, asked, base, *more: widths.append(len(base)) or whole(self, asked, base, *more))
+    found = vectors.Nearest(np.arange(500).astype(object), asked, 3, False)
+    found.add(ids, base)
+    assert max(widths) <= 256
+    unit = [x / np.linalg.norm(x.astype(float), axis=1)[:, None] for x in (asked, base)]
+    sims = np.round(unit[0] @ unit[1].T, vectors.DIGITS)
+    assert found.found.tolist() == [ids[np.lexsort((np.arange(len(base)), -row))[:3]].tolist() for row in sims]
+
+
+@pytest.mark.parametrize("share", [0.0, 0.01, 0.5, 1.0])
+def test_marks_are_found_eight_at_a_time(share):
+    from ticketflow.operators.vectors import _marked
+    marks = np.random.default_rng(2).random(8 * 123) < share
+    assert _marked(marks).tolist() == np.flatnonzero(marks).tolist()

@@ -20,6 +20,7 @@ MAX_CELLS = 1024
 BLOCK_ROWS = 4096
 LANES, LANE_ROWS, LEAST_ROWS = 24, 1 << 18, 256  # lanes of queries while these are few, rows in one at most, and rows that are worth one
 TILE_VALUES, EXACT_VALUES, HIT_ROWS = 1 << 19, 1 << 20, 10_000
+FIRST_ROWS = 256  # base rows that are compared in double precision, before queries have a k-th best
 DIGITS = 10  # similarities are compared at this many digits, so that equal vectors tie
 
 
@@ -112,31 +113,43 @@ class Nearest:
     similarities the earlier one wins.
 
     A tile of similarities is made in single precision; what might be better than a query's k-th best by more than that
-    can be wrong is computed again in double precision, or the whole tile, where that is much.
+    can be wrong is computed again in double precision, or the whole tile, where that is much. The first tiles are narrow, as
+    queries without a k-th best have all of a tile computed in double precision.
     """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, exclude_self: bool):
         norms = _norms(vectors)
         self.ids, self.vectors, self.norms = ids[norms > 0], vectors[norms > 0], norms[norms > 0]
-        self.k, self.exclude_self = k, exclude_self
+        self.k, self.exclude_self, self.seen = k, exclude_self, 0
         self.sims = np.full((len(self.ids), k), -np.inf)
         self.found = np.empty((len(self.ids), k), object)
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         norms = _norms(vectors)
         ids, base = ids[norms > 0], vectors[norms > 0] / norms[norms > 0, None]
-        if not len(ids):
-            return
+        while len(ids):
+            width = max(FIRST_ROWS, self.seen)
+            self._tiles(ids[:width], base[:width])
+            self.seen += min(width, len(ids))
+            ids, base = ids[width:], base[width:]
+
+    def _tiles(self, ids: np.ndarray, base: np.ndarray) -> None:
         single, dim = base.astype(np.float32).T, base.shape[1]
         slack = (dim + 4) * 2.0 ** -23  # twice what a single-precision product of unit vectors can be wrong by
         step = max(32, TILE_VALUES // len(ids))  # a tile stays in a core's cache
+        size = min(step, len(self.ids)) * len(ids)
+        tile, near = np.empty(size, np.float32), np.zeros(-(-size // 8) * 8, bool)
         for at in range(0, len(self.ids), step):
             part = slice(at, at + step)
             asked = self.vectors[part] / self.norms[part, None]
             floor = self.sims[part, -1]
             row = None
             if (floor > -np.inf).all():
-                row, col = np.nonzero(asked.astype(np.float32) @ single >= (floor - slack).astype(np.float32)[:, None])
+                sims, may = (x[:len(asked) * len(ids)].reshape(len(asked), len(ids)) for x in (tile, near))
+                np.matmul(asked.astype(np.float32), single, out=sims)
+                np.greater_equal(sims, (floor - slack).astype(np.float32)[:, None], out=may)
+                near[may.size:] = False
+                row, col = np.divmod(_marked(near), len(ids))
                 if len(row) * dim <= EXACT_VALUES:
                     sims = np.round(np.einsum("ij,ij->i", asked[row], base[col]), DIGITS)
                     better = sims > floor[row]
@@ -180,6 +193,13 @@ class Nearest:
         return self.ids[row].tolist(), self.sims[row, col].tolist(), self.found[row, col].tolist()
 
 
+def _marked(marks: np.ndarray) -> np.ndarray:
+    """Where ``marks``, a multiple of eight and few of them true, are true: eight at a time, which ``nonzero`` alone takes as long for as the product of a tile."""
+    eights = np.flatnonzero(marks.view(np.uint64) != 0)
+    at, bit = np.nonzero(marks.reshape(-1, 8)[eights])
+    return 8 * eights[at] + bit
+
+
 def _norms(vectors: np.ndarray) -> np.ndarray:
     return np.linalg.norm(vectors.astype(np.float64, copy=False), axis=1)
 
