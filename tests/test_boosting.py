@@ -159,3 +159,51 @@ def test_far_round_is_a_pass_per_level(spark, monkeypatch):
     assert len(stages[1]) >= 1 + 4 * (s.depth + 1)
     assert one.losses == pytest.approx(two.losses)
     assert all(a.feature.tolist() == b.feature.tolist() and a.value == pytest.approx(b.value) for a, b in zip(one.trees, two.trees))
+
+
+def block(n=3000, seed=4):
+    draw = np.random.default_rng(seed)
+    bins = np.stack([draw.integers(0, w, n) for w in (64, 40, 5, 1, 3, 1)]).astype(np.uint8)
+    return B.Block(7, False, bins, draw.integers(0, 2, n).astype(np.int8), 1.7, draw.normal(size=n))
+
+
+def grown_stump(depth, features, seed=5):
+    draw, tree = np.random.default_rng(seed), B.Tree.stump(depth)
+    for i in range(2 ** depth - 1):
+        if i == 0 or tree.feature[(i - 1) // 2] >= 0 and draw.random() < 0.8:
+            tree.feature[i], tree.at[i] = draw.integers(0, features), draw.integers(0, 30)
+    return tree
+
+
+@pytest.mark.parametrize("depth", [0, 3, 6, 8])
+def test_nodes_of_rows_one_by_one(depth):
+    b, tree = block(), grown_stump(depth, 6)
+    wanted = []
+    for row in b.bins.T.tolist():
+        at = 0
+        while tree.feature[at] >= 0:
+            at = 2 * at + 1 + (row[tree.feature[at]] > tree.at[at])
+        wanted.append(at)
+    assert tree.node(b.bins).tolist() == tree.node(b.bins.astype(np.int64)).tolist() == wanted
+
+
+def test_features_counted_together_have_the_sums_of_each():
+    """A level counted each feature by itself, three times; now several meet in cells, and their sums are taken from these."""
+    b, s, chosen = block(), B.Settings(), np.array([0, 1, 2, 3, 4])
+    assert B.together([64, 40, 5, 1, 3], 0) == [[3], [4], [2], [1], [0]]
+    assert B.together([64, 40, 5, 1, 3], 64) == [[3, 4, 2], [1], [0]]
+    for level in (0, 2, 4):
+        tree = grown_stump(level, 6)
+        alone = b.sums(tree, level, chosen, s, 3)
+        for cells in (64, 1 << 12, 1 << 20):
+            assert b.sums(tree, level, chosen, s, 3, cells) == pytest.approx(alone)
+        assert b.sums(tree, level, chosen, s, 3, 1 << 20)[:, 2].tolist() == alone[:, 2].tolist()
+
+
+def test_a_row_of_a_block_has_what_a_pass_needs():
+    """Features in bin 0 throughout, and a weight per row, were moved with every pass."""
+    b = block()
+    row = b.row()
+    assert sum(len(x) for x in row if isinstance(x, bytes)) <= len(b.label) * (4 + 1 + 8) + 100
+    again = B.Block.of(row, len(b.bins))
+    assert (again.bins == b.bins).all() and (again.label == b.label).all() and (again.margin == b.margin).all() and again.weight == 1.7

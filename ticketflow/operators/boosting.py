@@ -14,6 +14,7 @@ passes a second instead of some ten. The model is the same (tested), up to the o
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from operator import add
 
@@ -28,8 +29,9 @@ from ..session import release_path, ship, stage, stage_at
 
 BLOCK, BINS, KEPT, NEAR_ROWS = 1 << 16, 64, 10, 1 << 18
 SENT = 1 << 24  # bytes of histograms of a pass that the driver adds up itself
+CELLS = 1 << 15  # cells of several features together that a level of ``Far`` may have
 SUMS_A_TASK = 64  # histograms that are added up in a task, before there are more tasks
-BLOCK_SCHEMA = "block long, held boolean, n int, bins binary, label binary, weight binary, margin binary"
+BLOCK_SCHEMA = "block long, held boolean, n int, used binary, bins binary, label binary, weight double, margin binary"
 
 
 @dataclass
@@ -60,15 +62,15 @@ class Tree:
         return cls(np.full(size, -1, np.int64), np.zeros(size, np.int64), np.zeros(size))
 
     def node(self, bins: np.ndarray) -> np.ndarray:
-        """Where each row (a column of ``bins``) ends."""
-        at = np.zeros(bins.shape[1], np.int64)
-        rows = np.arange(bins.shape[1])
-        while len(rows):
-            f = self.feature[at[rows]]
-            rows, f = rows[f >= 0], f[f >= 0]
-            here = at[rows]
-            at[rows] = 2 * here + 1 + (bins[f, rows] > self.at[here])
-        return at
+        """Where each row (a column of ``bins``) ends. A split is a few operations on whole columns of small numbers."""
+        small = np.min_scalar_type(len(self.feature))
+        at = np.zeros(bins.shape[1], small)
+        for i in np.flatnonzero(self.feature >= 0).tolist():  # parents come before their children
+            above = (bins[self.feature[i]] > int(self.at[i])).astype(small)
+            above += small.type(i + 1)
+            above *= at == i
+            at += above  # from i to 2i + 1, or 2i + 2
+        return at.astype(np.int64)
 
 
 @dataclass
@@ -89,11 +91,11 @@ class Boosted:
 
     def probability(self) -> Column:
         """The probability of label 1, from the columns named ``features``."""
-        cuts, model = [np.array(c) for c in self.cuts], self
+        cuts, model, small = [np.array(c) for c in self.cuts], self, np.min_scalar_type(max(map(len, self.cuts)))
 
         @F.pandas_udf("double")
         def scored(table: pd.DataFrame) -> pd.Series:
-            bins = np.stack([np.searchsorted(c, table[f].to_numpy(float)) for f, c in zip(model.features, cuts)])
+            bins = np.stack([np.searchsorted(c, table[f].to_numpy(float)) for f, c in zip(model.features, cuts)]).astype(small)
             return pd.Series(1 / (1 + np.exp(-model.margin(bins))))
         return scored(F.struct(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in self.features]))
 
@@ -131,41 +133,70 @@ class Block:
     held: bool
     bins: np.ndarray
     label: np.ndarray
-    weight: np.ndarray
+    weight: float  # of label 1; others have 1
     margin: np.ndarray
 
     @classmethod
     def of(cls, row, features: int) -> Block:
-        return cls(row[0], row[1], np.frombuffer(row[3], np.uint8).reshape(features, row[2]), np.frombuffer(row[4], np.int8),
-                   np.frombuffer(row[5], np.float64), np.frombuffer(row[6], np.float64).copy())
+        bins = np.zeros((features, row[2]), np.uint8)
+        used = np.frombuffer(row[3], np.int32)
+        bins[used] = np.frombuffer(row[4], np.uint8).reshape(len(used), row[2])
+        return cls(row[0], row[1], bins, np.frombuffer(row[5], np.int8), row[6], np.frombuffer(row[7], np.float64).copy())
 
     def row(self) -> tuple:
-        return (self.block, self.held, len(self.label), self.bins.tobytes(), self.label.tobytes(), self.weight.tobytes(), self.margin.tobytes())
+        """Without the features that are in bin 0 throughout, which is what each pass moves."""
+        used = np.flatnonzero(self.bins.any(1)).astype(np.int32)
+        return (self.block, self.held, len(self.label), used.tobytes(), self.bins[used].tobytes(), self.label.tobytes(), self.weight, self.margin.tobytes())
 
     def loss(self) -> tuple[float, float]:
         """Sum of the log losses, and number, of the rows."""
         sign = np.where(self.label > 0, self.margin, -self.margin)
         return float(np.logaddexp(0, -sign).sum()), float(len(sign))
 
-    def sums(self, tree: Tree, level: int, chosen: np.ndarray, s: Settings, turn: int) -> np.ndarray:
-        """Sums of gradient, curvature and rows for each bin, for the nodes of a level: feature, sum, node, bin."""
+    def sums(self, tree: Tree, level: int, chosen: np.ndarray, s: Settings, turn: int, cells: int = 0) -> np.ndarray:
+        """Sums of gradient, curvature and rows for each bin, for the nodes of a level: feature, sum, node, bin. Features are counted
+        together, in cells of all their bins, while a level has no more than ``cells`` of these."""
         draw = np.random.default_rng([s.seed, self.block, turn // s.rows_every])
         first = 2 ** level - 1
         node = tree.node(self.bins) - first
         rows = np.flatnonzero((draw.random(len(node)) < s.rows_share) & (node >= 0))
         p = 1 / (1 + np.exp(-self.margin[rows]))
-        g, h = self.weight[rows] * (p - self.label[rows]), self.weight[rows] * p * (1 - p)
-        node, size = node[rows] * BINS, 2 ** level * BINS
-        out = np.empty((len(chosen), 3, 2 ** level, BINS))
-        for into, f in zip(out, chosen):
-            cell = node + self.bins[f, rows]
+        weight = np.where(self.label[rows] == 1, self.weight, 1.0)
+        g, h = weight * (p - self.label[rows]), weight * p * (1 - p)
+        node = node[rows]
+        out = np.zeros((len(chosen), 3, 2 ** level, BINS))
+        widths = [int(self.bins[f].max()) + 1 for f in chosen]
+        for group in together(widths, cells >> level):
+            size, cell = 1, np.zeros(len(self.label), np.int32)
+            for k in group:
+                if widths[k] > 1:
+                    size, cell = size * widths[k], cell * np.int32(widths[k]) + self.bins[chosen[k]]
+            cell = node * size + cell[rows]
             for i, w in enumerate((g, h, None)):
-                into[i] = np.bincount(cell, w, size).reshape(-1, BINS)
+                table, left = np.bincount(cell, w, 2 ** level * size), 1
+                for k in group:
+                    split = table.reshape(2 ** level, left, widths[k], -1)
+                    out[k, i, :, :widths[k]] = split.sum(3).sum(1) if len(group) > 1 else split[:, 0, :, 0]
+                    left *= widths[k]
         return out
 
-    def histograms(self, tree: Tree, level: int, chosen: np.ndarray, s: Settings, turn: int) -> dict[tuple[int, int], np.ndarray]:
+    def histograms(self, tree: Tree, level: int, chosen: np.ndarray, s: Settings, turn: int, cells: int = 0) -> dict[tuple[int, int], np.ndarray]:
         """``sums`` by ``(node, feature)``, of nodes that have rows."""
-        return by_node(self.sums(tree, level, chosen, s, turn), chosen)
+        return by_node(self.sums(tree, level, chosen, s, turn, cells), chosen)
+
+
+def together(widths: list[int], cells: int) -> list[list[int]]:
+    """Groups of places, narrow ones first, whose widths multiply to ``cells`` at most; a group may be a single place of any width."""
+    groups: list[list[int]] = []
+    size = 0
+    for k in sorted(range(len(widths)), key=lambda k: widths[k]):
+        if groups and size * widths[k] <= cells:
+            groups[-1].append(k)
+            size *= widths[k]
+        else:
+            groups.append([k])
+            size = widths[k]
+    return groups
 
 
 def by_node(sums: np.ndarray, chosen: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
@@ -249,7 +280,7 @@ class Far:
             sums: dict = {}
             for row in rows:
                 if not row[1]:
-                    for (n, f), x in Block.of(row, features).histograms(tree, level, chosen, s, turn).items():
+                    for (n, f), x in Block.of(row, features).histograms(tree, level, chosen, s, turn, CELLS).items():
                         key = n * features + f
                         sums[key] = sums[key] + x if key in sums else x
             return sums.items()
@@ -270,7 +301,7 @@ class Far:
             for row in rows:
                 block = Block.of(row, features)
                 if not block.held:
-                    x = block.sums(tree, level, chosen, s, turn)
+                    x = block.sums(tree, level, chosen, s, turn, CELLS)
                     sums = x if sums is None else sums + x
                 elif loss:
                     losses = tuple(map(add, losses, block.loss()))
@@ -334,10 +365,11 @@ def cuts_of(train: DataFrame, features: list[str]) -> list[list[float]]:
     return [sorted(set(map(float, row[f] or [0.0]))) for f in features]
 
 
-def in_blocks(rows: DataFrame, features: list[str], cuts: list[list[float]], base: float) -> DataFrame:
-    """``rows`` (``held``, ``label``, ``weight`` and the features) in blocks, written out."""
+def in_blocks(rows: DataFrame, features: list[str], cuts: list[list[float]], base: float, weight: float) -> DataFrame:
+    """``rows`` (``held``, ``label`` and the features) in blocks, written out; ``weight`` is that of label 1."""
     edges = [np.array(c) for c in cuts]
-    names = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
+    names, kinds = zip(*[c.split() for c in BLOCK_SCHEMA.split(", ")])
+    kinds = [{"long": pa.int64(), "boolean": pa.bool_(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}[k] for k in kinds]
 
     def run(batches):
         from pyspark import TaskContext
@@ -348,11 +380,10 @@ def in_blocks(rows: DataFrame, features: list[str], cuts: list[list[float]], bas
             nonlocal done
             table = np.concatenate(held[side], axis=1)
             held[side] = []
-            bins = np.stack([np.searchsorted(e, x) for e, x in zip(edges, table[2:])]).astype(np.uint8)
+            bins = np.stack([np.searchsorted(e, x) for e, x in zip(edges, table[1:])]).astype(np.uint8)
             done += 1
-            return pa.RecordBatch.from_arrays(
-                [pa.array([done - 1], pa.int64()), pa.array([side]), pa.array([table.shape[1]], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (
-                    bins, table[0].astype(np.int8), table[1], np.full(table.shape[1], base))]], names)
+            row = Block(done - 1, side, bins, table[0].astype(np.int8), weight, np.full(table.shape[1], base)).row()
+            return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds)], names)
         for batch in batches:
             side = np.asarray(batch.column(0).to_pylist(), bool)
             table = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]])
@@ -364,7 +395,7 @@ def in_blocks(rows: DataFrame, features: list[str], cuts: list[list[float]], bas
         for s in (False, True):
             if held[s]:
                 yield block(s)
-    values = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("label", "weight", *features)]
+    values = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("label", *features)]
     return stage(rows.select(F.col("held"), *values).mapInArrow(run, BLOCK_SCHEMA), "blocks")
 
 
@@ -383,9 +414,8 @@ def boost(train: DataFrame, val: DataFrame, features: list[str], label: str = "l
     weight = max(1.0, (1 - rate) / rate) if rate > 0 else 1.0
     share = weight * rate / (weight * rate + 1 - rate) if 0 < rate < 1 else min(max(rate, 1e-6), 1 - 1e-6)
     both = train.select(*columns, F.lit(False).alias("held")).unionByName(val.select(*columns, F.lit(True).alias("held")))
-    both = both.withColumn("weight", F.when(F.col("label") == 1, weight).otherwise(1.0))
     model = Boosted(list(features), cuts_of(train.select(*columns), features), float(np.log(share / (1 - share))))
-    blocks = in_blocks(both, features, model.cuts, model.base)
+    blocks = in_blocks(both, features, model.cuts, model.base, float(weight))
     side = (Near if head["n"] + held_rows <= near_rows else Far)(blocks, len(features))
     trees: list[Tree] = []
     best = 0
