@@ -1,9 +1,10 @@
 """Gradient boosting of binary labels on binned features, stopped by patience on a validation table.
 
 Features are cut into bins at quantiles that Spark computes. Rows lie in blocks, one table row per some ten thousand tickets with
-its bins, labels and weights as arrays. A level of a tree is one pass over the blocks: each task adds its rows to histograms per
+its bins and labels as arrays. A level of a tree is one pass over the blocks: each task adds its rows to histograms per
 node and feature. There is a task per core, so what they all send is bounded by the cluster, not by the rows: up to ``SENT`` bytes
 the driver adds them up; of more, the histograms of one node and feature meet in one task, and only the best split of each comes back.
+A task counts several features together, in ``CELLS`` cells of all their bins at most, and takes each one's histogram from these.
 The pass that takes the loss of a round also takes the first level of the next one. Executors
 keep the blocks with the margins of the last round, so a pass applies no earlier tree anew; margins are written out every ``KEPT``
 rounds, so that a repeated task applies at most so many.
